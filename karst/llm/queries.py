@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,8 +21,52 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm import chat
+
+    said = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    odd = "'</s>[INST] ok [/INST]'"
+    said = said.union(spark.sql(f"SELECT -7L, 0L, 'user', {odd} UNION ALL SELECT -7L, 1L, 'assistant', {odd}"))
+    done = chat.format_chats(said.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
+    turns = chat.read_turns(F.col("formatted"))
+    loss = chat.loss_text(F.col("segments"))
+    return done.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm import quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm import pii
+
+    found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.written(F.filter("pii", pii.is_base)), 256).alias("base_sha256"), pii.written(F.col("pii")).alias("spans"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.mainhtml import extract
+
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_chat_formatting": op3_chat_formatting,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op8_pii": op8_pii,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -44,5 +89,17 @@ comp AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id),
 class AS (SELECT list_sort(s) AS k, min(doc_id) AS class_id FROM s WHERE len(s) > 0 GROUP BY 1)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept, coalesce(class_id, s.doc_id) AS class_id
 FROM s JOIN comp USING (doc_id) LEFT JOIN class ON class.k = list_sort(s.s) AND len(s.s) > 0
+""",
+    "op3_chat_formatting": """
+WITH t AS (
+    SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(role, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS er, regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS et FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(length(er) + length(et) + 33)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
 """,
 }
