@@ -40,6 +40,16 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from karst.llm.common import Scratch
+    from karst.llm.repair import read_shards, write_shards
+
+    docs = _table(spark, sf_dir, "documents")
+    return read_shards(write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), 2, Scratch(spark, "repair")))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from karst.llm import quality
 
@@ -64,6 +74,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_repair_token_ids": op4_repair_token_ids,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_pii": op8_pii,
     "op10_html_extraction": op10_html_extraction,
