@@ -21,6 +21,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op2_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.hamming import top_k
+
+    rows = _table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from karst.llm import chat
 
@@ -57,6 +64,20 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from karst.llm.pieces import digests
+
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from karst.llm import pii
 
@@ -65,6 +86,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(pii.written(F.filter("pii", pii.is_base)), 256).alias("base_sha256"), pii.written(F.col("pii")).alias("spans"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from karst.llm.lm import learn_and_score
+
+    return learn_and_score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from karst.llm.mainhtml import extract
 
@@ -73,10 +100,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_hamming_top_k": op2_hamming_top_k,
     "op3_chat_formatting": op3_chat_formatting,
     "op4_repair_token_ids": op4_repair_token_ids,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_decontamination": op6_decontamination,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_pii": op8_pii,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_html_extraction": op10_html_extraction,
 }
 
@@ -100,6 +131,14 @@ comp AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id),
 class AS (SELECT list_sort(s) AS k, min(doc_id) AS class_id FROM s WHERE len(s) > 0 GROUP BY 1)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept, coalesce(class_id, s.doc_id) AS class_id
 FROM s JOIN comp USING (doc_id) LEFT JOIN class ON class.k = list_sort(s.s) AND len(s.s) > 0
+""",
+    "op2_hamming_top_k": """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: coalesce(x >= 0, false)) AS s FROM embeddings),
+d AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, 65), lambda i: (q.s[i] <> c.s[i])::INT))::BIGINT AS distance
+    FROM c AS q, c WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 """,
     "op3_chat_formatting": """
 WITH t AS (
