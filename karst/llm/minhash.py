@@ -4,13 +4,15 @@
    128-bit digest of the set, and ``bands * rows`` universal hash minima folded
    into band keys.  Documents of one digest form a class; its least doc_id stands
    for it, so exact copies never meet each other again.
-2. In each band bucket every class links to the least class of the bucket (one
-   row a member, never all pairs).  Links are confirmed on the full sets.
+2. In each band bucket every class is paired with the bucket's centre (one row a
+   member, never all pairs): the class that meets the most others over all its
+   buckets, as the original of a group of edited copies does.  Pairs are confirmed
+   on the full sets.
 3. Components of the confirmed links (large-star, small-star).
-4. Buckets that still hold more than one component are compared in blocks of
-   bounded size by signature; pairs of different components whose signatures
-   could belong to the threshold are confirmed on the full sets, too, and the
-   components are joined.  So a link is lost only if all bands miss it: with 32
+4. Members of buckets that still hold more than one component are compared in
+   blocks of bounded size: pairs of different components whose signatures could
+   belong to the threshold are compared on the full sets, in the task that holds
+   both blocks; only links that join components come out of it.  So a link is lost only if all bands miss it: with 32
    bands of 5 rows, at similarity 0.85 that has probability 7e-9.
 """
 
@@ -29,8 +31,8 @@ _rng = np.random.Generator(np.random.PCG64(77))
 _MULT = _rng.integers(0, 2**63, 1024, dtype=np.uint64) * U64(2) + U64(1)
 _PLUS = _rng.integers(0, 2**63, 1024, dtype=np.uint64)
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-#: Rows of a block when the members of one bucket are compared by signature.
-BLOCK = 1024
+#: Members and shingles that a block of a group holds on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +112,40 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(near).where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v")
 
 
-def _blocks(sig_bytes: int, floor: float, percent: int):
-    """Pairs of different components in one pair of blocks whose signatures agree often enough."""
+def _cell(sig_bytes: int, floor: float, percent: int):
+    """Links between members of different components in one pair of blocks: as few as join what the cell's links join.
+
+    Signatures sort out pairs that cannot be near; the others are compared on their full sets.
+    """
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        out = []
+        out, top = [], {}
+
+        def find(x: int) -> int:
+            while top.setdefault(x, x) != x:
+                top[x] = x = top[top[x]]
+            return x
+
         if len(left) and len(right):
             sig = np.frombuffer(b"".join(right.sig), np.uint8).reshape(-1, sig_bytes)
-            ids, comps, size = right.rep.to_numpy(), right.comp.to_numpy(), right.n.to_numpy()
-            for r, c, n, s in zip(left.rep, left.comp, left.n, left.sig):
-                may = (comps != c) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent) & (ids != r)
-                may = np.flatnonzero(may)
-                if len(may):
-                    hit = may[(sig[may] == np.frombuffer(s, np.uint8)).mean(1) >= floor]
-                    if len(hit):
-                        out.append(pd.DataFrame({"u": np.maximum(ids[hit], r), "v": np.minimum(ids[hit], r)}))
-        return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+            ids, comps, size, sets = right.rep.to_numpy(), right.comp.to_numpy(), right.n.to_numpy(), [x.view(U64) for x in right.shingles]  # sorted as unsigned
+            for r, c, n, s, mine in zip(left.rep, left.comp, left.n, left.sig, left.shingles):
+                may = np.flatnonzero((comps != c) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent))
+                if not len(may):
+                    continue
+                mine = mine.view(U64)
+                for i in may[(sig[may] == np.frombuffer(s, np.uint8)).mean(1) >= floor]:
+                    a, b = find(c), find(comps[i])
+                    if a == b:
+                        continue
+                    at = np.searchsorted(sets[i], mine)
+                    at[at == len(sets[i])] = 0
+                    both = int((sets[i][at] == mine).sum())
+                    if both * 100 >= (n + size[i] - both) * percent:
+                        top[a] = b
+                        out.append((max(r, ids[i]), min(r, ids[i])))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     return f
 
@@ -150,9 +169,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     reps = members.where("doc_id = rep").select("rep").distinct()
     mine = s.where("n_shingles > 0").join(reps, s.doc_id == reps.rep, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig").dropDuplicates(["rep", "keys"])
     buckets = mine.select("rep", F.explode("keys").alias("key"))
-    least = buckets.groupBy("key").agg(F.min("rep").alias("m"), F.max("rep").alias("x")).where("m < x").select("key", "m")
-    shared = sc.keep(buckets.join(least, "key").select("key", "m", "rep"), "buckets")
-    stars = sc.keep(shared.where("rep > m").select(F.col("rep").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = sc.keep(buckets.join(several, "key").select("key", "rep", "c"), "buckets")
+    fame = shared.groupBy("rep").agg(F.sum("c").alias("fame"))
+    known = sc.keep(shared.join(fame, "rep").select("key", "rep", "fame"), "fame")
+    centre = known.groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("m"))
+    stars = known.join(centre, "key").where("rep <> m").select(F.greatest("rep", "m").alias("u"), F.least("rep", "m").alias("v")).distinct()
+    stars = sc.keep(stars, "stars")
     ids = stars.select(F.col("u").alias("doc_id")).union(stars.select(F.col("v").alias("doc_id"))).union(shared.select(F.col("rep").alias("doc_id"))).distinct()
     sets = sc.keep(arrow_map(texts.join(ids, "doc_id", "left_semi"), _sets(width), "doc_id long, shingles array<long>"), "sets", "snappy")
     links = sc.keep(_confirmed(stars, sets, percent), "links")
@@ -163,17 +186,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
     open_ = sc.keep(now.join(mixed.select("key", "members"), "key"), "mixed")
     if not open_.isEmpty():
-        at = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-        cells = open_.withColumn("blocks", F.ceil(F.col("members") / BLOCK)).withColumn("at", at)
-        cells = cells.join(mine.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep")
-        # The block itself goes to the cells (at, j) as left, j >= at, and to (i, at) as right, i <= at.
-        cells = cells.withColumn("cell", F.explode(F.concat(F.transform(F.sequence("at", F.col("blocks") - 1), lambda j: F.struct(F.col("at").alias("i"), j.alias("j"), F.lit(0).alias("side"))), F.transform(F.sequence(F.lit(0).cast("long"), "at"), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"))))))
-        cells = cells.select("key", "cell.i", "cell.j", "cell.side", "rep", "comp", "n", "sig")
+        # Members of mixed buckets that share buckets, directly or in a chain, form a group; groups are compared in blocks.
+        groups = connected_components(open_.groupBy("key").agg(F.min("rep").alias("m")).join(open_, "key").select(F.col("rep").alias("u"), F.col("m").alias("v")), sc)
+        cells = open_.select("rep", "comp").distinct().join(groups, F.col("rep") == F.col("node")).select("rep", "comp", F.col("component").alias("g"))
+        cells = sc.keep(cells.join(mine.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep"), "group-members")
+        blocks = cells.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        cells = cells.join(blocks, "g").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        # A block goes to the cells (at, j >= at) as left and to (i <= at, at) as right.
+        lefts = F.transform(F.sequence("at", F.col("blocks") - 1), lambda j: F.struct(F.col("at").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+        rights = F.transform(F.sequence(F.lit(0).cast("long"), "at"), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"), F.lit(1).alias("side")))
+        cells = cells.join(sets, cells.rep == sets.doc_id).withColumn("cell", F.explode(F.concat(lefts, rights)))
+        cells = cells.select("g", "cell.i", "cell.j", "cell.side", "rep", "comp", "n", "sig", "shingles")
         floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
-        may = cells.groupBy("key", "i", "j").applyInPandas(_blocks(bands * rows, floor, percent), "u long, v long").distinct()
-        may = sc.keep(may.join(stars, ["u", "v"], "left_anti"), "more-pairs")
-        if not may.isEmpty():
-            more = _confirmed(may, sets, percent)
+        more = sc.keep(cells.groupBy("g", "i", "j").applyInPandas(_cell(bands * rows, floor, percent), "u long, v long"), "more-links")
+        if not more.isEmpty():
             comps = sc.keep(connected_components(links.union(more), sc), "components")
     kept = (
         members.join(comps, members.rep == comps.node, "left")
@@ -181,7 +207,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     out = sc.keep(kept, "result")
-    sc.drop(s, members, shared, stars, sets, links, comps, now, open_)
+    sc.drop(s, members, shared, known, stars, sets, links, comps, now, open_)
     return out
 
 
