@@ -22,4 +22,5 @@ def latest(events: DataFrame, key: str, order: list[str], ended: str) -> DataFra
     An arg-max is one value a key in the state store, and late events fall into place by themselves.
     """
     at = F.struct(*order)
-    return events.groupBy(key).agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), at).alias("e")).select(key, "e.*", F.expr(f"e.{ended}").alias("ended"))
+    rows = events.groupBy(key).agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), at).alias("e")).select(key, "e.*")
+    return rows.withColumn("ended", F.expr(ended))
