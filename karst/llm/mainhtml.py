@@ -6,10 +6,10 @@
    headers, footers, sidebars, adverts, notices or comments (by element, role,
    class and id), none inside links of pages that name no article, and, where the
    page marks its article (``article``, ``main``, role main, itemprop
-   articleBody), none outside.
-3. Weights are summed over windows of ``WINDOW`` lines.  The surge is the first
-   line whose window rises above the threshold and whose next windows do not fall
-   to zero; the dive is where a later window falls to zero.  Text between them is
+   articleBody, or a holder by its name with most of the text), none outside.
+3. Weights are summed over windows of ``WINDOW`` lines.  A surge is a line where
+   the window rises from zero and, before it falls to zero again, above the
+   threshold; the dive is where it falls.  Text between surges and their dives is
    kept, without the lines of no weight.  A page with a marked article has the
    threshold 0, as its weights are clean; any other has ``SURGE``.  If no window
    rises that high, the heaviest run of lines with weight is kept.
@@ -41,6 +41,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 #: Words of class and id values that tell the same.
 WORDS = frozenset("ad ads adv advert advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register sidebar rail widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar share sharing social related recommended recommendations comment comments commentlist respond replies reply disqus discussion pagination pager paginator copyright disclaimer hidden skip donate paywall".split())
 OUTER_WORDS = frozenset({"header"})
+#: Beginnings of such words that are often run together with others.
+STEMS = re.compile(r"(?:^|[^a-z])(?:cookie|advert|comment|sidebar|side-bar|navbar|newsletter|breadcrumb|disqus)", re.I)
+#: Words of class and id values of an element that holds the article, where nothing marks it better.
+HOLDERS = frozenset("article content post entry story main text".split())
 
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
@@ -74,14 +78,20 @@ def _is_chrome(tag: str, at: dict[str, str], inner: bool) -> bool:
         return True
     if tag in ("html", "body"):
         return False
-    named = {w.lower() for w in _WORD.findall(at.get("class", "") + " " + at.get("id", ""))}
-    return bool(named & WORDS or not inner and named & OUTER_WORDS)
+    names = at.get("class", "") + " " + at.get("id", "")
+    named = {w.lower() for w in _WORD.findall(names)}
+    return bool(named & WORDS or STEMS.search(names) or not inner and named & OUTER_WORDS)
+
+
+def _holds(tag: str, at: dict[str, str]) -> bool:
+    return tag in ("div", "section", "td") and bool({w.lower() for w in _WORD.findall(at.get("class", "") + " " + at.get("id", ""))} & HOLDERS)
 
 
 def lines(page: str) -> list[tuple[str, int, bool, frozenset[int]]]:
-    """The page's lines: text, code points outside links, whether it is chrome, and the marked articles around it.
+    """The page's lines: text, code points outside links, whether it is chrome, and the marked elements around it.
 
-    A mark is a positive number, or negative if the article stands inside chrome.
+    A mark is a positive number, or negative if the element stands inside chrome; it is
+    odd for a marked article and even for an element that may hold one by its name.
     """
     out: list[tuple[str, int, bool, frozenset[int]]] = []
     stack = [_Open("", False, False, frozenset())]
@@ -134,12 +144,15 @@ def lines(page: str) -> list[tuple[str, int, bool, frozenset[int]]]:
         top, attributes = stack[-1], _attributes(rest)
         inside, chrome = top.inside, top.chrome
         marked = tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article") or attributes.get("itemprop", "").lower() == "articlebody"
-        own = _is_chrome(tag, attributes, bool(inside))
+        own = _is_chrome(tag, attributes, any(x % 2 for x in inside))
         if marked and not own:
-            marks += 1
-            inside = inside | {marks if not chrome else -marks}
+            marks += 2
+            inside = inside | {marks - 1 if not chrome else 1 - marks}
         elif own:
             chrome = True
+        elif _holds(tag, attributes):
+            marks += 2
+            inside = inside | {marks if not chrome else -marks}
         if tag in HEADINGS and top.tag == "header" and inside:
             chrome = False
         stack.append(_Open(tag, chrome, top.link or tag == "a", inside))
@@ -153,14 +166,19 @@ def main_text(page: str | None) -> str:
         return ""
     found = lines(page)
     size: dict[int, int] = {}
+    clear = 0
     for text, _, chrome, inside in found:
         if not chrome:
+            clear += len(text)
             for x in inside:
                 if x > 0:
                     size[x] = size.get(x, 0) + len(text)
-    # Of marked articles the smallest that holds the bulk of the marked text: an inner article before the main around it.
-    best = max(size.values(), default=0)
-    pick = max((x for x, v in size.items() if 2 * v >= best), default=None)
+    # Of marked articles the innermost that holds the bulk of the marked text; else of elements
+    # named as holders the innermost with the bulk of all text.
+    marked = {x: v for x, v in size.items() if x % 2}
+    pick = max((x for x, v in marked.items() if 2 * v >= max(marked.values())), default=None)
+    if not pick:
+        pick = max((x for x, v in size.items() if 5 * v >= 3 * clear), default=None)
     if pick:
         weight = np.array([0 if chrome or pick not in inside else len(text) for text, _, chrome, inside in found])
         threshold = 0
@@ -171,17 +189,12 @@ def main_text(page: str | None) -> str:
         return ""
     window = np.convolve(weight, np.ones(WINDOW, int))[WINDOW - 1 :]  # of a line and the next ones
     above = np.flatnonzero((window > threshold) & (weight > 0))
-    if len(above):
-        surge = int(above[0])
-        if pick:
-            dive = int(np.flatnonzero(weight)[-1]) + 1
-        else:
-            runs = _runs(weight, window)
-            spans = [(a, b) for a, b in runs if (window[a:b] > threshold).any()]
-            surge, dive = max(spans, key=lambda r: weight[r[0] : r[1]].sum())
+    if len(above) and pick:
+        spans = [(int(above[0]), int(np.flatnonzero(weight)[-1]) + 1)]
     else:
-        surge, dive = max(_runs(weight, window), key=lambda r: weight[r[0] : r[1]].sum())
-    return "\n".join(found[i][0] for i in range(surge, dive) if weight[i])
+        runs = _runs(weight, window)
+        spans = [r for r in runs if (window[r[0] : r[1]] > threshold).any()] or [max(runs, key=lambda r: weight[r[0] : r[1]].sum())]
+    return "\n".join(found[i][0] for a, b in spans for i in range(a, b) if weight[i])
 
 
 def _runs(weight: np.ndarray, window: np.ndarray) -> list[tuple[int, int]]:

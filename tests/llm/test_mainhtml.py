@@ -31,6 +31,16 @@ def test_surge_and_dive_without_marks():
     assert main_text(page) == "\n".join([LONG.strip(), "short", LONG.strip()])
 
 
+def test_named_holder():
+    page = f'<div id="top">Brand name of the site</div><div class="post-content"><p>Short.</p><div class="cookiebar">Cookies</div><p>{LONG}</p><p>End.</p></div><div>Other words of the site that nobody reads</div>'
+    assert main_text(page) == "\n".join(["Short.", LONG.strip(), "End."])
+
+
+def test_two_surges():
+    gap = "".join(f"<div><a>{i}</a></div>" for i in range(6))
+    assert main_text(f"<div><p>{LONG}</p></div>{gap}<div><p>{LONG}</p></div>{gap}<p>tail</p>") == "\n".join([LONG.strip()] * 2)
+
+
 def test_long_page():
     assert len(main_text("<article>" + "<p>word</p>" * 50000 + "</article>").split("\n")) == 50000
     assert main_text("<" * 50000 + "<article>x") .endswith("x")
