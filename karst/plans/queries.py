@@ -445,6 +445,145 @@ def active_sorted(spark, d):
     return c.where("c_acctbal > 0 OR c_custkey % 2 = 0").orderBy(F.asc_nulls_last("c_name"), "c_custkey").select("c_custkey", (F.col("c_acctbal") > 0).alias("active"))
 
 
+@query("""
+WITH r AS (SELECT DISTINCT l_suppkey AS person, l_orderkey AS company, 1 AS n, 'Director' AS role FROM lineitem WHERE l_linenumber = 1
+    UNION SELECT DISTINCT l_suppkey, l_orderkey, 2, 'Shareholder' FROM lineitem WHERE l_linenumber = 2)
+SELECT person, company, list(role ORDER BY n) AS roles FROM r GROUP BY 1, 2""")
+def person_associations(spark, d):
+    x = table(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber").where("l_linenumber <= 2").toDF("person", "company", "n")
+    role = F.when(F.col("n") == 1, "Director").otherwise("Shareholder")
+    return x.groupBy("person", "company").agg(F.transform(F.array_sort(F.collect_set(F.struct("n", role.alias("role")))), lambda r: r["role"]).alias("roles"))
+
+
+@query("""
+WITH e AS (SELECT o_custkey::VARCHAR AS "Company No", 'C' || o_custkey AS "Company Name", '' AS "Company Status", o_orderstatus AS "Name", '' AS "Submission No", strftime(o_orderdate, '%d/%m/%Y') AS "Date Received", o_orderkey::VARCHAR AS "Source PDF" FROM orders),
+o AS (SELECT "Company No", "Company Name", "Company Status", "Name", "Submission No", "Date Received", min("Source PDF") AS "Source PDF" FROM e GROUP BY ALL)
+SELECT 'REG:' || "Company No" AS company, "Name", "Date Received", "Source PDF", row_number() OVER (PARTITION BY "Company No" ORDER BY strptime("Date Received", '%d/%m/%Y') DESC, "Source PDF")::INT AS slot FROM o""")
+def consolidated_events(spark, d):
+    from karst.records.owners import consolidate
+
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    e = o.select(F.col("o_custkey").cast("string").alias("Company No"), F.concat(F.lit("C"), "o_custkey").alias("Company Name"), F.lit("").alias("Company Status"), F.col("o_orderstatus").alias("Name"), F.lit("").alias("Submission No"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("Date Received"), F.col("o_orderkey").cast("string").alias("Source PDF"))
+    return consolidate(e).select("company", "Name", "Date Received", "Source PDF", "slot")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id % 40 AS company, user_id AS who, ts::DATE AS filed, upper(event_type) AS kind, value FROM events),
+g AS (SELECT *, CASE kind WHEN 'SIGNUP' THEN 3 WHEN 'ERROR' THEN 1 ELSE 2 END AS grade FROM e)
+SELECT company::VARCHAR AS "Company No", who::VARCHAR AS "IC", event_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY company, who ORDER BY filed DESC, grade DESC, round(value, 2) DESC, event_id DESC) AS n FROM g) WHERE n = 1 AND kind <> 'ERROR'""")
+def current_owners(spark, d):
+    from karst.records.owners import Owners
+
+    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type", "value")
+    kind = F.when(F.col("event_type") == "signup", "NEW").when(F.col("event_type") == "error", "CESSATION").otherwise("OTHER")
+    rows = e.select("event_id", (F.col("user_id") % 40).cast("string").alias("Company No"), F.lit("").alias("Company Name"), F.col("user_id").cast("string").alias("IC"), F.lit("X").alias("Name"), F.date_format("ts", "d/M/yyyy").alias("Date Received"), kind.alias("BO Status"), F.format_string("%.2f%%", "value").alias("Voting Shares %"), F.col("event_id").cast("string").alias("PDF Date"))
+    return Owners(rows, "event_id").current().select("Company No", "IC", "event_id")
+
+
+@query("""
+WITH t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN lpad(o_orderkey::VARCHAR, 12, '2') || ' (' || lpad(o_custkey::VARCHAR, 6, '1') || '-A)' WHEN 1 THEN lpad(o_custkey::VARCHAR, 6, '1') || '-A' ELSE '' END AS doc,
+    lpad(o_orderkey::VARCHAR, 12, '2') AS master FROM orders)
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS state, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n FROM t""")
+def registration_states(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey")
+    new, old = F.lpad(F.col("o_orderkey").cast("string"), 12, "2"), F.concat(F.lpad(F.col("o_custkey").cast("string"), 6, "1"), F.lit("-A"))
+    k = F.col("o_orderkey") % 3
+    doc = F.when(k == 0, F.concat(new, F.lit(" ("), old, F.lit(")"))).when(k == 1, old).otherwise("")
+    return o.select("o_orderkey", T.registration_state(doc, new).alias("state"), F.size(T.registration_tokens(doc)).alias("n"))
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'R' || c_custkey END AS reg FROM customer),
+f AS (SELECT {KEY_SQL.format("'Customer ' || o_custkey")} AS k, count(*) AS n FROM orders GROUP BY 1),
+a AS (SELECT {KEY_SQL.format('c_name')} AS k, count(*) AS n, min('R' || (c_custkey - c_custkey % 2)) AS r FROM customer WHERE c_custkey % 4 <> 0 GROUP BY 1)
+SELECT c_custkey, list_filter([CASE WHEN reg = '' THEN 'missing_registration_no' END, CASE WHEN f.n IS NULL THEN 'fs_not_found' END, CASE WHEN f.n > 1 THEN 'fs_ambiguous' END,
+    CASE WHEN a.n IS NULL THEN 'auditor_not_found' END, CASE WHEN a.n > 1 THEN 'auditor_ambiguous' END, CASE WHEN a.n = 1 AND a.r <> reg THEN 'auditor_registration_mismatch' END], lambda x: x IS NOT NULL) AS issues
+FROM c LEFT JOIN f ON {KEY_SQL.format("'Customer ' || c_custkey")} = f.k LEFT JOIN a ON {KEY_SQL.format('c_name')} = a.k""")
+def company_context_issues(spark, d):
+    from karst.records.contexts import company_contexts
+
+    c, o = table(spark, d, "customer", "c_custkey", "c_name"), table(spark, d, "orders", "o_custkey")
+    reg = F.when(F.col("c_custkey") % 5 == 0, "").otherwise(F.concat(F.lit("R"), "c_custkey"))
+    fs = o.select(F.concat(F.lit("Customer "), "o_custkey").alias("Company"))
+    auditors = c.where("c_custkey % 4 <> 0").select(F.col("c_name").alias("Company Name"), F.concat(F.lit("R"), F.col("c_custkey") - F.col("c_custkey") % 2).alias("Reg No"))
+    left = c.select("c_custkey", F.concat(F.lit("Customer "), "c_custkey").alias("fs_name"), F.col("c_name").alias("Company Name"), reg.alias("Reg No"))
+    one = company_contexts(left, {"auditor": (auditors, "Company Name")}).select("c_custkey", "fs_name", F.col("issues").alias("more"))
+    two = company_contexts(left.withColumn("Company Name", F.col("fs_name")), {"fs": (fs, "Company")}).select("c_custkey", "issues")
+    return one.join(two, "c_custkey").select("c_custkey", F.concat("issues", F.filter("more", lambda x: x != "missing_registration_no")).alias("issues"))
+
+
+@query("""
+SELECT o_orderkey, list_filter([CASE WHEN s > e THEN 'start_after_end' END, CASE WHEN e > b THEN 'end_after_board' END], lambda x: x IS NOT NULL) AS issues
+FROM (SELECT o_orderkey, o_orderdate::DATE AS s, o_orderdate::DATE + (o_orderkey % 5 - 1)::INT AS e, o_orderdate::DATE + (o_orderkey % 7 - 1)::INT AS b FROM orders)""")
+def date_order_issues(spark, d):
+    from karst.records.contexts import date_order
+
+    day = F.to_date("o_orderdate")
+    o = table(spark, d, "orders", "o_orderkey", "o_orderdate")
+    return o.select("o_orderkey", date_order({"start": day, "end": F.date_add(day, (F.col("o_orderkey") % 5 - 1).cast("int")), "board": F.date_add(day, (F.col("o_orderkey") % 7 - 1).cast("int"))}).alias("issues"))
+
+
+@query("""
+SELECT page_id, CASE WHEN regexp_matches(url, '(?i)(approved|approval|lodged|registered|certified|ctc)') THEN 3 ELSE 2 END AS quality,
+    regexp_matches(url, '(?i)(?:^|[\\/ _-])(draft|receipt|invoice|authority|confirmation|email|gmail|resolution|dwr|mwr|bill)(?:$|[\\/ _().-])') AND NOT regexp_matches(url, '(?i)(approved|approval|lodged|registered|certified|ctc)') AS excluded
+FROM (SELECT page_id, url || CASE page_id % 4 WHEN 0 THEN '/draft.pdf' WHEN 1 THEN '/draft approved.pdf' WHEN 2 THEN '/drafty.pdf' ELSE '' END AS url FROM pages)""")
+def source_quality(spark, d):
+    from karst.records import filings
+
+    p = table(spark, d, "pages", "page_id", "url")
+    k = F.col("page_id") % 4
+    url = F.concat("url", F.when(k == 0, "/draft.pdf").when(k == 1, "/draft approved.pdf").when(k == 2, "/drafty.pdf").otherwise(""))
+    return p.select("page_id", filings.quality(url).alias("quality"), filings.excluded(url).alias("excluded"))
+
+
+@query("""
+SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest, max(o_orderdate)::DATE AS day, arg_max(o_totalprice, (o_orderdate, o_orderkey)) FILTER (o_totalprice > 100000) AS explicit_total
+FROM orders GROUP BY o_custkey""")
+def latest_explicit_total(spark, d):
+    o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    at = F.struct("o_orderdate", "o_orderkey")
+    given = F.when(F.col("o_totalprice") > 100000, at)
+    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", at).alias("latest"), F.to_date(F.max("o_orderdate")).alias("day"), F.max_by(F.when(given.isNotNull(), F.col("o_totalprice")), given).alias("explicit_total"))
+
+
+@query("""
+SELECT 'ORDER' AS event, o_orderkey AS k, o_orderdate::DATE AS day, '{"status":"' || o_orderstatus || '","price":null}' AS payload FROM orders
+UNION ALL SELECT 'SHIP', l_orderkey, l_shipdate::DATE, '{"line":' || l_linenumber || '}' FROM lineitem""")
+def ledger_union(spark, d):
+    o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderstatus")
+    x = table(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_linenumber")
+    json = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"}).alias("payload")
+    a = o.select(F.lit("ORDER").alias("event"), F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), json(F.col("o_orderstatus").alias("status"), F.lit(None).cast("double").alias("price")))
+    b = x.select(F.lit("SHIP").alias("event"), F.col("l_orderkey").alias("k"), F.to_date("l_shipdate").alias("day"), json(F.col("l_linenumber").alias("line")))
+    return a.unionByName(b)
+
+
+@query("""
+WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], e) / sqrt(list_dot_product(e, e)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM embeddings, q),
+t AS (SELECT vec_id FROM s WHERE score >= 0.7 ORDER BY score DESC, vec_id LIMIT 5),
+o AS (SELECT s.vec_id, score, text FROM s JOIN t USING (vec_id) JOIN documents ON doc_id = s.vec_id)
+SELECT left(string_agg(left(text, 1500), chr(10) || chr(10) ORDER BY score DESC, vec_id), 4000) AS context FROM o WHERE trim(text) <> ''""")
+def retrieved_context(spark, d):
+    e = table(spark, d, "embeddings", "vec_id", "embedding")
+    question = e.orderBy("vec_id").limit(1).first()["embedding"]
+    top = vectors.top_k(e, "embedding", question, 5, "vec_id", least=0.7).select("vec_id", "score")
+    docs = table(spark, d, "documents", "doc_id", "text")
+    # Five rows at most: the documents are filtered by a broadcast of them.
+    return vectors.context(docs.join(F.broadcast(top), docs.doc_id == top.vec_id), "text", [-F.col("score"), F.col("vec_id")])
+
+
+@query("""
+SELECT c_custkey, 'Y H Tan ' || c_custkey AS raw, 'YH TAN ' || c_custkey AS auditor, 'Mr.' AS title,
+    CASE WHEN length((800101010000 + c_custkey)::VARCHAR) = 12 THEN left((800101010000 + c_custkey)::VARCHAR, 6) || '-' || substr((800101010000 + c_custkey)::VARCHAR, 7, 2) || '-' || substr((800101010000 + c_custkey)::VARCHAR, 9, 4) END AS nric,
+    'RM' || format('{:,.2f}', round(c_acctbal, 2)) AS money, 'ID:' || (800101010000 + c_custkey) AS person FROM customer""")
+def display_values(spark, d):
+    c = table(spark, d, "customer", "c_custkey", "c_acctbal")
+    raw, number = F.concat(F.lit("Y H Tan "), "c_custkey"), (F.lit(800101010000) + F.col("c_custkey")).cast("string")
+    return c.select("c_custkey", raw.alias("raw"), T.auditor_key(raw).alias("auditor"), T.honorific(F.lit("male")).alias("title"), T.format_identity_number(number).alias("nric"), V.currency(F.round("c_acctbal", 2)).alias("money"), T.person_key(number, raw).alias("person"))
+
+
 @query()
 def similarity_ratio(spark, d):
     p = table(spark, d, "part", "p_partkey", "p_name", "p_type")
