@@ -52,7 +52,7 @@ class WordEncoder:
     could join with them and no special token could come into being.
     """
 
-    MOST = 600_000
+    MOST = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,6 +68,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids[0] for m in ",."}
+        if any(len(self.tokenizer.encode(f"a{m}", add_special_tokens=False).ids) != 2 for m in self.marks):
+            raise ValueError("a comma or stop after a letter is no token of its own")
         self.clear()
 
     def clear(self) -> None:
@@ -84,29 +87,37 @@ class WordEncoder:
             return t if self.unsafe.search(t) else t.encode().lower().decode()
 
     def _learn(self, words: list[str]) -> None:
-        """Words of letters, with or without one final comma or stop, are encoded many to a text and
-        told apart by the tokens that end a pre-token; all others are encoded one by one."""
-        easy, hard, ends = [], [], []
+        """Words of letters are encoded many to a text and told apart by the tokens that end a pre-token.
+
+        A word of letters with one final comma or stop has the ids of both parts; all other words are encoded one by one.
+        """
+        plain, marked, hard = set(), [], []
         for w in words:
             if w.isalpha():
-                easy.append(w)
-                ends.append(1)
+                plain.add(w)
             elif w[-1:] in (",", ".") and w[:-1].isalpha():
-                easy.append(w)
-                ends.append(2)
+                marked.append(w)
+                if w[:-1] not in self.known:
+                    plain.add(w[:-1])
             else:
                 hard.append(w)
-        enc = []
-        if easy:
-            texts = [" ".join(easy[i : i + 256]) for i in range(0, len(easy), 256)]
-            ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
-            stops = np.flatnonzero(self.last[ids]) + 1
-            upto = np.cumsum(ends)
-            if len(stops) == upto[-1]:
-                stop = stops[upto - 1]
-                self._add(easy, ids, np.diff(np.concatenate([[0], stop])))
-            else:
-                hard = words
+        easy = list(plain)
+        texts = [" ".join(easy[i : i + 256]) for i in range(0, len(easy), 256)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
+        stops = np.flatnonzero(self.last[ids]) + 1
+        if len(stops) == len(easy):
+            self._add(easy, ids, np.diff(np.concatenate([[0], stops])))
+            if marked:
+                base = np.fromiter((self.known[w[:-1]] for w in marked), np.int64, len(marked))
+                size = self.size[base]
+                upto = np.cumsum(size + 1)
+                out = np.empty(int(upto[-1]), np.uint32)
+                within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                out[np.repeat(upto - size - 1, size) + within] = self.ids[np.repeat(self.start[base], size) + within]
+                out[upto - 1] = [self.marks[w[-1]] for w in marked]
+                self._add(marked, out, size + 1)
+        else:
+            hard = words
         if hard:
             enc = [e.ids for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)]
             self._add(hard, np.array([i for e in enc for i in e], np.uint32), np.fromiter(map(len, enc), np.int64, len(enc)))
