@@ -164,8 +164,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sc = scratch or Scratch(spark, "minhash")
     texts = texts_only(docs, "text")
     s = sc.keep(arrow_map(texts, _signatures(bands, rows, width), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary"), "signatures", "snappy")
-    classes = s.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = sc.keep(s.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep")), "classes")
+    # Written, so that the join back shuffles both sides itself and a class with very many members can be split.
+    classes = sc.keep(s.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "class-ids")
+    members = sc.keep(s.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep")), "members")
     reps = members.where("doc_id = rep").select("rep").distinct()
     mine = s.where("n_shingles > 0").join(reps, s.doc_id == reps.rep, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig").dropDuplicates(["rep", "keys"])
     buckets = mine.select("rep", F.explode("keys").alias("key"))
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     out = sc.keep(kept, "result")
-    sc.drop(s, members, shared, known, stars, sets, links, comps, now, open_)
+    sc.drop(s, classes, members, shared, known, stars, sets, links, comps, now, open_)
     return out
 
 
