@@ -215,5 +215,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that ``near_duplicates`` doesn't keep; all its columns, one document of each group."""
     found = near_duplicates(docs, **options)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__karst_gone")).distinct()
+    # Shuffled at every size: the ids grow with the data, so there is no bound to broadcast them by; only they are hashed.
+    gone = found.where("not kept").select(F.col("doc_id").alias("__karst_gone")).distinct().hint("shuffle_hash")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["__karst_gone"], "left_anti")
