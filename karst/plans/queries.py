@@ -177,8 +177,9 @@ def parse_numbers(spark, d):
 
 
 def _wide(spark, d):
-    x = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").where("l_linenumber <= 4")
-    return reshape.pivot_slots(x.withColumnsRenamed({"l_partkey": "Name", "l_quantity": "Shares"}), "l_orderkey", "l_linenumber", ["Name", "Shares"], 4, "Member")
+    x = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    most = x.agg(F.max("l_linenumber")).first()[0] or 1  # as many slots as the table has
+    return reshape.pivot_slots(x.withColumnsRenamed({"l_partkey": "Name", "l_quantity": "Shares"}), "l_orderkey", "l_linenumber", ["Name", "Shares"], int(most), "Member")
 
 
 @query("""
