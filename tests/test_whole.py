@@ -24,3 +24,22 @@ def test_slots_hold_every_line(spark):
     assert most > 4 and wide.columns == ["l_orderkey", *[f"Member{n} {f}" for n in range(1, most + 1) for f in ("Name", "Shares")]]
     got = [(r[0], n, r[f"Member{n} Name"], r[f"Member{n} Shares"]) for r in wide.collect() for n in range(1, most + 1) if r[f"Member{n} Name"] is not None]
     assert sorted(got, key=repr) == want
+
+
+def test_every_line_of_every_item_is_a_name(spark):
+    from pyspark.sql import functions as F
+
+    from karst.functions import text as T
+
+    key = lambda t: [(r[0], r[1].split(" ")) for r in t.select(t.columns[0], T.name_key(F.col(t.columns[1]))).collect() if r[1]]
+    plain = set("SDN BHD BERHAD PRIVATE LIMITED LTD COMPANY CO MALAYSIA M".split())
+    lines = spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", F.explode(F.split("text", "\n")))
+    names = {" ".join(w): {x for x in w if len(x) > 1} - plain for _, w in key(lines)}
+    want = {}
+    for doc, words in key(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")):
+        words = set(words)
+        hits = sorted(((len(tk), len(n)), n) for n, tk in names.items() if tk and tk <= words and (len(tk) > 1 or len(n) >= 5))
+        top = [n for s, n in hits if s == hits[-1][0]]
+        if len(top) == 1:
+            want[doc] = top[0]
+    assert want and dict(map(tuple, QUERIES["token_subset_match"](spark, DATA).collect())) == want
