@@ -3,7 +3,7 @@
 Documents are dealt by range of doc_id, encoded, and packed into shards of about
 ``SHARD`` ids.  In a shard the frequent pairs of neighbouring symbols are replaced
 by new symbols (nonterminals), round by round, until no pair is frequent; no pair
-reaches over a document's end.  All pairs of the shard are counted in each round.
+reaches over a document's end.  All pairs of the shard are counted, and none by bins.
 
 A shard is one binary value:
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from karst.llm.common import U64, Scratch, texts_only
 
 MAGIC = b"KRP1"
-#: Ids of a shard (a longer document stays whole), pairs of a round at most, rounds at most, least count of a pair.
-SHARD, PER_ROUND, ROUNDS, LEAST = 2_000_000, 4000, 4, 24
+#: Ids of a shard (a longer document stays whole), pairs of a round at most, least count of a pair.
+SHARD, PER_ROUND, LEAST = 2_000_000, 4000, 24
 _BINS = 18
 NO_DOC = -(2**63)
 
@@ -170,40 +170,34 @@ def encoder(path: str) -> WordEncoder:
 def compress(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, where each document's begin, and both sides of the rules; rule i is symbol ``base + i``.
 
-    Symbols stay below 65536 if the ids leave room for that (else they take four bytes).
-    Pairs are counted by hash bin; the pair that a bin holds is counted exactly.
+    Every pair is counted exactly: by sorting all of them at first, and later those
+    alone that can be frequent, as a pair that was rare becomes so only by a new symbol.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
-    narrow = base + ROUNDS * PER_ROUND <= 1 << 16
-    kind, shift, bits = (np.uint32, 16, 32) if narrow else (U64, 32, 64)
-    odd, low = kind(0x9E3779B1 if narrow else 0x9E3779B97F4A7C15), kind((1 << shift) - 1)
-    seq, cuts = ids.astype(kind), cuts.copy()
+    seq, cuts = ids.astype(np.uint32), cuts.astype(np.int64)
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     rules = 0
-    for _ in range(ROUNDS):
-        if len(seq) < 2 * LEAST:
+    live = np.ones(len(seq), bool)  # whether a symbol and the next one may be a frequent pair
+    while True:
+        live[cuts[1:][cuts[1:] > 0] - 1] = False  # a document's last symbol and the next one are no pair
+        at = np.flatnonzero(live)
+        if len(at) < LEAST:
             break
-        key = seq[:-1] << kind(shift)
-        key |= seq[1:]
-        bin_ = ((key * odd) >> kind(bits - _BINS)).astype(np.int32)
-        stop = cuts[1:-1] - 1
-        stop = stop[(stop >= 0) & (stop < len(key))]
-        held = np.zeros(1 << _BINS, kind)
-        held[bin_] = key
-        mine = held[bin_] == key
-        mine[stop] = False  # a document's last symbol and the next one are no pair
-        at = np.flatnonzero(mine)
-        own = bin_[at]
-        count = np.bincount(own, minlength=1 << _BINS)
-        top = np.flatnonzero(count >= LEAST)
-        if not len(top):
+        kind, shift = (np.uint32, 16) if base + rules <= 1 << 16 else (U64, 32)
+        key = (seq[at].astype(kind) << kind(shift)) | seq[at + 1]
+        pairs, count = _counted(key)
+        often = count >= LEAST
+        pairs, count = pairs[often], count[often]
+        if not len(pairs):
             break
-        top = top[np.argsort(-count[top], kind="stable")[:PER_ROUND]]
-        rule = np.zeros(1 << _BINS, kind)
-        rule[top] = (base + rules + np.arange(len(top))).astype(kind)
-        new = rule[own]
-        some = new > 0
+        place = _places(key, pairs)
+        live[at[place < 0]] = False
+        rule = np.full(len(pairs) + 1, -1, np.int64)  # one more, for place -1
+        top = np.argsort(-count, kind="stable")[:PER_ROUND]
+        rule[top] = base + rules + np.arange(len(top))
+        new = rule[place]
+        some = new >= 0
         hit, new = at[some], new[some]
         # Of hits side by side every second one is taken, from the left.
         here = np.arange(len(hit))
@@ -212,18 +206,42 @@ def compress(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         run[fresh] = fresh
         take = (here - np.maximum.accumulate(run)) % 2 == 0
         hit, new = hit[take], new[take]
-        left.append((held[top] >> kind(shift)).astype(np.int64))
-        right.append((held[top] & low).astype(np.int64))
+        left.append((pairs[top] >> kind(shift)).astype(np.int64))
+        right.append((pairs[top] & kind((1 << shift) - 1)).astype(np.int64))
         rules += len(top)
         seq[hit] = new
+        live[hit] = True
+        live[np.maximum(hit - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         cuts -= np.searchsorted(hit + 1, cuts)
-        seq = seq[keep]
+        seq, live = seq[keep], live[keep]
     z = np.zeros(0, np.int64)
     return seq, cuts, np.concatenate([z, *left]), np.concatenate([z, *right])
 
 
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each is there."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.diff(np.append(first, len(key)))
+
+
+def _places(key: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The index in ``some``, which is in order, of each key, -1 if it is not there."""
+    kind, bits = (np.uint32, 32) if key.dtype == np.uint32 else (U64, 64)
+    bin_ = lambda x: (x * kind(0x9E3779B1 if bits == 32 else 0x9E3779B97F4A7C15)) >> kind(bits - _BINS)
+    held = np.full(1 << _BINS, -1, np.int32)
+    held[bin_(some)] = np.arange(len(some))
+    out = held[bin_(key)]
+    odd = np.flatnonzero(out >= 0)
+    odd = odd[some[out[odd]] != key[odd]]  # in the bin of another one
+    if len(odd):
+        near = np.minimum(np.searchsorted(some, key[odd]), len(some) - 1)
+        out[odd] = np.where(some[near] == key[odd], near, -1)
+    return out
+
+
 def expansions(base: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Length of every rule's expansion, where it begins in the list of all, and that list."""
     n = len(left)

@@ -40,6 +40,19 @@ def test_wide_symbols_and_rules_of_rules():
     assert s.ids().tolist() == ids.tolist() and s.size.max() >= 8
 
 
+def test_no_pair_stays_frequent():
+    r = np.random.default_rng(3)
+    one = r.integers(0, 49000, 500)
+    zipf = np.minimum(r.zipf(1.2, 300_000), 49000)
+    for docs in ([one] * 400, [r.permutation(one[:60]) for _ in range(300)], np.split(zipf, 300), [np.append(x, 70000) for x in np.split(zipf, 300)]):
+        ids, cuts = np.concatenate(docs).astype(np.uint32), np.cumsum([0, *map(len, docs)])
+        seq, at, left, right = repair.compress(ids, cuts)
+        pairs = np.concatenate([np.stack([d[:-1], d[1:]], 1) for d in np.split(seq, at[1:-1])])
+        assert np.unique(pairs, axis=0, return_counts=True)[1].max(initial=0) < repair.LEAST
+        assert repair.Shard(repair.pack(np.arange(len(docs)), ids, cuts)).ids().tolist() == ids.tolist()
+    assert len(repair.compress(np.tile(one, 400).astype(np.uint32), np.arange(401) * 500)[0]) == 400
+
+
 def test_files(spark, odd, none):
     docs = odd.union(odd.limit(2)).repartition(3)
     out = repair.read_shards(repair.write_shards(docs, PATH, 2, Scratch(spark, "t"))).collect()
