@@ -6,7 +6,8 @@
    headers, footers, sidebars, adverts, notices or comments (by element, role,
    class and id), none inside links of pages that name no article, and, where the
    page marks its article (``article``, ``main``, role main, itemprop
-   articleBody, or a holder by its name with most of the text), none outside.
+   articleBody, or holders by their names with most of the text), none outside
+   all of them.
 3. Weights are summed over windows of ``WINDOW`` lines.  A surge is a line where
    the window rises from zero and, before it falls to zero again, above the
    threshold; the dive is where it falls.  Text between surges and their dives is
@@ -173,14 +174,15 @@ def main_text(page: str | None) -> str:
             for x in inside:
                 if x > 0:
                     size[x] = size.get(x, 0) + len(text)
-    # Of marked articles the innermost that holds the bulk of the marked text; else of elements
-    # named as holders the innermost with the bulk of all text.
-    marked = {x: v for x, v in size.items() if x % 2}
-    pick = max((x for x, v in marked.items() if 2 * v >= max(marked.values())), default=None)
+    # All marked articles, side by side or one in another; else all elements named as holders, if
+    # they have the bulk of all text.  Inside, chrome alone is left out.
+    pick = {x for x in size if x % 2}
     if not pick:
-        pick = max((x for x, v in size.items() if 5 * v >= 3 * clear), default=None)
+        pick = set(size)
+        if 5 * sum(len(text) for text, _, chrome, inside in found if not chrome and inside & pick) < 3 * clear:
+            pick = set()
     if pick:
-        weight = np.array([0 if chrome or pick not in inside else len(text) for text, _, chrome, inside in found])
+        weight = np.array([0 if chrome or not inside & pick else len(text) for text, _, chrome, inside in found])
         threshold = 0
     else:
         weight = np.array([0 if chrome else plain for _, plain, chrome, _ in found], int)

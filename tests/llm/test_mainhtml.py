@@ -36,6 +36,17 @@ def test_named_holder():
     assert main_text(page) == "\n".join(["Short.", LONG.strip(), "End."])
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<main><h1>Title</h1><p>Lead.</p><article><p>{LONG}</p></article><p>Close.</p></main><p>out</p>", ["Title", "Lead.", LONG.strip(), "Close."]),
+    (f"<main><article><p>{LONG}</p></article><article><p>{LONG}</p></article></main>", [LONG.strip()] * 2),
+    (f"<article><p>{LONG}</p></article><div>x</div><article><p>Two</p><nav>n</nav></article>", [LONG.strip(), "Two"]),
+    (f'<div class="post"><h1>Title</h1><p>Lead.</p><div class="content"><p>{LONG}</p></div><p>Close.</p></div><div>out</div>', ["Title", "Lead.", LONG.strip(), "Close."]),
+    (f'<div class="entry"><p>{LONG}</p><p>One</p></div><div>out</div><div class="entry"><p>{LONG}</p><p>Two</p></div>', [LONG.strip(), "One", LONG.strip(), "Two"]),
+])
+def test_all_holders(page, want):
+    assert main_text(page) == "\n".join(want)
+
+
 def test_two_surges():
     gap = "".join(f"<div><a>{i}</a></div>" for i in range(6))
     assert main_text(f"<div><p>{LONG}</p></div>{gap}<div><p>{LONG}</p></div>{gap}<p>tail</p>") == "\n".join([LONG.strip()] * 2)
