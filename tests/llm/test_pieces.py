@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
@@ -45,6 +46,32 @@ def test_heap_and_rounds_agree():
         assert fast == [p.ids[p.start[i] : p.start[i] + p.size[i]].tolist() for i in range(len(words))]
 
 
+def test_every_occurrence_is_drawn_for_itself():
+    p = pieces.Pieces(PATH)
+    text = "internationalization " * 400
+    seen = set()
+    for doc in range(20):
+        ids, _ = p.encode([text], [doc], 3, 0.3)
+        assert p.decode(ids.tolist()) == text
+        words, at = p._direct([" internationalization"] * 400, p._own(np.full(400, doc), np.arange(400), 3), 0.3)
+        assert ids[: len(words)].tolist() == words.tolist()
+        seen.add(tuple(ids.tolist()))
+        n = len(set(map(tuple, np.split(words, np.flatnonzero(np.diff(at) > 0) + 1))))
+        assert n > 50
+    assert len(seen) == 20
+
+
+def test_nodes_and_single_runs_agree():
+    p = pieces.Pieces(PATH)
+    for dropout in (0.0, 0.1, 0.5, 0.9):
+        docs = list(range(len(TEXTS)))
+        ids, cuts = p.encode(TEXTS, docs, 5, dropout)
+        for d, t, a, b in zip(docs, TEXTS, cuts, cuts[1:]):
+            words = p.cut.findall(" " + t) if t else []
+            want, _ = p._direct(words, p._own(np.full(len(words), d), np.arange(len(words)), 5), dropout)
+            assert ids[a:b].tolist() == want.tolist()
+
+
 def test_full_dropout_leaves_characters():
     p = pieces.Pieces(PATH)
     ids, _ = p.encode(["the cat"], [0], 1, 1.0)
