@@ -43,3 +43,20 @@ def test_every_line_of_every_item_is_a_name(spark):
         if len(top) == 1:
             want[doc] = top[0]
     assert want and dict(map(tuple, QUERIES["token_subset_match"](spark, DATA).collect())) == want
+
+
+def test_no_row_is_left_out_by_its_id(spark):
+    got = [tuple(r) for r in QUERIES["active_sorted"](spark, DATA).select("c_custkey", "active").collect()]
+    assert got == duckdb.sql(f"SELECT c_custkey, c_acctbal > 0 FROM '{DATA}/customer.parquet' ORDER BY c_name NULLS LAST, c_custkey").fetchall()
+    got = QUERIES["person_associations"](spark, DATA).select("person", "company", "roles").collect()
+    want = rows(f"""
+        SELECT person, company, list(role ORDER BY n) FROM (
+            SELECT DISTINCT l_suppkey AS person, l_orderkey AS company, l_linenumber AS n,
+                CASE l_linenumber WHEN 1 THEN 'Director' WHEN 2 THEN 'Shareholder' ELSE 'Role ' || l_linenumber END AS role FROM '{DATA}/lineitem.parquet')
+        GROUP BY 1, 2""")
+    assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_every_part_name_is_asked_for(spark, tmp_path):
+    spark.createDataFrame([(i, f"part {i}", "none") for i in range(1, 15)], "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.p_partkey for r in QUERIES["guarded_name_lookup_many"](spark, str(tmp_path)).collect()} == set(range(1, 15))
