@@ -9,8 +9,11 @@ driver process.
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -51,7 +54,6 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
         self.n = 0
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         atexit.register(_delete, spark, self.root)
 
     def path(self, name: str) -> str:
@@ -78,7 +80,21 @@ def local_path(uri: str) -> str | None:
     return uri if "://" not in uri else None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to ``BATCH_BYTES``, if they may be larger.
+
+    It stays set: Spark reads it when a plan runs, and that is after the call that made the plan.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """``f`` on batches of bounded size (``small_batches``), in Arrow."""
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
@@ -115,16 +131,22 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _BASE = int(_rng.integers(2**60, 2**63)) * 8 + 5
 _POW: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Bytes that work arrays of 8 bytes a byte are made for at a time, and powers that a worker keeps.
+PIECE = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
+    """Powers of the base and of its inverse modulo 2**64; kept up to ``PIECE``, as only a longer word needs more."""
+    def make(base: int, size: int) -> np.ndarray:
+        p = np.full(size, base, U64)
+        p[0] = 1
+        return np.multiply.accumulate(p)
+
+    both = (_BASE % 2**64, pow(_BASE, -1, 2**64))
+    if n > PIECE + 1:
+        return make(both[0], n), make(both[1], n)
     if len(_POW[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for i, base in enumerate((_BASE % 2**64, pow(_BASE, -1, 2**64))):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _POW[i] = np.multiply.accumulate(p)
+        _POW[:] = [make(x, PIECE + 1) for x in both]
     return _POW[0], _POW[1]
 
 
@@ -135,30 +157,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and for each row the index of its first word (one more at the end)."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, no_word: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, and for each row the index of its first word (one more at the end).
+
+    ``no_word`` tells which bytes stand between words.  Work is done in pieces, so a
+    very long row takes little more than its words do.
+    """
     n = len(raw)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(len(offsets), np.int64)
-    word = ~_IS_SPACE[raw]
-    cut = np.zeros(n + 1, bool)
-    cut[offsets] = True
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, word[:-1]
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, word[1:]
-    start = np.flatnonzero(word & (~before | cut[:-1]))
-    end = np.flatnonzero(word & (~after | cut[1:])) + 1
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, n, 4 * PIECE):
+        b = min(n, a + 4 * PIECE)
+        # One byte more on either side, none at the ends.
+        lo, hi = max(a - 1, 0), min(b + 1, n)
+        word = np.zeros(b - a + 2, bool)
+        word[lo - a + 1 : hi - a + 1] = ~no_word[raw[lo:hi]]
+        cut = np.zeros(b - a + 1, bool)
+        cut[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a] = True
+        starts.append(np.flatnonzero(word[1:-1] & (~word[:-2] | cut[:-1])) + a)
+        ends.append(np.flatnonzero(word[1:-1] & (~word[2:] | cut[1:])) + a + 1)
+    start, end = np.concatenate(starts), np.concatenate(ends)
     return start, end, np.searchsorted(start, offsets)
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hash of each span: a polynomial over prefix sums, then a finaliser with the length."""
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum((_LOWER if lower else _BYTE)[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
+    """64-bit hash of each of the ascending spans: a polynomial over prefix sums, then a finaliser with the length."""
+    out, i = np.empty(len(start), U64), 0
+    while i < len(start):
+        # Spans that begin and end within a piece, one at least.
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, "right")))
+        lo, hi = int(start[i]), int(end[j - 1])
+        a, b = start[i:j] - lo, end[i:j] - lo
+        up, down = _powers(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, U64)
+        np.cumsum((_LOWER if lower else _BYTE)[raw[lo:hi]] * up[: hi - lo], out=sums[1:])
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U64) * U64(0x9E3779B97F4A7C15))
+        i = j
+    return out
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,3 +212,53 @@ def chunks(raw: np.ndarray, offsets: np.ndarray, most: int = 1 << 20) -> Iterato
 
 def i64(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+# --- arrays in files -----------------------------------------------------------
+
+
+def save_array(folder: str, name: str, array: np.ndarray) -> None:
+    """A ``.npy`` file that is there whole or not at all, also if a lost task runs again."""
+    path = local_path(folder)
+    if path:
+        os.makedirs(path, exist_ok=True)
+        part = f"{path}/.{name}.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            np.save(f, array)
+        os.replace(part, f"{path}/{name}.npy")
+    else:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        system.create_dir(at)
+        with system.open_output_stream(f"{at}/{name}.npy") as f:
+            np.save(f, array)
+
+
+#: Bytes of arrays that a worker holds which it can't map from a file system.
+HELD_BYTES = 256 << 20
+_held: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+def load_array(folder: str, name: str) -> np.ndarray:
+    """The array, mapped from its file.  Where the folder is in a store that has no file system, it is
+    read into memory, and those asked for longest ago leave when ``HELD_BYTES`` are held."""
+    key = f"{folder}/{name}"
+    if key in _held:
+        _held.move_to_end(key)
+        return _held[key]
+    path = local_path(folder)
+    if path:
+        out = np.load(f"{path}/{name}.npy", mmap_mode="r")
+    else:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        with system.open_input_stream(f"{at}/{name}.npy") as f:
+            out = np.load(io.BytesIO(f.read()))
+    for old in [k for k in _held if not k.startswith(folder + "/")]:  # of an earlier run
+        del _held[old]
+    _held[key] = out
+    while not path and len(_held) > 1 and sum(a.nbytes for a in _held.values()) > HELD_BYTES:
+        _held.popitem(last=False)
+    return out

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, arrow_map, mix
+from karst.llm.common import U64, arrow_map, mix
 
 BLANK = "▁"
 DROPOUT, SEED = 0.1, 17
@@ -415,8 +415,6 @@ def encode(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROPO
     Null and empty texts have no ids.  A null doc_id counts as -1 in the draws.
     Repeated rows stay, and have the same ids.  No shuffle.
     """
-    Scratch(docs.sparkSession, "pieces")
-
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         ids, size = [], []
         for _, _, x, cuts in _encoded(b, model, seed, dropout):
@@ -444,8 +442,6 @@ def digests(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROP
 
     lossless tells whether the decoded text is the text (null: empty), code point by code point.
     """
-    Scratch(docs.sparkSession, "pieces")
-
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         n, crc, chars, same = [], [], [], []
         p = pieces(model)

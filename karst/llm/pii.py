@@ -112,7 +112,7 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     """``docs`` with ``out``: array of (start, rank, kind, end, text, score) by start, then kind.
 
     A null or empty text has no spans.  Rows and their other columns stay as they
-    are.  No shuffle.
+    are; a column of the name ``out`` gives way.  No shuffle.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     a, b = f"__karst_base_{out}", f"__karst_more_{out}"

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, texts_only
+from karst.llm.common import U64, Scratch, small_batches, texts_only
 
 MAGIC = b"KRP1"
 #: Ids of a shard (a longer document stays whole), pairs of a round at most, least count of a pair.
@@ -349,6 +349,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scra
         if held:
             yield out()
 
+    small_batches(docs.sparkSession)
     rows = texts_only(docs, "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return scratch.keep(rows.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, shard binary"), "shards", "uncompressed")
 
