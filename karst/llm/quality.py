@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import _BYTE, _IS_SPACE, U64, Scratch, arrow_map, chunks, mix, span_hashes, text_buffer, word_spans
+from karst.llm.common import _BYTE, _IS_SPACE, U64, arrow_map, chunks, mix, span_hashes, text_buffer, word_spans
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -64,7 +64,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, rate: float = 2.0, seed: int = 1) -> tuple[np.ndarray, float]:
     """The learned table, as one log-odds number a bucket, and the bias.
 
-    Without examples of both classes every score is the share of label 1 (0.5 without any).
+    Where all examples are of one class every score says so (0.98 or 0.02); without any it is 0.5.
     """
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), (0.0 if not labels else 4.0 if labels[0] else -4.0)
@@ -115,12 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     ``sample`` bounds the rows; they are the least by hash of doc_id.  Labels that
     are null or neither 0 nor 1, and doc_ids without a document, teach nothing; of
-    several labels for one doc_id the least counts.
+    several labels for one doc_id the least counts, and of several texts.
     """
     lab = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min(label).alias("y"))
     lab = lab.select(F.col("doc_id").cast("long").alias("id"), "y").orderBy(F.xxhash64("id"), "id").limit(sample)
     # At most ``sample`` rows of 12 bytes: a proven bound for the broadcast.
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(lab), "id").select("id", "text", "y").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(lab), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
     rows = sorted((r.id, r.text or "", r.y) for r in rows)
     return train([r[1] for r in rows], [r[2] for r in rows])
 
@@ -129,10 +129,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score")
     """``docs`` with ``out``: the probability of label 1, 0 to 1.
 
     A null, empty or white text has no features and gets the bias alone.  All
-    columns stay; one row in, one row out.
+    columns stay, but one of the name ``out`` gives way; one row in, one row out.
     """
+    docs = docs.drop(out)
     spark = docs.sparkSession
-    Scratch(spark, "quality")
     shared = spark.sparkContext.broadcast(model)
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -144,6 +144,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """``docs`` with score and predicted (1 if score >= threshold)."""
-    found = score(docs, fit(docs, labels, **options), "__karst_score")
-    return found.withColumnRenamed("__karst_score", "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """``docs`` with score and predicted (1 if score >= threshold).  Columns of these names give way."""
+    return score(docs, fit(docs, labels, **options)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
