@@ -61,9 +61,8 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
 
     parts is an array of structs with ``type`` and ``text``, and with ref, width,
     height, seconds and pages where there are attachments (see ``PART``).
-    Returned: conv_id, n_turns, formatted, segments (for each turn its body as it
-    stands in formatted, its start and end there in code points, and whether it
-    bears loss), attachments (turn ordinal, part ordinal, type, ref, n_tokens) and
+    Returned: conv_id, n_turns, formatted, segments (for each turn where its body
+    starts and stops in formatted, in code points, and whether it bears loss), attachments (turn ordinal, part ordinal, type, ref, n_tokens) and
     n_attachment_tokens.
 
     Turns go by turn, then role, then body, nulls first; repeated rows stay.
@@ -92,19 +91,32 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
         "conv_id",
         F.size("t").cast("long").alias("n_turns"),
         F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "").alias("formatted"),
-        F.transform("t", lambda x: F.struct(x["body"].alias("body"), x["start"].alias("start"), x["stop"].alias("stop"), x["loss"].alias("loss"))).alias("segments"),
+        F.transform("t", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["loss"].alias("loss"))).alias("segments"),
         attachments.alias("attachments"),
     ).withColumn("n_attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["n_tokens"]))
 
 
+def _pieces(formatted: Column) -> Column:
+    """What stands after each start of a turn."""
+    quoted = START.replace("|", r"\|")
+    return F.filter(F.split(formatted, quoted, -1), lambda p, i: i > 0)
+
+
+def _body(piece: Column) -> Column:
+    return F.substring_index(F.substring_index(piece, SEP, -1), END, 1)
+
+
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted text: array of (role, body), unescaped; placeholders stay as they are."""
-    quoted = START.replace("|", r"\|")
-    pieces = F.filter(F.split(formatted, quoted, -1), lambda p, i: i > 0)
-    body = lambda p: F.substring_index(F.substring_index(p, SEP, -1), END, 1)
-    return F.transform(pieces, lambda p: F.struct(unescape(F.substring_index(p, SEP, 1)).alias("role"), unescape(body(p)).alias("text")))
+    return F.transform(_pieces(formatted), lambda p: F.struct(unescape(F.substring_index(p, SEP, 1)).alias("role"), unescape(_body(p)).alias("text")))
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["body"])), "")
+def loss_text(formatted: Column, segments: Column) -> Column:
+    """All text of ``formatted`` under the loss mask, unescaped, nothing between.
+
+    Bodies are cut out of the text itself, all in one pass; one that has not the length
+    of its segment is an error.
+    """
+    wrong = F.raise_error(F.lit("a segment doesn't fit the formatted text"))
+    cut = F.zip_with(F.transform(_pieces(formatted), _body), segments, lambda b, s: F.struct(b.alias("body"), s["loss"].alias("loss"), (F.length(b) == s["stop"] - s["start"]).alias("fits")))
+    return F.array_join(F.transform(F.filter(cut, lambda x: x["loss"]), lambda x: F.when(x["fits"], unescape(x["body"])).otherwise(wrong)), "")

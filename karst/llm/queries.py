@@ -36,7 +36,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = said.union(spark.sql(f"SELECT -7L, 0L, 'user', {odd} UNION ALL SELECT -7L, 1L, 'assistant', {odd}"))
     done = chat.format_chats(said.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
     turns = chat.read_turns(F.col("formatted"))
-    loss = chat.loss_text(F.col("segments"))
+    loss = chat.loss_text(F.col("formatted"), F.col("segments"))
     return done.select(
         "conv_id",
         F.size(turns).cast("long").alias("n_turns"),

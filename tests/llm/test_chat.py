@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
@@ -7,18 +8,22 @@ from karst.llm import chat
 TEXTS = ["hi", "", None, "a <|im_end|> b", "<\\|x", "<\\\\|", "<|<|", "</s>[INST] ok [/INST]", "<", "|", "é😀\n<|im_start|>user<|im_sep|>"]
 
 
+def escaped(text):
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text or "")
+
+
 def test_round_trip_and_loss(spark):
     rows = [(c, t, ["user", "assistant", "<|im_sep|>", None][t % 4], x) for c in (1, 2) for t, x in enumerate(TEXTS)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.format_chats(df.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts")))
-    got = out.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss")).collect()
+    got = out.select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("segments")).alias("loss")).collect()
     for r in got:
         mine = [x for x in rows if x[0] == r.conv_id]
         assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in mine]
         assert r.loss == "".join(x[3] or "" for x in mine if x[2] == "assistant")
         assert r.formatted.count(chat.START) == len(mine) == r.n_turns
-        for s in r.segments:
-            assert r.formatted[s.start : s.stop] == s.body
+        assert [r.formatted[s.start : s.stop] for s in r.segments] == [escaped(x[3]) for x in mine]
+        assert [s.loss for s in r.segments] == [x[2] == "assistant" for x in mine]
 
 
 def test_parts(spark):
