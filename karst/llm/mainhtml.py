@@ -2,18 +2,18 @@
 
 1. Markup is stripped by one scan over the tags.  Every block element starts a
    new line; scripts, styles, forms and the like leave nothing.
-2. Each line weighs the code points that may be article text: none inside menus,
-   headers, footers, sidebars, adverts, notices or comments (by element, role,
-   class and id), none inside links of pages that name no article, and, where the
-   page marks its article (``article``, ``main``, role main, itemprop
-   articleBody, or holders by their names with most of the text), none outside
-   all of them.
-3. Weights are summed over windows of ``WINDOW`` lines.  A surge is a line where
-   the window rises from zero and, before it falls to zero again, above the
-   threshold; the dive is where it falls.  Text between surges and their dives is
-   kept, without the lines of no weight.  A page with a marked article has the
-   threshold 0, as its weights are clean; any other has ``SURGE``.  If no window
-   rises that high, the heaviest run of lines with weight is kept.
+2. Each line has a weight, the code points of it that may be article text.  Chrome
+   weighs nothing: menus, headers, footers, sidebars, adverts, notices and comments
+   (by element, role, class and id).  Text in links weighs nothing either, as menus
+   are made of it.  Where a page marks its article (``article``, ``main``, role
+   main, itemprop articleBody, or holders by their names with most of the text), the
+   mark moves weight to its lines: each counts whole and ``SURGE`` more, the others
+   nothing.
+3. Weights are summed over windows of ``WINDOW`` lines, on every page alike.  A
+   surge is a line where the window rises from zero and, before it falls to zero
+   again, above ``SURGE``; the dive is where it falls.  Text between surges and their
+   dives is kept, without the lines of no weight.  If no window rises that high, the
+   heaviest run of lines with weight is kept.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import Scratch, arrow_map
+from karst.llm.common import arrow_map
 
 WINDOW, SURGE = 3, 86
 
@@ -175,51 +175,37 @@ def main_text(page: str | None) -> str:
                 if x > 0:
                     size[x] = size.get(x, 0) + len(text)
     # All marked articles, side by side or one in another; else all elements named as holders, if
-    # they have the bulk of all text.  Inside, chrome alone is left out.
+    # they have the bulk of all text.
     pick = {x for x in size if x % 2}
     if not pick:
         pick = set(size)
         if 5 * sum(len(text) for text, _, chrome, inside in found if not chrome and inside & pick) < 3 * clear:
             pick = set()
     if pick:
-        weight = np.array([0 if chrome or not inside & pick else len(text) for text, _, chrome, inside in found])
-        threshold = 0
+        weight = [0 if chrome or not inside & pick else len(text) + SURGE for text, _, chrome, inside in found]
     else:
-        weight = np.array([0 if chrome else plain for _, plain, chrome, _ in found], int)
-        threshold = SURGE
+        weight = [0 if chrome else plain for _, plain, chrome, _ in found]
+    return "\n".join(found[i][0] for a, b in spans(np.array(weight, np.int64)) for i in range(a, b) if weight[i])
+
+
+def spans(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Lines from each surge to its dive, as (first, one after the last)."""
     if not weight.any():
-        return ""
-    window = np.convolve(weight, np.ones(WINDOW, int))[WINDOW - 1 :]  # of a line and the next ones
-    above = np.flatnonzero((window > threshold) & (weight > 0))
-    if len(above) and pick:
-        spans = [(int(above[0]), int(np.flatnonzero(weight)[-1]) + 1)]
-    else:
-        runs = _runs(weight, window)
-        spans = [r for r in runs if (window[r[0] : r[1]] > threshold).any()] or [max(runs, key=lambda r: weight[r[0] : r[1]].sum())]
-    return "\n".join(found[i][0] for a, b in spans for i in range(a, b) if weight[i])
-
-
-def _runs(weight: np.ndarray, window: np.ndarray) -> list[tuple[int, int]]:
-    """Stretches of lines between a surge (a window above zero after one of zero) and the dive to zero."""
-    out, begin = [], None
-    for i, w in enumerate(weight):
-        if w and begin is None:
-            begin = i
-        if begin is not None and window[i] == 0:
-            out.append((begin, i))
-            begin = None
-    if begin is not None:
-        out.append((begin, len(weight)))
-    return out
+        return []
+    window = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of a line and the next ones
+    rises = np.diff((window > 0).astype(np.int8), prepend=0, append=0)
+    runs = list(zip(np.flatnonzero(rises == 1).tolist(), np.flatnonzero(rises == -1).tolist()))
+    high = [(a, b) for a, b in runs if window[a:b].max() > SURGE]
+    return high or [max(runs, key=lambda r: weight[r[0] : r[1]].sum())]
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with ``html`` replaced by ``out``, the main text, and n_chars, its code points.
 
     Null, empty and text-free pages give an empty text.  A page that breaks off
-    keeps what it has.  Other columns stay; one row in, one row out; no shuffle.
+    keeps what it has.  Columns of ``pages`` named ``out`` or n_chars give way to the
+    new ones; all others stay.  One row in, one row out; no shuffle.
     """
-    Scratch(pages.sparkSession, "html")
     rest = [c for c in pages.columns if c not in (html, out, "n_chars")]
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -1,6 +1,12 @@
+import re
+from html.parser import HTMLParser
+
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from karst.llm import mainhtml as M
 from karst.llm.mainhtml import extract, main_text
 
 LONG = "A sentence of the article that goes on for a while, as sentences do. " * 3
@@ -52,6 +58,98 @@ def test_two_surges():
     assert main_text(f"<div><p>{LONG}</p></div>{gap}<div><p>{LONG}</p></div>{gap}<p>tail</p>") == "\n".join([LONG.strip()] * 2)
 
 
+class Slow(HTMLParser):
+    """Lines of a page by the library's parser: text, code points outside links, chrome, and whether an article is around."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.parts, self.lines = [], [], []
+        self.feed(page)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        text = lambda ps: " ".join("".join(ps).split())
+        for chrome in (False, True):
+            mine = [p for p in self.parts if p[1] == chrome]
+            if text(p[0] for p in mine):
+                self.lines.append((text(p[0] for p in mine), len(text(p[0] for p in mine if not p[2])), chrome, any(p[3] for p in mine)))
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in M.BLOCKS:
+            self.flush()
+        if tag in M.VOID:
+            return
+        if tag in M.BLOCKS and self.stack and self.stack[-1][0] == "p":
+            self.stack.pop()
+        words = {w.lower() for k, v in attrs if k in ("class", "id") for w in re.findall("[A-Za-z]+", v or "")}
+        self.stack.append((tag, tag in M.CHROME or bool(words & M.WORDS)))
+
+    def handle_endtag(self, tag):
+        if tag in M.BLOCKS:
+            self.flush()
+        if tag in [t for t, _ in self.stack]:
+            while self.stack.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.stack]
+        if not {"script", "style", "title"} & set(tags):
+            self.parts.append((data, any(c for _, c in self.stack), "a" in tags, "article" in tags))
+
+
+def slow_text(page):
+    """The same by brute force: every window summed for itself, every line looked at with all windows before and after."""
+    lines = Slow(page).lines
+    marked = any(inside and not chrome for _, _, chrome, inside in lines)
+    w = [0 if chrome or marked and not inside else len(t) + M.SURGE if marked else plain for t, plain, chrome, inside in lines]
+    window = [sum(w[i : i + M.WINDOW]) for i in range(len(w))]
+    keep, best = [], []
+    for i in range(len(w)):
+        a = i
+        while a > 0 and window[a - 1] > 0:
+            a -= 1
+        b = i
+        while b < len(w) and window[b] > 0:
+            b += 1
+        if w[i]:
+            (keep if max(window[a:b]) > M.SURGE else best).append((sum(w[a:b]), -a, i))
+    if not keep and best:
+        keep = [x for x in best if x[:2] == max(best)[:2]]
+    return "\n".join(lines[i][0] for _, _, i in keep)
+
+
+@pytest.fixture(scope="module")
+def pages():
+    return [r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' ORDER BY page_id").fetchall()]
+
+
+def test_all_pages_as_by_brute_force(pages):
+    assert len(pages) == 250 and all(main_text(p) == slow_text(p) for p in pages)
+
+
+def test_windows_find_the_article_without_its_mark(pages):
+    """On each page the windows alone make the result: with the mark taken away it is the same."""
+    plain = [re.sub(r"(</?)article\b", r"\1div", p) for p in pages]
+    decided = sum(main_text(b) == main_text(a) == slow_text(b) != "" for a, b in zip(pages, plain))
+    assert decided == len(pages)
+
+
+def test_windows_decide_on_marked_pages_too(pages, monkeypatch):
+    """All pages go through the windows: with none that surges, nothing but the heaviest run is left."""
+    seen = []
+    monkeypatch.setattr(M, "spans", lambda w, real=M.spans: seen.append(len(w)) or real(w))
+    for p in pages:
+        main_text(p)
+    assert len(seen) == len(pages)
+    page = f"<main><p>{LONG}</p></main>" + "<div>x</div>" * 3 + "<main><p>Two</p></main>"
+    assert M.main_text(page) == f"{LONG.strip()}\nTwo"
+    monkeypatch.setattr(M, "SURGE", 10**6)
+    monkeypatch.setattr(M, "spans", lambda w, real=M.spans: real(np.where(w > 0, w - 10**6, 0)))
+    assert M.main_text(page) == LONG.strip()
+
+
 def test_long_page():
     assert len(main_text("<article>" + "<p>word</p>" * 50000 + "</article>").split("\n")) == 50000
     assert main_text("<" * 50000 + "<article>x") .endswith("x")
