@@ -13,9 +13,13 @@ in every document in two passes over whole texts:
    words, ``MISS`` for a changed word, ``GAP`` for one put in or left out.  The score
    is the best alignment's sum over the item's words: 1 for an exact copy.
 
+An item of fewer than ``SEED`` words has no gram; it is held by a document that has
+its words and no others, and nothing else.
+
 Items are taken in blocks of at most ``BLOCK_WORDS`` words: a block is what is
-broadcast, so its size is bounded; a larger benchmark means more passes.  Nothing
-is shuffled but counts of the block's grams and the found pairs.
+broadcast, so its size is bounded.  Each block's grams are counted over all
+documents, then one pass looks for all blocks.  Nothing is shuffled but counts of
+grams and the found pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, chunks, mix, span_hashes, text_buffer
+from karst.llm.common import U64, Scratch, chunks, mix, small_batches, span_hashes, text_buffer, word_spans
 
 SEED, RARE, RARE_AT_LEAST, SEVERAL = 3, 1e-3, 5, 3
 MATCH, MISS, GAP = 1.0, -0.5, -0.5
@@ -42,17 +47,21 @@ _NO_WORD[48:58] = _NO_WORD[65:91] = _NO_WORD[97:123] = _NO_WORD[128:] = False
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and each row's first."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    word = ~_NO_WORD[raw]
-    cut = np.zeros(n + 1, bool)
-    cut[offsets] = True
-    before = np.concatenate([[False], word[:-1]])
-    after = np.concatenate([word[1:], [False]])
-    start = np.flatnonzero(word & (~before | cut[:-1]))
-    end = np.flatnonzero(word & (~after | cut[1:])) + 1
-    return span_hashes(raw, start, end), np.searchsorted(start, offsets)
+    start, end, first = word_spans(raw, offsets, _NO_WORD)
+    return span_hashes(raw, start, end), first
+
+
+def whole_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of all words of each row that has 1 to ``SEED`` - 1 of them, 0 for any other."""
+    out = np.zeros(len(first) - 1, U64)
+    for n in range(1, SEED):
+        at = np.flatnonzero(np.diff(first) == n)
+        if len(at):
+            g = np.full(len(at), n, U64)
+            for k in range(n):
+                g = mix(g + h[first[at] + k])
+            out[at] = g | U64(1)
+    return out
 
 
 def grams_of(h: np.ndarray, first: np.ndarray, width: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +85,11 @@ class Seeds:
         raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, texts)))]).astype(np.int64)
         h, first = words_of(raw, off)
         self.words = [h[a:b] for a, b in zip(first[:-1], first[1:])]
+        # Items too short for a gram, by all their words.
+        self.short: dict[int, list[int]] = {}
+        for i, x in enumerate(whole_of(h, first).tolist()):
+            if x:
+                self.short.setdefault(x, []).append(i)
         g, ok = grams_of(h, first)
         item = np.repeat(np.arange(len(items)), np.diff(first))[: len(g)][ok]
         g = g[ok]
@@ -120,8 +134,9 @@ def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
 def find(seeds: Seeds, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, float]]:
     """(row, item, score) of every pair that reaches the threshold, the best passage of each."""
     h, first, at, gram = seeds.hits(raw, off)
+    whole = [(row, i, 1.0) for row, x in enumerate(whole_of(h, first).tolist()) if x for i in seeds.short.get(x, ())] if seeds.short else []
     if not len(at):
-        return []
+        return whole
     n = np.diff(seeds.first)[gram]
     item = seeds.item[np.repeat(seeds.first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     at, gram = np.repeat(at, n), np.repeat(gram, n)
@@ -140,7 +155,7 @@ def find(seeds: Seeds, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int,
     need = np.minimum(SEVERAL, np.maximum(1, size[item[cut]] - SEED + 1))
     pick = np.flatnonzero(rare | (distinct >= need))
     if not len(pick):
-        return []
+        return whole
     last = np.append(cut[1:], len(at)) - 1
     r, i = row[cut[pick]], item[cut[pick]]
     a = np.maximum(at[cut[pick]] - size[i] - SEED, first[r])
@@ -166,7 +181,7 @@ def find(seeds: Seeds, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int,
                 key = (int(r[x]), int(i[x]))
                 best[key] = max(best.get(key, 0.0), s / m)
         k = j
-    return [(*key, s) for key, s in sorted(best.items())]
+    return whole + [(*key, s) for key, s in sorted(best.items())]
 
 
 def _blocks(items: DataFrame) -> Iterator[Seeds]:
@@ -204,45 +219,48 @@ def _weighed(docs: DataFrame, seeds: Seeds) -> Seeds:
     return seeds
 
 
+def _prepared(docs: DataFrame, items: DataFrame) -> list[Broadcast]:
+    """All blocks, weighed by the same documents, so that their order is of no account."""
+    small_batches(docs.sparkSession)
+    return [docs.sparkSession.sparkContext.broadcast(_weighed(docs, seeds)) for seeds in _blocks(items)]
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id and score of every pair of a document (doc_id, text) and an item (item_id, text) it holds a copy of.
 
-    Null and empty texts hold nothing; items with fewer than ``SEED`` words, or null,
-    are held by nothing.  Of repeated rows the best score counts.
+    Null and empty texts hold nothing; items that are null or have no words are held
+    by nothing; items of fewer than ``SEED`` words by documents with the same words
+    and no others.  Of repeated rows the best score counts.
     """
-    out = None
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sc = Scratch(docs.sparkSession, "leaks")
-    for seeds in _blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(_weighed(texts, seeds))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                raw, off = text_buffer(b["text"])
-                for i, j, r, o in chunks(raw, off):
+    blocks = _prepared(texts, items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = text_buffer(b["text"])
+            for i, j, r, o in chunks(raw, off):
+                doc = b["doc_id"].slice(i, j - i)
+                for shared in blocks:
                     found = find(shared.value, r, o)
                     if found:
-                        doc = b["doc_id"].slice(i, j - i).take(pa.array([x[0] for x in found]))
-                        yield pa.RecordBatch.from_arrays([doc, pa.array([shared.value.ids[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found])], ["doc_id", "item_id", "score"])
+                        yield pa.RecordBatch.from_arrays([doc.take(pa.array([x[0] for x in found])), pa.array([shared.value.ids[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found])], ["doc_id", "item_id", "score"])
 
-        pairs = sc.keep(texts.mapInArrow(run, "doc_id long, item_id long, score double"), "pairs")
-        out = pairs if out is None else out.union(pairs)
-    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    pairs = Scratch(docs.sparkSession, "leaks").keep(texts.mapInArrow(run, "doc_id long, item_id long, score double"), "pairs")
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a copy of an item; all columns, no shuffle."""
-    for seeds in _blocks(items):
-        shared = docs.sparkSession.sparkContext.broadcast(_weighed(docs, seeds))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                raw, off = text_buffer(b["text"])
-                clean = np.ones(b.num_rows, bool)
-                for i, _, r, o in chunks(raw, off):
+    """``docs`` without the rows that hold a copy of an item (as in ``contaminated``); all columns, no shuffle."""
+    blocks = _prepared(docs, items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, off = text_buffer(b["text"])
+            clean = np.ones(b.num_rows, bool)
+            for i, _, r, o in chunks(raw, off):
+                for shared in blocks:
                     for row, _, _ in find(shared.value, r, o):
                         clean[i + row] = False
-                yield b if clean.all() else b.filter(pa.array(clean))
+            yield b if clean.all() else b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema) if blocks else docs

@@ -61,6 +61,24 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got} == want
 
 
+def test_short_items_by_exact_match(spark):
+    docs = [(1, "Yes!"), (2, "yes, it is"), (3, "the end"), (4, "The End."), (5, "end the"), (6, "yes yes"), (6, "YES")]
+    items = spark.createDataFrame([(1, "yes"), (2, "the end"), (3, "!!"), (4, "yes")], "item_id long, text string")
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 1.0), (1, 4, 1.0), (3, 2, 1.0), (4, 2, 1.0), (6, 1, 1.0), (6, 4, 1.0)}
+
+
+def test_the_order_of_blocks_is_of_no_account(spark, monkeypatch):
+    """What is rare is counted over all documents, not over those that an earlier block has left."""
+    docs, items, want = planted(spark)
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(D, "BLOCK_WORDS", 100)
+    seen, weighed = [], D._weighed
+    monkeypatch.setattr(D, "_weighed", lambda d, s: seen.append(d) or weighed(d, s))
+    assert {r.doc_id for r in D.decontaminate(a, b).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert len(seen) > 3 and all(d is a for d in seen)
+
+
 def test_an_item_that_leaked_everywhere(spark):
     docs = [(i, f"w{i} alpha beta gamma delta epsilon zeta eta theta x{i}") for i in range(300)]
     items = [(1, "alpha beta gamma delta epsilon zeta eta theta")]
@@ -71,8 +89,8 @@ def test_an_item_that_leaked_everywhere(spark):
 def test_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two"), (4, "one two three"), (None, "x x x"), (5, "x x x x x x x x")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.contaminated(odd, items).collect()}
-    assert got == {(6, 4), (7, 4), (8, 5)}
+    assert got == {(5, 3), (6, 4), (7, 4), (8, 5)}  # an item of two words is held by the document that is it
     left = D.decontaminate(odd, items)
-    assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 9, 10]
+    assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 9, 10]
     assert D.contaminated(none, items).collect() == [] and D.decontaminate(none, items).collect() == []
     assert D.contaminated(odd, items.limit(0)).collect() == [] and D.decontaminate(odd, items.limit(0)).count() == odd.count()
