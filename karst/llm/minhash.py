@@ -1,7 +1,7 @@
 """Near-duplicate detection: universal hash minima, banding, exact confirmation, components.
 
 1. A pass over the texts makes each document's set of word shingles, its size, a
-   128-bit digest of the set, and ``bands * rows`` universal hash minima folded
+   cryptographic digest of the whole set, and ``bands * rows`` universal hash minima folded
    into band keys.  Documents of one digest form a class; its least doc_id stands
    for it, so exact copies never meet each other again.
 2. In each band bucket every class is paired with the bucket's centre (one row a
@@ -9,19 +9,27 @@
    buckets, as the original of a group of edited copies does.  Pairs are confirmed
    on the full sets.
 3. Components of the confirmed links (large-star, small-star).
-4. Members of buckets that still hold more than one component are compared in
-   blocks of bounded size: pairs of different components whose signatures could
-   belong to the threshold are compared on the full sets, in the task that holds
-   both blocks; only links that join components come out of it.  So a link is lost only if all bands miss it: with 32
-   bands of 5 rows, at similarity 0.85 that has probability 7e-9.
+4. What the stars could not decide: buckets that still hold several components.  Each
+   is cut into blocks of bounded size, a component that fills blocks into its own, and
+   blocks meet unless both belong to one component.  So a great group of copies meets
+   the few others of its bucket once, and never itself.  Two members are compared in
+   the first band that they share, in the task that holds both blocks: if they are of
+   different components and their signatures could belong to the threshold, on the
+   full sets.  Only links that join components come out of it.
+
+So a link is lost only if all bands miss it: with 32 bands of 5 rows, at similarity
+0.85 that has probability 7e-9.  Aggregates by bucket are written before they are
+joined back, so that adaptive execution can split a bucket with very many members.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.llm.common import U64, Scratch, arrow_map, chunks, i64, mix, text_buffer, texts_only, word_hashes
@@ -75,7 +83,9 @@ def _signatures(bands: int, rows: int, width: int):
             if not len(full):
                 continue
             cut = at[full]
-            h1[i + full], h2[i + full] = np.add.reduceat(mix(s), cut), np.add.reduceat(mix(s ^ _K[1]), cut)
+            view = memoryview(s).cast("B")
+            digest = b"".join(hashlib.blake2b(view[8 * x : 8 * y], digest_size=16).digest() for x, y in zip(cut.tolist(), at[full + 1].tolist()))
+            h1[i + full], h2[i + full] = np.frombuffer(digest, U64).reshape(-1, 2).T
             minima = np.empty((k, len(full)), U64)
             for x in range(k):
                 minima[x] = np.minimum.reduceat(s * _MULT[x] + _PLUS[x], cut)
@@ -115,7 +125,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _cell(sig_bytes: int, floor: float, percent: int):
     """Links between members of different components in one pair of blocks: as few as join what the cell's links join.
 
-    Signatures sort out pairs that cannot be near; the others are compared on their full sets.
+    Pairs that share an earlier band are left to its bucket.  Signatures sort out pairs
+    that cannot be near; the others are compared on their full sets.
     """
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -129,9 +140,12 @@ def _cell(sig_bytes: int, floor: float, percent: int):
 
         if len(left) and len(right):
             sig = np.frombuffer(b"".join(right.sig), np.uint8).reshape(-1, sig_bytes)
+            band = int(pdf.band.iat[0])
+            keys = np.stack(right["keys"].to_numpy())[:, :band]
             ids, comps, size, sets = right.rep.to_numpy(), right.comp.to_numpy(), right.n.to_numpy(), [x.view(U64) for x in right.shingles]  # sorted as unsigned
-            for r, c, n, s, mine in zip(left.rep, left.comp, left.n, left.sig, left.shingles):
+            for r, c, n, s, k, mine in zip(left.rep, left.comp, left.n, left.sig, left["keys"], left.shingles):
                 may = np.flatnonzero((comps != c) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent))
+                may = may[~(keys[may] == k[:band]).any(1)]
                 if not len(may):
                     continue
                 mine = mine.view(U64)
@@ -150,6 +164,38 @@ def _cell(sig_bytes: int, floor: float, percent: int):
     return f
 
 
+def _floor(percent: int, minima: int) -> float:
+    """The share of equal minima below which a pair can't be at the threshold, by 5 standard deviations."""
+    return percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / minima) ** 0.5
+
+
+def _cells(open_: DataFrame, mine: DataFrame, sets: DataFrame, sc: Scratch) -> DataFrame:
+    """The members of open buckets (key, band, rep, comp), copied to the pairs of blocks (i, j) in which they meet others."""
+    rows = open_.join(mine.select("rep", F.col("n_shingles").alias("n"), "sig", "keys"), "rep")
+    rows = sc.keep(rows, "open-members")
+    many = lambda count, size: F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    parts = sc.keep(parts.withColumn("blocks", many(F.col("c"), F.col("s"))), "bucket-parts")
+    # Components of one block at most share blocks; the others have their own, numbered after those.
+    few = parts.where("blocks <= 1").groupBy("key").agg(many(F.sum("c"), F.sum("s")).alias("few"))
+    until = F.sum("blocks").over(Window.partitionBy("key").orderBy("comp").rowsBetween(Window.unboundedPreceding, 0))
+    great = parts.where("blocks > 1").select("key", "comp", "blocks", (until - F.col("blocks")).alias("begin"))
+    total = great.groupBy("key").agg(F.sum("blocks").alias("great"))
+    bucket = sc.keep(few.join(total, "key", "full").select("key", F.coalesce("few", F.lit(0)).alias("few"), F.coalesce("great", F.lit(0)).alias("great")), "bucket-blocks")
+    great = sc.keep(great, "great-parts")
+    rows = rows.join(bucket, "key").join(great, ["key", "comp"], "left")
+    own = F.col("blocks").isNotNull()
+    first = F.when(own, F.col("few") + F.col("begin")).otherwise(0)
+    rows = rows.withColumn("at", first + F.pmod(F.xxhash64("rep"), F.coalesce("blocks", "few"))).withColumn("all", F.col("few") + F.col("great"))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda x: ~own | (x < F.col("few") + F.col("begin")) | (x >= F.col("few") + F.col("begin") + F.col("blocks")))
+    # A block is the left side of the cells with later blocks and the right side of those with earlier ones; with itself it is both.
+    cell = lambda x: F.struct(F.least(x, F.col("at")).alias("i"), F.greatest(x, F.col("at")).alias("j"), (x < F.col("at")).cast("int").alias("side"))
+    both = F.filter(F.array(F.struct(F.col("at").alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"))), lambda x: ~own)
+    rows = rows.select("key", "band", "rep", "comp", "n", "sig", "keys", F.concat(F.transform(other, cell), both).alias("cells"))
+    rows = rows.join(sets, rows.rep == sets.doc_id)
+    return rows.select("key", "band", "rep", "comp", "n", "sig", "keys", "shingles", F.inline("cells"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """One row a row of ``docs`` (doc_id, text): doc_id, n_shingles, class_id, component_id, kept.
 
@@ -169,37 +215,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     members = sc.keep(s.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep")), "members")
     reps = members.where("doc_id = rep").select("rep").distinct()
     mine = s.where("n_shingles > 0").join(reps, s.doc_id == reps.rep, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig").dropDuplicates(["rep", "keys"])
-    buckets = mine.select("rep", F.explode("keys").alias("key"))
-    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = sc.keep(buckets.join(several, "key").select("key", "rep", "c"), "buckets")
-    fame = shared.groupBy("rep").agg(F.sum("c").alias("fame"))
-    known = sc.keep(shared.join(fame, "rep").select("key", "rep", "fame"), "fame")
-    centre = known.groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("m"))
-    stars = known.join(centre, "key").where("rep <> m").select(F.greatest("rep", "m").alias("u"), F.least("rep", "m").alias("v")).distinct()
+    buckets = mine.select("rep", F.posexplode("keys").alias("band", "key"))
+    sizes = sc.keep(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bucket-sizes")
+    # A row a class that shares buckets: its places in them (at most ``bands``) and how many others it meets there.
+    known = buckets.join(sizes, "key").groupBy("rep").agg(F.collect_list(F.struct("band", "key")).alias("places"), F.sum("c").alias("fame"))
+    known = sc.keep(known, "known")
+    shared = known.select("rep", "fame", F.inline("places"))
+    centre = sc.keep(shared.groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("m")), "centres")
+    stars = shared.join(centre, "key").where("rep <> m").select(F.greatest("rep", "m").alias("u"), F.least("rep", "m").alias("v")).distinct()
     stars = sc.keep(stars, "stars")
-    ids = stars.select(F.col("u").alias("doc_id")).union(stars.select(F.col("v").alias("doc_id"))).union(shared.select(F.col("rep").alias("doc_id"))).distinct()
-    sets = sc.keep(arrow_map(texts.join(ids, "doc_id", "left_semi"), _sets(width), "doc_id long, shingles array<long>"), "sets", "snappy")
+    sets = sc.keep(arrow_map(texts.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), _sets(width), "doc_id long, shingles array<long>"), "sets", "snappy")
     links = sc.keep(_confirmed(stars, sets, percent), "links")
     comps = sc.keep(connected_components(links, sc), "components")
-    # What the stars could not decide: buckets that still hold several components.
-    now = shared.join(comps, shared.rep == comps.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    now = sc.keep(now, "bucket-components")
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-    open_ = sc.keep(now.join(mixed.select("key", "members"), "key"), "mixed")
+    now = known.join(comps, known.rep == comps.node, "left").select("rep", F.coalesce("component", "rep").alias("comp"), F.inline("places"))
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = sc.keep(now.join(sc.keep(mixed, "mixed"), "key"), "open")
     if not open_.isEmpty():
-        # Members of mixed buckets that share buckets, directly or in a chain, form a group; groups are compared in blocks.
-        groups = connected_components(open_.groupBy("key").agg(F.min("rep").alias("m")).join(open_, "key").select(F.col("rep").alias("u"), F.col("m").alias("v")), sc)
-        cells = open_.select("rep", "comp").distinct().join(groups, F.col("rep") == F.col("node")).select("rep", "comp", F.col("component").alias("g"))
-        cells = sc.keep(cells.join(mine.select("rep", F.col("n_shingles").alias("n"), "sig"), "rep"), "group-members")
-        blocks = cells.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-        cells = cells.join(blocks, "g").withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        # A block goes to the cells (at, j >= at) as left and to (i <= at, at) as right.
-        lefts = F.transform(F.sequence("at", F.col("blocks") - 1), lambda j: F.struct(F.col("at").alias("i"), j.alias("j"), F.lit(0).alias("side")))
-        rights = F.transform(F.sequence(F.lit(0).cast("long"), "at"), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"), F.lit(1).alias("side")))
-        cells = cells.join(sets, cells.rep == sets.doc_id).withColumn("cell", F.explode(F.concat(lefts, rights)))
-        cells = cells.select("g", "cell.i", "cell.j", "cell.side", "rep", "comp", "n", "sig", "shingles")
-        floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (bands * rows)) ** 0.5
-        more = sc.keep(cells.groupBy("g", "i", "j").applyInPandas(_cell(bands * rows, floor, percent), "u long, v long"), "more-links")
+        more = sc.keep(_cells(open_, mine, sets, sc).groupBy("key", "i", "j").applyInPandas(_cell(bands * rows, _floor(percent, bands * rows), percent), "u long, v long"), "more-links")
         if not more.isEmpty():
             comps = sc.keep(connected_components(links.union(more), sc), "components")
     kept = (
@@ -208,13 +240,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     out = sc.keep(kept, "result")
-    sc.drop(s, classes, members, shared, known, stars, sets, links, comps, now, open_)
+    sc.drop(s, classes, members, sizes, known, centre, stars, sets, links, comps, open_)
     return out
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows that ``near_duplicates`` doesn't keep; all its columns, one document of each group."""
-    found = near_duplicates(docs, **options)
+def deduplicate(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
+    """``docs`` without the rows that are near-duplicates of one that stays; all its columns, one row of each group.
+
+    Each row is decided for itself: of repeated rows one stays, and of several texts
+    for one doc_id, or without any, each goes or stays by its own words.  The row of
+    the least doc_id stays, nulls last.  Rows without words all stay.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("__karst_row"))
+    # One number: whether each row has a doc_id of its own.
+    own = ids.groupBy("__karst_row").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or __karst_row is null").isEmpty()
+    if own:
+        rows = docs.withColumn("__karst_row", F.col("doc_id").cast("long"))
+    else:
+        # Numbers in a written copy; they ascend with doc_id, so that the least row is the one of the least doc_id.
+        sc = scratch or Scratch(docs.sparkSession, "rows")
+        order = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text")
+        rows = sc.keep(order.withColumn("__karst_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("__karst_row").alias("doc_id"), "text"), scratch=scratch, **options)
     # Shuffled at every size: the ids grow with the data, so there is no bound to broadcast them by; only they are hashed.
-    gone = found.where("not kept").select(F.col("doc_id").alias("__karst_gone")).distinct().hint("shuffle_hash")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__karst_gone"], "left_anti")
+    gone = found.where("not kept").select(F.col("doc_id").alias("__karst_row")).hint("shuffle_hash")
+    return rows.join(gone, "__karst_row", "left_anti").select(*[rows[c] for c in docs.columns])
