@@ -24,6 +24,7 @@ import sys
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, small_batches, texts_only
+from karst.llm.common import U64, Scratch, small_batches, text_buffer, texts_only
 
 MAGIC = b"KRP1"
 #: Ids of a shard (a longer document stays whole), pairs of a round at most, least count of a pair.
 SHARD, PER_ROUND, LEAST = 2_000_000, 4000, 24
 _BINS = 18
 NO_DOC = -(2**63)
+_BLANK = np.arange(256, dtype=np.uint8)
+_BLANK[[9, 10, 13]] = 32
+_LOWER = _BLANK.copy()
+_LOWER[65:91] += 32
 
 
 # --- encoding ----------------------------------------------------------------
@@ -77,14 +82,16 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _lowered(self, t: str) -> str:
-        """A-Z lowered, if no combining character is there."""
-        if t.isascii():
-            return t.lower()
-        try:
-            return t.encode("latin-1").lower().decode("latin-1")
-        except UnicodeEncodeError:
-            return t if self.unsafe.search(t) else t.encode().lower().decode()
+    def _plain(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """The texts' bytes, all white space that separates as blanks, and A-Z lowered in each text that allows it."""
+        rows = lambda at: np.unique(np.searchsorted(off, at, "right") - 1)
+        keep = [rows(np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124)))] if len(raw) else []
+        # Combining characters begin at U+0300, and so with a byte of 0xCC or more.
+        keep.append(np.array([i for i in rows(np.flatnonzero(raw >= 0xCC)) if self.unsafe.search(raw[off[i] : off[i + 1]].tobytes().decode())], np.int64))
+        out = _LOWER[raw]
+        for i in np.concatenate(keep).tolist():
+            out[off[i] : off[i + 1]] = _BLANK[raw[off[i] : off[i + 1]]]
+        return out
 
     def _learn(self, words: list[str]) -> None:
         """Words of letters are encoded many to a text and told apart by the tokens that end a pre-token.
@@ -128,28 +135,31 @@ class WordEncoder:
         self.ids = np.concatenate([self.ids, ids])
         self.start, self.size = np.concatenate([self.start, first]), np.concatenate([self.size, size])
 
-    def encode(self, texts: list[str | None], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each begins (one more at the end)."""
         if len(self.known) > self.MOST:
             self.clear()
-        words: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            if t:
-                if "<|" not in t:
-                    t = self._lowered(t)
-                w = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                words += w
-                counts[i] = len(w)
+        raw, off = text_buffer(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        raw = self._plain(raw, off)
+        # Words with the blank behind them, one after another, so that Arrow tells them apart where they stand.
+        cut = np.ones(len(raw) + 1, bool)
+        np.equal(raw, 32, out=cut[1:])
+        cut[off] = True
+        cuts = np.flatnonzero(cut)
+        coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
+        words = [w.rstrip(" ") for w in coded.dictionary.to_pylist()]
         known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            mine = [words[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(mine)))
+            at[new] = np.fromiter(map(known.__getitem__, mine), np.int64, len(mine))
+        at = at[coded.indices.to_numpy()]
         size = self.size[at]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])]
-        cuts = upto[np.concatenate([[0], np.cumsum(counts)])]
+        cuts = upto[np.searchsorted(cuts, off)]
         if end is None:
             return ids, cuts
         return np.insert(ids, cuts[1:], end), cuts + np.arange(len(cuts))
@@ -338,9 +348,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scra
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(own)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "shard": pa.array([pack(own, ids, cuts)], pa.binary())})
 
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                x = b.slice(i, 512)
-                ids, cuts = encoder_of(tokenizer).encode(x["text"].to_pylist(), end)
+            for i in range(0, b.num_rows, 2048):
+                x = b.slice(i, 2048)
+                ids, cuts = encoder_of(tokenizer).encode(x["text"], end)
                 held.append((x["doc_id"].fill_null(NO_DOC).to_numpy(zero_copy_only=False), ids, cuts))
                 n += len(ids)
                 if n >= SHARD:
