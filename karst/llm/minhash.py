@@ -12,10 +12,10 @@
 4. What the stars could not decide: buckets that still hold several components.  Each
    is cut into blocks of bounded size, a component that fills blocks into its own, and
    blocks meet unless both belong to one component.  So a great group of copies meets
-   the few others of its bucket once, and never itself.  Two members are compared in
-   the first band that they share, in the task that holds both blocks: if they are of
-   different components and their signatures could belong to the threshold, on the
-   full sets.  Only links that join components come out of it.
+   the few others of its bucket once, and never itself.  Where blocks meet, signatures
+   first tell which members may have a link to another component there; those alone
+   bring their full sets, and are compared in the first band that a pair shares.  Only
+   links that join components come out of it.
 
 So a link is lost only if all bands miss it: with 32 bands of 5 rows, at similarity
 0.85 that has probability 7e-9.  Aggregates by bucket are written before they are
@@ -25,6 +25,7 @@ joined back, so that adaptive execution can split a bucket with very many member
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -122,6 +123,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(near).where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v")
 
 
+def _suspects(sig_bytes: int, floor: float, percent: int):
+    """Of rows sorted by cell, those that may have a link in it: a member of another component with a near size and signature on the other side."""
+
+    def of_group(comp: np.ndarray, n: np.ndarray, side: np.ndarray, sig: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(comp), bool)
+        right = np.flatnonzero(side != 0)
+        for i in np.flatnonzero(side != 1):
+            may = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)]
+            if len(may):
+                hit = may[(sig[may] == sig[i]).mean(1) >= floor]
+                out[hit] = True
+                out[i] |= len(hit) > 0
+        return out
+
+    def of_rows(t: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        comp, n, side = (t[c].to_numpy() for c in ("comp", "n", "side"))
+        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, sig_bytes)
+        keep = np.zeros(t.num_rows, bool)
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a + 1 and (comp[a:b] != comp[a]).any():
+                keep[a:b] = of_group(comp[a:b], n[a:b], side[a:b], sig[a:b])
+        return t.filter(pa.array(keep)).drop_columns(["sig"]).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            change = np.zeros(max(t.num_rows - 1, 0), bool)
+            for c in ("key", "i", "j"):
+                x = t[c].to_numpy()
+                change |= x[1:] != x[:-1]
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+            yield from of_rows(t.slice(0, cuts[-1]), cuts).to_batches()
+            held = t.slice(cuts[-1])  # the last cell may go on
+        if held is not None and held.num_rows:
+            yield from of_rows(held, [0, held.num_rows]).to_batches()
+
+    return run
+
+
 def _cell(sig_bytes: int, floor: float, percent: int):
     """Links between members of different components in one pair of blocks: as few as join what the cell's links join.
 
@@ -130,7 +171,7 @@ def _cell(sig_bytes: int, floor: float, percent: int):
     """
 
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]
         out, top = [], {}
 
         def find(x: int) -> int:
@@ -169,12 +210,13 @@ def _floor(percent: int, minima: int) -> float:
     return percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / minima) ** 0.5
 
 
-def _cells(open_: DataFrame, mine: DataFrame, sets: DataFrame, sc: Scratch) -> DataFrame:
-    """The members of open buckets (key, band, rep, comp), copied to the pairs of blocks (i, j) in which they meet others."""
-    rows = open_.join(mine.select("rep", F.col("n_shingles").alias("n"), "sig", "keys"), "rep")
-    rows = sc.keep(rows, "open-members")
+def _cells(open_: DataFrame, sc: Scratch) -> DataFrame:
+    """The members of open buckets (key, band, rep, comp, n), copied to the pairs of blocks (i, j) in which they meet others.
+
+    side is 0 for the left block of a pair, 1 for the right one, and 2 for a block that meets itself.
+    """
     many = lambda count, size: F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_SHINGLES))
-    parts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    parts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     parts = sc.keep(parts.withColumn("blocks", many(F.col("c"), F.col("s"))), "bucket-parts")
     # Components of one block at most share blocks; the others have their own, numbered after those.
     few = parts.where("blocks <= 1").groupBy("key").agg(many(F.sum("c"), F.sum("s")).alias("few"))
@@ -183,17 +225,15 @@ def _cells(open_: DataFrame, mine: DataFrame, sets: DataFrame, sc: Scratch) -> D
     total = great.groupBy("key").agg(F.sum("blocks").alias("great"))
     bucket = sc.keep(few.join(total, "key", "full").select("key", F.coalesce("few", F.lit(0)).alias("few"), F.coalesce("great", F.lit(0)).alias("great")), "bucket-blocks")
     great = sc.keep(great, "great-parts")
-    rows = rows.join(bucket, "key").join(great, ["key", "comp"], "left")
+    rows = open_.join(bucket, "key").join(great, ["key", "comp"], "left")
     own = F.col("blocks").isNotNull()
     first = F.when(own, F.col("few") + F.col("begin")).otherwise(0)
     rows = rows.withColumn("at", first + F.pmod(F.xxhash64("rep"), F.coalesce("blocks", "few"))).withColumn("all", F.col("few") + F.col("great"))
-    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda x: ~own | (x < F.col("few") + F.col("begin")) | (x >= F.col("few") + F.col("begin") + F.col("blocks")))
-    # A block is the left side of the cells with later blocks and the right side of those with earlier ones; with itself it is both.
-    cell = lambda x: F.struct(F.least(x, F.col("at")).alias("i"), F.greatest(x, F.col("at")).alias("j"), (x < F.col("at")).cast("int").alias("side"))
-    both = F.filter(F.array(F.struct(F.col("at").alias("i"), F.col("at").alias("j"), F.lit(1).alias("side"))), lambda x: ~own)
-    rows = rows.select("key", "band", "rep", "comp", "n", "sig", "keys", F.concat(F.transform(other, cell), both).alias("cells"))
-    rows = rows.join(sets, rows.rep == sets.doc_id)
-    return rows.select("key", "band", "rep", "comp", "n", "sig", "keys", "shingles", F.inline("cells"))
+    mine = lambda x: own & (x >= F.col("few") + F.col("begin")) & (x < F.col("few") + F.col("begin") + F.col("blocks"))
+    other = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda x: ~F.coalesce(mine(x), F.lit(False)))
+    side = lambda x: F.when(x == F.col("at"), 2).otherwise((x < F.col("at")).cast("int"))
+    cell = lambda x: F.struct(F.least(x, F.col("at")).alias("i"), F.greatest(x, F.col("at")).alias("j"), side(x).alias("side"))
+    return rows.select("key", "band", "rep", "comp", "n", F.inline(F.transform(other, cell)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, scratch: Scratch | None = None) -> DataFrame:
@@ -214,11 +254,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     classes = sc.keep(s.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "class-ids")
     members = sc.keep(s.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep")), "members")
     reps = members.where("doc_id = rep").select("rep").distinct()
-    mine = s.where("n_shingles > 0").join(reps, s.doc_id == reps.rep, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "keys", "sig").dropDuplicates(["rep", "keys"])
-    buckets = mine.select("rep", F.posexplode("keys").alias("band", "key"))
+    mine = s.where("n_shingles > 0").join(reps, s.doc_id == reps.rep, "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "keys", "sig").dropDuplicates(["rep", "keys"])
+    mine = sc.keep(mine, "classes", "snappy")
+    sc.drop(s)
+    buckets = mine.select("rep", "n", F.posexplode("keys").alias("band", "key"))
     sizes = sc.keep(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bucket-sizes")
     # A row a class that shares buckets: its places in them (at most ``bands``) and how many others it meets there.
-    known = buckets.join(sizes, "key").groupBy("rep").agg(F.collect_list(F.struct("band", "key")).alias("places"), F.sum("c").alias("fame"))
+    known = buckets.join(sizes, "key").groupBy("rep", "n").agg(F.collect_list(F.struct("band", "key")).alias("places"), F.sum("c").alias("fame"))
     known = sc.keep(known, "known")
     shared = known.select("rep", "fame", F.inline("places"))
     centre = sc.keep(shared.groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("m")), "centres")
@@ -227,11 +269,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sets = sc.keep(arrow_map(texts.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), _sets(width), "doc_id long, shingles array<long>"), "sets", "snappy")
     links = sc.keep(_confirmed(stars, sets, percent), "links")
     comps = sc.keep(connected_components(links, sc), "components")
-    now = known.join(comps, known.rep == comps.node, "left").select("rep", F.coalesce("component", "rep").alias("comp"), F.inline("places"))
+    now = known.join(comps, known.rep == comps.node, "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"), F.inline("places"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = sc.keep(now.join(sc.keep(mixed, "mixed"), "key"), "open")
     if not open_.isEmpty():
-        more = sc.keep(_cells(open_, mine, sets, sc).groupBy("key", "i", "j").applyInPandas(_cell(bands * rows, _floor(percent, bands * rows), percent), "u long, v long"), "more-links")
+        floor = _floor(percent, bands * rows)
+        cells = _cells(open_, sc).join(mine.select("rep", "sig"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        few = sc.keep(cells.mapInArrow(_suspects(bands * rows, floor, percent), "rep long, key long, band int, comp long, n long, i long, j long, side int"), "suspects")
+        few = few.join(mine.select("rep", "keys", "sig"), "rep").join(sets, few["rep"] == sets["doc_id"]).drop("doc_id")
+        more = sc.keep(few.groupBy("key", "i", "j").applyInPandas(_cell(bands * rows, floor, percent), "u long, v long"), "more-links")
         if not more.isEmpty():
             comps = sc.keep(connected_components(links.union(more), sc), "components")
     kept = (
@@ -240,7 +286,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
     out = sc.keep(kept, "result")
-    sc.drop(s, classes, members, sizes, known, centre, stars, sets, links, comps, open_)
+    sc.drop(classes, members, mine, sizes, known, centre, stars, sets, links, comps, open_)
     return out
 
 

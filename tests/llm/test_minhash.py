@@ -72,14 +72,16 @@ def test_blocks_of_buckets_give_the_same(spark, monkeypatch, block):
 def test_a_great_group_does_not_meet_itself(spark, monkeypatch):
     """One component of many members and a few others in its buckets: copies grow with the members, not with their square."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
-    rows = [(1, 0, i, 1) for i in range(200)] + [(1, 0, 1000 + i, 1000 + i) for i in range(5)]
-    open_ = spark.createDataFrame(rows, "key long, band int, rep long, comp long")
-    mine = spark.createDataFrame([(r[2], 1, b"s", [1]) for r in rows], "rep long, n_shingles long, sig binary, keys array<long>")
-    sets = spark.createDataFrame([(r[2], [1]) for r in rows], "doc_id long, shingles array<long>")
-    got = minhash._cells(open_, mine, sets, Scratch(spark, "t")).collect()
+    rows = [(1, 0, i, 1, 1) for i in range(200)] + [(1, 0, 1000 + i, 1000 + i, 1) for i in range(5)]
+    open_ = spark.createDataFrame(rows, "key long, band int, rep long, comp long, n long")
+    got = minhash._cells(open_, Scratch(spark, "t")).collect()
     cells = {}
     for r in got:
-        cells.setdefault((r.i, r.j), ([], []))[r.side].append(r.rep)
+        left, right = cells.setdefault((r.i, r.j), ([], []))
+        if r.side != 1:
+            left.append(r.rep)
+        if r.side != 0:
+            right.append(r.rep)
     met = [(u, v) for left, right in cells.values() for u in left for v in right]
     assert len(met) == len(set(met)) == 200 * 5 + 25 and not any(u < 1000 and v < 1000 for u, v in met)
     assert len(got) < 3 * len(rows)
