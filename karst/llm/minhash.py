@@ -25,15 +25,14 @@ joined back, so that adaptive execution can split a bucket with very many member
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, arrow_map, chunks, i64, mix, text_buffer, texts_only, word_hashes
+from karst.llm.common import U64, Scratch, arrow_map, chunks, i64, mix, small_batches, text_buffer, texts_only, word_hashes
 from karst.llm.components import connected_components
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -123,84 +122,102 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").where(near).where(both * 100 >= (F.size("a") + F.size("b") - both) * percent).select("u", "v")
 
 
-def _suspects(sig_bytes: int, floor: float, percent: int):
-    """Of rows sorted by cell, those that may have a link in it: a member of another component with a near size and signature on the other side."""
-
-    def of_group(comp: np.ndarray, n: np.ndarray, side: np.ndarray, sig: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(comp), bool)
-        right = np.flatnonzero(side != 0)
-        for i in np.flatnonzero(side != 1):
-            may = right[(comp[right] != comp[i]) & (np.minimum(n[right], n[i]) * 100 >= np.maximum(n[right], n[i]) * percent)]
-            if len(may):
-                hit = may[(sig[may] == sig[i]).mean(1) >= floor]
-                out[hit] = True
-                out[i] |= len(hit) > 0
-        return out
-
-    def of_rows(t: pa.Table, cuts: list[int]) -> pa.RecordBatch:
-        comp, n, side = (t[c].to_numpy() for c in ("comp", "n", "side"))
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, sig_bytes)
-        keep = np.zeros(t.num_rows, bool)
-        for a, b in zip(cuts, cuts[1:]):
-            if b > a + 1 and (comp[a:b] != comp[a]).any():
-                keep[a:b] = of_group(comp[a:b], n[a:b], side[a:b], sig[a:b])
-        return t.filter(pa.array(keep)).drop_columns(["sig"]).combine_chunks()
+def _by_cell(of_cell: Callable[[pa.Table], pa.Table | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``of_cell`` on the rows of each cell, of rows that come sorted by (key, i, j); cells of one component are left out."""
+
+    def of_rows(t: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        comp = t["comp"].to_numpy()
+        out = [of_cell(t.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if b > a + 1 and (comp[a + 1 : b] != comp[a]).any()]
+        out = [x for x in out if x is not None and x.num_rows]
+        if out:
+            yield from pa.concat_tables(out).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[pa.Table] = []
         for b in batches:
-            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            t = pa.concat_tables([*held, pa.Table.from_batches([b])]).combine_chunks()
             change = np.zeros(max(t.num_rows - 1, 0), bool)
             for c in ("key", "i", "j"):
                 x = t[c].to_numpy()
                 change |= x[1:] != x[:-1]
             cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-            yield from of_rows(t.slice(0, cuts[-1]), cuts).to_batches()
-            held = t.slice(cuts[-1])  # the last cell may go on
-        if held is not None and held.num_rows:
-            yield from of_rows(held, [0, held.num_rows]).to_batches()
+            yield from of_rows(t, cuts)
+            held = [t.slice(cuts[-1])]  # the last cell may go on
+        for t in held:
+            yield from of_rows(t, [0, t.num_rows])
 
     return run
 
 
-def _cell(sig_bytes: int, floor: float, percent: int):
-    """Links between members of different components in one pair of blocks: as few as join what the cell's links join.
+def _matrix(column: pa.ChunkedArray, kind: type, width: int) -> np.ndarray:
+    """Values of a column whose rows all have one length."""
+    parts = [c.flatten().to_numpy() if pa.types.is_list(c.type) else np.frombuffer(b"".join(c.to_pylist()), np.uint8) for c in column.chunks]
+    return np.concatenate(parts).view(kind).reshape(-1, width)
 
-    Pairs that share an earlier band are left to its bucket.  Signatures sort out pairs
-    that cannot be near; the others are compared on their full sets.
-    """
 
-    def f(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]
-        out, top = [], {}
+class _Pairs:
+    """The pairs of a cell that may be links: other components, near sizes and signatures, and no earlier band in common."""
+
+    def __init__(self, t: pa.Table, minima: int, bands: int, floor: float, percent: int):
+        self.comp, self.n, side = (t[c].to_numpy() for c in ("comp", "n", "side"))
+        self.sig, self.keys = _matrix(t["sig"], np.uint8, minima), _matrix(t["keys"], np.int64, bands)[:, : t["band"][0].as_py()]
+        self.left, self.right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        self.floor, self.percent = floor, percent
+
+    def of(self, i: int) -> np.ndarray:
+        n, m = self.n[self.right], self.n[i]
+        may = self.right[(self.comp[self.right] != self.comp[i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * self.percent)]
+        if len(may):
+            may = may[(self.sig[may] == self.sig[i]).mean(1) >= self.floor]
+        if len(may):
+            may = may[~(self.keys[may] == self.keys[i]).any(1)]
+        return may
+
+
+def _suspects(*rule):
+    """The rows of a cell that are in a pair that may be a link."""
+
+    def f(t: pa.Table) -> pa.Table:
+        pairs, keep = _Pairs(t, *rule), np.zeros(t.num_rows, bool)
+        for i in pairs.left:
+            hit = pairs.of(i)
+            keep[hit] = True
+            keep[i] |= len(hit) > 0
+        return t.filter(pa.array(keep))
+
+    return f
+
+
+def _links(*rule):
+    """Links of a cell, confirmed on the full sets: as few as join what all its links join."""
+    percent = rule[-1]
+
+    def f(t: pa.Table) -> pa.Table:
+        pairs, rep, out, top = _Pairs(t, *rule), t["rep"].to_numpy(), [], {}
+        sets = t["shingles"].combine_chunks()
+        if isinstance(sets, pa.ChunkedArray):
+            sets = pa.concat_arrays(sets.chunks)
+        values, at = sets.values.to_numpy().view(U64), sets.offsets.to_numpy()  # each set is sorted as unsigned
 
         def find(x: int) -> int:
             while top.setdefault(x, x) != x:
                 top[x] = x = top[top[x]]
             return x
 
-        if len(left) and len(right):
-            sig = np.frombuffer(b"".join(right.sig), np.uint8).reshape(-1, sig_bytes)
-            band = int(pdf.band.iat[0])
-            keys = np.stack(right["keys"].to_numpy())[:, :band]
-            ids, comps, size, sets = right.rep.to_numpy(), right.comp.to_numpy(), right.n.to_numpy(), [x.view(U64) for x in right.shingles]  # sorted as unsigned
-            for r, c, n, s, k, mine in zip(left.rep, left.comp, left.n, left.sig, left["keys"], left.shingles):
-                may = np.flatnonzero((comps != c) & (np.minimum(size, n) * 100 >= np.maximum(size, n) * percent))
-                may = may[~(keys[may] == k[:band]).any(1)]
-                if not len(may):
+        for i in pairs.left:
+            mine = values[at[i] : at[i + 1]]
+            for k in pairs.of(i):
+                a, b = find(pairs.comp[i]), find(pairs.comp[k])
+                if a == b:
                     continue
-                mine = mine.view(U64)
-                for i in may[(sig[may] == np.frombuffer(s, np.uint8)).mean(1) >= floor]:
-                    a, b = find(c), find(comps[i])
-                    if a == b:
-                        continue
-                    at = np.searchsorted(sets[i], mine)
-                    at[at == len(sets[i])] = 0
-                    both = int((sets[i][at] == mine).sum())
-                    if both * 100 >= (n + size[i] - both) * percent:
-                        top[a] = b
-                        out.append((max(r, ids[i]), min(r, ids[i])))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+                other = values[at[k] : at[k + 1]]
+                to = np.searchsorted(other, mine)
+                to[to == len(other)] = 0
+                both = int((other[to] == mine).sum())
+                if both * 100 >= (len(mine) + len(other) - both) * percent:
+                    top[a] = b
+                    out.append((max(rep[i], rep[k]), min(rep[i], rep[k])))
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     return f
 
@@ -247,6 +264,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     doc_id is returned with null class_id and component_id, and kept.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sc = scratch or Scratch(spark, "minhash")
     texts = texts_only(docs, "text")
     s = sc.keep(arrow_map(texts, _signatures(bands, rows, width), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary"), "signatures", "snappy")
@@ -273,11 +291,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = sc.keep(now.join(sc.keep(mixed, "mixed"), "key"), "open")
     if not open_.isEmpty():
-        floor = _floor(percent, bands * rows)
-        cells = _cells(open_, sc).join(mine.select("rep", "sig"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        few = sc.keep(cells.mapInArrow(_suspects(bands * rows, floor, percent), "rep long, key long, band int, comp long, n long, i long, j long, side int"), "suspects")
-        few = few.join(mine.select("rep", "keys", "sig"), "rep").join(sets, few["rep"] == sets["doc_id"]).drop("doc_id")
-        more = sc.keep(few.groupBy("key", "i", "j").applyInPandas(_cell(bands * rows, floor, percent), "u long, v long"), "more-links")
+        rule = (bands * rows, bands, _floor(percent, bands * rows), percent)
+        by_cell = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        cells = by_cell(_cells(open_, sc).join(mine.select("rep", "sig", "keys"), "rep"))
+        few = sc.keep(cells.mapInArrow(_by_cell(_suspects(*rule)), cells.schema), "suspects", "snappy")
+        few = by_cell(few.join(sets, few["rep"] == sets["doc_id"]).drop("doc_id"))
+        more = sc.keep(few.mapInArrow(_by_cell(_links(*rule)), "u long, v long"), "more-links")
         if not more.isEmpty():
             comps = sc.keep(connected_components(links.union(more), sc), "components")
     kept = (
