@@ -16,15 +16,15 @@ def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def guarded_lookup(df: DataFrame, key: Column, term: str) -> DataFrame:
+def guarded_lookup(df: DataFrame, key: Column, term: str | Column) -> DataFrame:
     """Rows whose key equals ``term``; if none does, rows whose key contains it, provided they have one key between them.
 
-    An empty term finds nothing.  Two aggregates of one row each decide; no row is sent to the driver.
+    ``term`` is a text or an expression of literals, which the optimizer works out.  An empty
+    term finds nothing.  Two aggregates of one row each decide; no row is sent to the driver.
     """
-    if not term:
-        return df.limit(0)
+    term = F.lit(term) if isinstance(term, str) else term
     k = "__karst_key"
-    near = df.withColumn(k, key).where(F.contains(F.col(k), F.lit(term)))
+    near = df.withColumn(k, key).where((term != "") & F.contains(F.col(k), term))
     facts = near.agg(F.count_if(F.col(k) == term).alias("__karst_exact"), F.min(k).alias("__karst_lo"), F.max(k).alias("__karst_hi"))
     ok = (F.col(k) == term) | ((F.col("__karst_exact") == 0) & (F.col("__karst_lo") == F.col("__karst_hi")))
     return near.join(F.broadcast(facts), ok, "inner").drop(k, "__karst_exact", "__karst_lo", "__karst_hi")  # facts: one row

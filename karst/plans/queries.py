@@ -594,3 +594,6 @@ def similarity_ratio(spark, d):
 @query()
 def nfkc_and_wrap(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", V.nfkc(F.col("text")).alias("text"), F.size(V.wrapped(F.col("text"))).alias("n_lines"))
+
+
+from karst.plans import documents  # noqa: E402, F401  (registers its queries here)

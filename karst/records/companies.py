@@ -35,8 +35,7 @@ class Companies:
         return pick(rows, ["key"], [F.asc(self.ordinal)]).orderBy("key", NAME).select(NAME)
 
     def company(self, name: str) -> DataFrame:
-        key = self.df.sparkSession.range(1).select(name_key(F.lit(name))).first()[0]
-        return guarded_lookup(self.df, name_key(q(NAME)), key or "")
+        return guarded_lookup(self.df, name_key(q(NAME)), name_key(F.lit(name)))
 
     def information(self, fields: list[str], name: str | None = None) -> DataFrame:
         """The name and the known fields, each once; no rows if no field is known."""

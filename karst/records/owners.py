@@ -149,7 +149,7 @@ class Owners:
 
     def of_company(self, name: str) -> DataFrame:
         """Events of the company that the name means, and of companies of the same number."""
-        key = self.raw.sparkSession.range(1).select(name_key(F.lit(name))).first()[0] or ""
+        key = name_key(F.lit(name))
         mine = guarded_lookup(self._graded(), F.coalesce(F.nullif(name_key(self._text("Master Company Name")), F.lit("")), name_key(self._text("Company Name"))), key)
         return self._graded().join(mine.select("__company").distinct(), "__company", "left_semi")
 

@@ -23,8 +23,7 @@ class Register:
         self.df, self.name, self.key = require(df, required), name, name_key if plain else entity_key
 
     def company(self, name: str) -> DataFrame:
-        key = self.df.sparkSession.range(1).select(self.key(F.lit(name))).first()[0]
-        return guarded_lookup(self.df, self.key(q(self.name)), key or "")
+        return guarded_lookup(self.df, self.key(q(self.name)), self.key(F.lit(name)))
 
     def information(self, fields: list[str], name: str | None = None) -> DataFrame:
         known = [f for f in dict.fromkeys(fields) if f in self.df.columns and f != self.name]
@@ -72,8 +71,8 @@ class Auditors(Register):
         from karst.operators.lookup import contains_either_way
 
         rows = self.companies()
-        key = F.lit(self.df.sparkSession.range(1).select(auditor_key(F.lit(auditor))).first()[0] or "")
-        near = rows.where((F.col("auditor_key") == key) | contains_either_way(F.col("auditor_key"), key))
+        key = auditor_key(F.lit(auditor))
+        near = rows.where((key != "") & ((F.col("auditor_key") == key) | contains_either_way(F.col("auditor_key"), key)))
         facts = near.agg(F.count_if(F.col("auditor_key") == key).alias("__n"), F.count_distinct("auditor_key").alias("__d"))
         ok = (F.col("auditor_key") == key) | ((F.col("__n") == 0) & (F.col("__d") == 1))
         return near.join(F.broadcast(facts), ok).drop("__n", "__d").orderBy(q("Company Name"))  # one row
