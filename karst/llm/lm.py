@@ -7,13 +7,14 @@ Bigrams are then counted in the same way, as ``id << 32 | id``, dealt by a hash
 both words, so the followers of one very frequent word spread over all shards.
 The number of shards follows the amount of text: no task holds more than a bounded
 part of the corpus, and packets of a run carry one entry a distinct word or pair.
+Beyond ``MOST_SHARDS`` packets go to lanes of shards first, about as many as a lane
+has shards, and from there to the shards, so that a packet never holds next to nothing.
 
 Storage.  A model is a folder of ``.npy`` files under the shared folder: sorted
 hashes and counts of words by shard, sorted keys and counts of bigrams by shard,
 and by id the continuation count, the context total and the numbers of followers
 seen once, twice and more often.  Workers map the files into memory and search
-them; where the shared folder is not a file system of its own, a worker first
-copies the files to its node.
+them; from a store without a file system they read them, and hold a bounded part.
 
 Probability.  With counts c, discounts D1, D2, D3+ from the counts of counts,
 
@@ -27,8 +28,6 @@ begin context.
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +36,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, arrow_map, chunks, local_path, mix, text_buffer, texts_only, word_hashes
+from karst.llm.common import U64, Scratch, arrow_map, chunks, load_array, mix, save_array, small_batches, text_buffer, texts_only, word_hashes
 
 RUN = 2_000_000
 #: Code points of text for each shard of words and of bigrams.
 WORD_TEXT, PAIR_TEXT = 64_000_000, 32_000_000
-LEAST_SHARDS = 12
+LEAST_SHARDS, MOST_SHARDS = 12, 1024
 END = U64(0xE2D0000000000001)
-MAX = U64(0xFFFFFFFFFFFFFFFF)
 
 
 # --- packets and files ---------------------------------------------------------
@@ -76,50 +74,6 @@ def summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [keys[first], *[np.add.reduceat(np.concatenate([p[i] for p in parts])[order], first) for i in range(1, len(parts[0]))]]
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """A file that is there whole or not at all, also if a lost task runs again."""
-    path = local_path(folder)
-    if path:
-        os.makedirs(path, exist_ok=True)
-        part = f"{path}/.{name}.{uuid.uuid4().hex}"
-        with open(part, "wb") as f:
-            np.save(f, array)
-        os.replace(part, f"{path}/{name}.npy")
-    else:
-        from pyarrow import fs
-
-        system, at = fs.FileSystem.from_uri(folder)
-        system.create_dir(at)
-        with system.open_output_stream(f"{at}/{name}.npy") as f:
-            np.save(f, array)
-
-
-_mapped: dict[str, np.ndarray] = {}
-
-
-def _load(folder: str, name: str) -> np.ndarray:
-    key = f"{folder}/{name}"
-    if key not in _mapped:
-        path = local_path(folder)
-        if not path:
-            from pyarrow import fs
-            from pyspark import SparkFiles
-
-            path = f"{SparkFiles.getRootDirectory()}/{folder.rpartition('/')[2]}"
-            os.makedirs(path, exist_ok=True)
-            if not os.path.exists(f"{path}/{name}.npy"):
-                system, at = fs.FileSystem.from_uri(folder)
-                part = f"{path}/.{name}.{uuid.uuid4().hex}"
-                with system.open_input_stream(f"{at}/{name}.npy") as a, open(part, "wb") as b:
-                    while piece := a.read(1 << 22):
-                        b.write(piece)
-                os.replace(part, f"{path}/{name}.npy")
-        for old in [k for k in _mapped if not k.startswith(folder + "/")]:
-            del _mapped[old]
-        _mapped[key] = np.load(f"{path}/{name}.npy", mmap_mode="r")
-    return _mapped[key]
-
-
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
     """Shard by the upper bits: shards hold ascending ranges of hashes."""
     return ((h >> U64(32)) * U64(shards)) >> U64(32)
@@ -128,23 +82,28 @@ def _shard(h: np.ndarray, shards: int) -> np.ndarray:
 # --- counting --------------------------------------------------------------------
 
 
-def _packets(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray, shards: int) -> pa.RecordBatch:
-    order = np.argsort(shard, kind="stable")
+def _packets(keys: np.ndarray, counts: np.ndarray, to: np.ndarray, most: int, name: str) -> pa.RecordBatch:
+    """Packets of sorted keys for each number of ``to``, all below ``most``."""
+    order = np.argsort(to, kind="stable")
     keys, counts = keys[order], counts[order]
-    cut = np.searchsorted(shard[order], np.arange(shards + 1).astype(shard.dtype))
+    cut = np.searchsorted(to[order], np.arange(most + 1).astype(to.dtype))
     full = np.flatnonzero(np.diff(cut))
-    return pa.RecordBatch.from_pydict({"shard": pa.array(full, pa.int32()), "packet": pa.array([pack(keys[cut[i] : cut[i + 1]], counts[cut[i] : cut[i + 1]]) for i in full], pa.binary())})
+    return pa.RecordBatch.from_pydict({name: pa.array(full, pa.int32()), "packet": pa.array([pack(keys[cut[i] : cut[i + 1]], counts[cut[i] : cut[i + 1]]) for i in full], pa.binary())})
 
 
-def _counted(shards: int, tokens, shard_of):
-    """A task's counts, in packets; ``tokens`` turns texts into keys."""
+def _counted(texts: DataFrame, shards: int, tokens, shard_of) -> DataFrame:
+    """(shard, packet) of all texts; ``tokens`` turns texts into keys, ``shard_of`` keys into shards."""
+    small_batches(texts.sparkSession)
+    lanes = shards if shards <= MOST_SHARDS else int(np.ceil(np.sqrt(shards)))
+    lane_of = lambda k: shard_of(k) * U64(lanes) // U64(shards)
+    name = "shard" if lanes == shards else "lane"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def out() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _packets(keys, counts, shard_of(keys), shards)
+            return _packets(keys, counts, lane_of(keys), lanes, name)
 
         for b in batches:
             raw, off = text_buffer(b["text"])
@@ -158,7 +117,25 @@ def _counted(shards: int, tokens, shard_of):
         if n:
             yield out()
 
-    return run
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, counts = summed(held)
+            return _packets(keys, counts, shard_of(keys), shards, "shard")
+
+        for b in batches:
+            for packet in b["packet"].to_pylist():
+                held.append(unpack(packet))
+                n += len(held[-1][0])
+                if n >= RUN:
+                    yield out()
+                    held, n = [], 0
+        if n:
+            yield out()
+
+    sent = texts.mapInArrow(run, f"{name} int, packet binary")
+    return sent if lanes == shards else sent.repartition(lanes, "lane").mapInArrow(split, "shard int, packet binary")
 
 
 def with_ends(h: np.ndarray, first: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +155,12 @@ class Words:
         cut = np.searchsorted(_shard(h, self.shards), np.arange(self.shards + 1).astype(U64))
         for s in np.flatnonzero(np.diff(cut)):
             a, b = cut[s], cut[s + 1]
-            keys = _load(self.folder, f"hash-{s}")
+            keys = load_array(self.folder, f"hash-{s}")
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, h[a:b]), len(keys) - 1)
                 ok = keys[at] == h[a:b]
                 ids[a:b] = np.where(ok, at + self.starts[s], -1)
-                counts[a:b] = np.where(ok, _load(self.folder, f"count-{s}")[at], 0)
+                counts[a:b] = np.where(ok, load_array(self.folder, f"count-{s}")[at], 0)
         return ids, counts
 
 
@@ -209,8 +186,7 @@ def _id_packets(keys: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> pa.
     context = [np.add.reduceat(x.astype(np.int64), cut) if len(cut) else np.zeros(0, np.int64) for x in (counts, counts == 1, counts == 2, counts > 2)]
     out = {"range": [], "kind": [], "packet": []}
     for kind, ids, columns in ((0, second, [n]), (1, first[cut], context)):
-        at = np.searchsorted(ids, np.append(starts, MAX).astype(U64))
-        at[-1] = len(ids)
+        at = np.append(np.searchsorted(ids, starts.astype(U64)), len(ids))
         for r in np.flatnonzero(np.diff(at)):
             a, b = at[r], at[r + 1]
             out["range"].append(r)
@@ -281,7 +257,7 @@ class Model:
         r = np.maximum(r, 0)
         for s in np.unique(r):
             mine = r == s
-            out[mine] = _load(self.folder, f"{name}-{s}")[ids[mine] - self.words.starts[s]]
+            out[mine] = load_array(self.folder, f"{name}-{s}")[ids[mine] - self.words.starts[s]]
         return out
 
     def _pair(self, keys: np.ndarray) -> np.ndarray:
@@ -291,10 +267,10 @@ class Model:
         out = np.zeros(len(keys), np.int64)
         for s in np.flatnonzero(np.diff(cut)):
             mine = order[cut[s] : cut[s + 1]]
-            held = _load(self.folder, f"pair-{s}")
+            held = load_array(self.folder, f"pair-{s}")
             if len(held):
                 at = np.minimum(np.searchsorted(held, keys[mine]), len(held) - 1)
-                out[mine] = np.where(held[at] == keys[mine], _load(self.folder, f"times-{s}")[at], 0)
+                out[mine] = np.where(held[at] == keys[mine], load_array(self.folder, f"times-{s}")[at], 0)
         return out
 
 
@@ -312,19 +288,21 @@ def fit(texts: DataFrame, scratch: Scratch) -> Model:
     def merge_words(key, table):
         s = key[0].as_py()
         keys, counts = summed([unpack(b) for b in table["packet"].to_pylist()])
-        _save(folder, f"hash-{s}", keys)
-        _save(folder, f"count-{s}", counts)
+        save_array(folder, f"hash-{s}", keys)
+        save_array(folder, f"count-{s}", counts)
         return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
 
-    counted = texts.mapInArrow(_counted(w_shards, words, lambda k: _shard(k, w_shards)), "shard int, packet binary")
+    counted = _counted(texts, w_shards, words, lambda k: _shard(k, w_shards))
     sizes = {r.shard: (r.n, r.total) for r in counted.groupBy("shard").applyInArrow(merge_words, "shard int, n long, total long").collect()}
     n = [sizes.get(s, (0, 0))[0] for s in range(w_shards)]
     for s in range(w_shards):  # shards without a word
         if s not in sizes:
-            _save(folder, f"hash-{s}", np.zeros(0, U64))
-            _save(folder, f"count-{s}", np.zeros(0, np.int64))
+            save_array(folder, f"hash-{s}", np.zeros(0, U64))
+            save_array(folder, f"count-{s}", np.zeros(0, np.int64))
     starts = np.concatenate([[0], np.cumsum(n)]).tolist()
     vocabulary = starts.pop()
+    if vocabulary >= 2**32 - 1:
+        raise ValueError("a bigram has 32 bits for each word, and there are more words")
     tokens = sum(t for _, t in sizes.values())
     index = Words(folder, starts)
     first_ids = np.array(starts, np.int64)
@@ -332,12 +310,12 @@ def fit(texts: DataFrame, scratch: Scratch) -> Model:
     def merge_pairs(key, table):
         s = key[0].as_py()
         keys, counts = summed([unpack(b) for b in table["packet"].to_pylist()])
-        _save(folder, f"pair-{s}", keys)
-        _save(folder, f"times-{s}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
+        save_array(folder, f"pair-{s}", keys)
+        save_array(folder, f"times-{s}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
         out = _id_packets(keys, counts, first_ids)
         return pa.concat_tables([out, pa.table({"range": pa.array([-1], pa.int32()), "kind": pa.array([2], pa.int32()), "packet": pa.array([np.array([len(keys), *_counts_of_counts(counts)], np.int64).tobytes()], pa.binary())})])
 
-    counted = texts.mapInArrow(_counted(p_shards, _pairs_of(index, vocabulary), lambda k: _shard(mix(k), p_shards)), "shard int, packet binary")
+    counted = _counted(texts, p_shards, _pairs_of(index, vocabulary), lambda k: _shard(mix(k), p_shards))
     merged = scratch.keep(counted.groupBy("shard").applyInArrow(merge_pairs, "range int, kind int, packet binary"), "merged", "uncompressed")
     facts = [np.frombuffer(r.packet, np.int64) for r in merged.where("kind = 2").collect()]
     pairs, *ns = np.sum(facts, 0).tolist() if facts else [0] * 5
@@ -354,14 +332,14 @@ def fit(texts: DataFrame, scratch: Scratch) -> Model:
                     for name, c in zip(names, columns):
                         dense[name][ids.astype(np.int64) - starts[r]] += c
         for name, c in dense.items():
-            _save(folder, f"{name}-{r}", c)
+            save_array(folder, f"{name}-{r}", c)
         return pa.table({"range": pa.array([r], pa.int32()), "c": pa.array([_counts_of_counts(dense["before"])], pa.list_(pa.int64())), "kinds": pa.array([[int(((dense["before"] > 0) & (dense["before"] == k)).sum()) for k in (1, 2)] + [int((dense["before"] > 2).sum())]], pa.list_(pa.int64()))})
 
     done = {r.range: r for r in merged.where("kind < 2").groupBy("range").applyInArrow(by_id, "range int, c array<long>, kinds array<long>").collect()}
     for r in range(w_shards):
         if r not in done:
             for name in ("before", "total", "once", "twice", "more"):
-                _save(folder, f"{name}-{r}", np.zeros(ends[r] - starts[r], np.int64))
+                save_array(folder, f"{name}-{r}", np.zeros(ends[r] - starts[r], np.int64))
     cc = np.sum([r.c for r in done.values()], 0).tolist() if done else [0] * 4
     kinds = np.sum([r.kinds for r in done.values()], 0).tolist() if done else [0] * 3
     lower = _discounts(cc)

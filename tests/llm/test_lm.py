@@ -53,6 +53,18 @@ def test_as_brute_force(spark):
     compare(spark, [(i, " ".join(r.choice(words[: r.choice([4, 20, 204])]) for _ in range(r.randint(0, 80)))) for i in range(150)])
 
 
+def test_lanes_of_shards_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MOST_SHARDS", 4)
+    test_as_brute_force(spark)
+
+
+def test_columns_of_other_names(spark):
+    docs = [(i, "a b c " * i) for i in range(20)]
+    plain = spark.createDataFrame(docs, "doc_id long, text string")
+    odd = plain.selectExpr("*", "'x' as score", "1 as held_out", "text as packet", "doc_id as shard")
+    assert sorted(map(tuple, lm.learn_and_score(odd).collect())) == sorted(map(tuple, lm.learn_and_score(plain).collect()))
+
+
 def test_probabilities_sum_to_one():
     docs = [(0, "a b a c"), (2, "a b"), (3, "b b c")]
     _, (c, two, v) = brute(docs)
