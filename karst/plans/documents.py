@@ -448,3 +448,90 @@ def file_names(spark, d):
     name = F.when(k == 0, F.concat(F.lit("a "), form("yyyyMMdd"), F.lit(".pdf"))).when(k == 1, F.concat(F.lit("a "), form("d-M-yyyy"), F.lit(".pdf"))).when(k == 2, F.concat(F.lit("of "), form("d MMMM yyyy"), F.lit(" x.pdf"))).otherwise("none.pdf")
     year = F.when(k == 0, "the 30th of June").when(k == 1, "June 30").when(k == 2, "in June").otherwise("later")
     return o.select("o_orderkey", V.source_date(name).alias("day"), V.year_end(year).alias("year_end"), T.is_marked(F.when(F.col("o_orderkey") % 3 == 0, "x").when(F.col("o_orderkey") % 3 == 1, "no").otherwise("-")).alias("marked"))
+
+
+@query("""
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'S51' WHEN 1 THEN 'S58' WHEN 2 THEN 'S78' WHEN 3 THEN 'S68' WHEN 4 THEN 'S14' ELSE '' END AS section, CASE page_id % 6 WHEN 5 THEN 0 ELSE page_id % 10 END::INT AS revision, CASE page_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS score,
+    page_id % 6 = 5 AS receipt, page_id AS submission FROM pages""")
+def candidate_facts(spark, d):
+    from karst.records import candidates as C
+
+    p = table(spark, d, "pages", "page_id")
+    k, n = F.col("page_id") % 6, F.col("page_id")
+    base = F.when(k == 0, "Register of members").when(k == 1, "Section 58").when(k == 2, "form 24").when(k == 3, "Annual-Return").when(k == 4, "SuperForm").otherwise("a receipt")
+    folder = F.when(n % 3 == 0, "E-BOS").when(n % 3 == 1, "B.O").otherwise("Section 51")
+    path = F.concat(F.lit("clients/"), folder, F.lit("/"), base, F.when(k != 5, F.concat(F.lit(" (R"), (n % 10).cast("string"), F.lit(")"))).otherwise(""), F.lit(".pdf"))
+    return p.select("page_id", C.section_of_name(path).alias("section"), C.revision(path).alias("revision"), C.folder_score(path, "EBOS").alias("score"), C.is_receipt(path).alias("receipt"), C.submission_rank(F.concat(F.lit("S-"), n)).alias("submission"))
+
+
+@query("""
+WITH e AS (SELECT event_id AS k, user_id % 50 AS folder, ts::DATE AS d, user_id % 3 AS m, event_id % 4 AS r FROM events WHERE user_id % 3 <> 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY folder, k // 2 ORDER BY d DESC, CASE m WHEN 1 THEN 2 ELSE 1 END DESC, r DESC, k DESC) AS n FROM e)
+SELECT 'F' || folder AS folder, arg_max(k, (d, CASE m WHEN 1 THEN 2 ELSE 1 END, r, k)) AS k FROM s WHERE n = 1 GROUP BY 1""")
+def latest_candidates(spark, d):
+    from karst.records import candidates as C
+
+    e = table(spark, d, "events", "event_id", "user_id", "ts")
+    n = F.col("event_id")
+    own = F.when(F.col("user_id") % 3 == 1, "Registration No: 202001000001").when(F.col("user_id") % 3 == 0, "Registration No: 202001000002").otherwise("no number")
+    text = F.concat(F.lit("Date of Application: "), F.date_format("ts", "dd/MM/yyyy"), F.lit("\n"), own)
+    files = e.select(F.concat(F.lit("F"), F.col("user_id") % 50).alias("folder"), F.concat(F.lit("a/(R"), n % 4, F.lit(") x.pdf")).alias("path"), text.alias("text"), F.concat(F.lit("h"), F.floor(n / 2)).alias("sha256"), F.timestamp_seconds(n).alias("modified"), n.alias("k"))
+    return C.latest(C.candidates(files, "S14", F.lit("202001000001"))).select("folder", "k")
+
+
+@query("""
+WITH m AS (SELECT c_custkey AS k, c_nationkey AS g, 'A' || (c_custkey % 40) AS a, c_custkey % 5 = 0 AS good FROM customer),
+d AS (SELECT g, a, max(k) AS k FROM m WHERE good GROUP BY 1, 2)
+SELECT m.k, CASE WHEN good THEN 'P' || m.k WHEN d.k IS NOT NULL THEN 'P' || d.k ELSE 'P' || m.k END AS name FROM m LEFT JOIN d USING (g, a)""")
+def repaired_members(spark, d):
+    from karst.records import candidates as C
+
+    c = table(spark, d, "customer", "c_custkey", "c_nationkey")
+    n = F.col("c_custkey")
+    rows = c.select(n.alias("k"), F.col("c_nationkey").alias("g"), F.concat(F.lit("A"), n % 40).alias("Address"), F.when(n % 5 == 0, _number("c_custkey")).otherwise("1x").alias("ID No"), F.concat(F.lit("P"), n).alias("Name"))
+    return C.repaired_identities(rows, "g", "k").select("k", F.col("Name").alias("name"))
+
+
+@query("""
+SELECT o_custkey AS k, list(DISTINCT o_orderstatus) AS seen, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1""".replace("list(DISTINCT o_orderstatus) AS seen, ", "(SELECT list(s ORDER BY f DESC, s) FROM (SELECT o_orderstatus AS s, max(o_orderkey) AS f FROM orders o WHERE o.o_custkey = orders.o_custkey GROUP BY 1)) AS seen, "))
+def ranked_suggestions(spark, d):
+    from karst.records import candidates as C
+
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    rows = C.suggestions(o.withColumnRenamed("o_custkey", "k"), "k", "o_orderstatus", [F.desc("o_orderkey")])
+    return rows.select("k", F.col("values").alias("seen"), F.size("values").cast("long").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN '' ELSE 'I' || (c_custkey % 200) END AS i, 'N' || (c_custkey % 150) AS n FROM customer),
+e AS (SELECT s_suppkey AS e, CASE s_suppkey % 2 WHEN 0 THEN '' ELSE 'I' || (s_suppkey % 200) END AS i, 'N' || (s_suppkey % 150) AS n FROM supplier),
+l AS (SELECT n, count(DISTINCT nullif(i, '')) AS c FROM e GROUP BY 1)
+SELECT k AS person, e FROM p JOIN e ON p.i <> '' AND p.i = e.i UNION ALL SELECT k, e FROM p JOIN e USING (n) JOIN l USING (n) WHERE (p.i <> '' AND e.i = '') OR (p.i = '' AND c <= 1)""")
+def events_of_people(spark, d):
+    from karst.records import candidates as C
+
+    c, s = table(spark, d, "customer", "c_custkey"), table(spark, d, "supplier", "s_suppkey")
+    part = lambda k, a, b: [F.when(F.col(k) % b == 0, "").otherwise(F.concat(F.lit("I"), F.col(k) % 200)).alias("identity"), F.concat(F.lit("N"), F.col(k) % 150).alias("name")]
+    people, events = c.select(F.col("c_custkey").alias("k"), *part("c_custkey", "", 3)), s.select(F.col("s_suppkey").alias("e"), *part("s_suppkey", "", 2))
+    return C.person_events(people, events, "k", "identity", "name").select("person", "e")
+
+
+@query("""
+SELECT o_orderkey AS id, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 <> 2""")
+def companies_in_questions(spark, d):
+    from karst.plans import entities as E
+
+    o, c = table(spark, d, "orders", "o_orderkey", "o_custkey"), table(spark, d, "customer", "c_custkey", "c_name")
+    asked = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("orders of "), F.lower("c_name"), F.lit("?"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.regexp_extract("c_name", r"(\d+)", 1), F.lit(" is which customer"))).otherwise("which customer").alias("text"))
+    return E.companies_named(asked, E.lookup(c, "c_name", "c_custkey"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'ABC D-' || c_custkey WHEN 1 THEN 'GEORGETOWN no-' || c_custkey ELSE c_custkey::VARCHAR END AS value, '12 JALAN 1 10000 PULAU PINANG MALAYSIA' AS address FROM customer""")
+def layout_texts(spark, d):
+    from karst.records import candidates as C
+
+    c = table(spark, d, "customer", "c_custkey")
+    n = F.col("c_custkey").cast("string")
+    parts = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit(" A B"), F.lit("C"), F.concat(F.lit(" D-"), n))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("GEORGETOW"), F.lit(""), F.concat(F.lit("N no-"), n))).otherwise(F.array(n))
+    return c.select("c_custkey", C.layout_value(parts).alias("value"), C.layout_address(F.array(F.lit("12JALAN 110000"), F.lit("PULAU INANG ALAYSIA , Page 2 of 9"))).alias("address"))
