@@ -40,7 +40,7 @@ _MULT = _rng.integers(0, 2**63, 1024, dtype=np.uint64) * U64(2) + U64(1)
 _PLUS = _rng.integers(0, 2**63, 1024, dtype=np.uint64)
 _K = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Members and shingles that a block of a group holds on average.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+BLOCK, BLOCK_SHINGLES = 128, 1 << 17
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,9 @@ from karst.functions.text import registration_tokens, significant_tokens
 
 #: Rows up to which a side is broadcast; a larger one is joined by shuffle.
 SMALL = 100_000
+#: Lengths of the pieces by which a part of a name is looked for.
+GRAMS = (8, 4, 2, 1)
+GRAM = GRAMS[0]
 
 
 def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
@@ -33,14 +36,20 @@ def guarded_lookup(df: DataFrame, key: Column, term: str | Column) -> DataFrame:
 def guarded_lookup_many(df: DataFrame, key: str, terms: DataFrame, term: str) -> DataFrame:
     """``guarded_lookup`` for a column of terms: one row a term and found row.
 
-    Exact matches are an equi-join.  Terms without one are compared by containment
-    with the distinct keys; that side is broadcast only if it is small.
+    Exact matches are an equi-join.  Terms without one meet the distinct keys by their
+    first letters: as many as a power of two up to ``GRAM``, which a key that holds the
+    term has somewhere.  So that is an equi-join as well, and only then are both compared.
     """
     asked = terms.select(F.col(term).alias("term")).where("term <> ''").distinct()
     exact = asked.join(df, asked["term"] == df[key])
     left = asked.join(df.select(F.col(key).alias("term")).distinct(), "term", "left_anti")
     keys = df.select(F.col(key).alias("__karst_full")).distinct()
-    part = keys.join(small(left), F.contains("__karst_full", F.col("term")))
+    size = F.when(F.length("term") >= GRAM, GRAM)
+    for n in GRAMS[1:]:
+        size = size.when(F.length("term") >= n, n)
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("__karst_full") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("__karst_full"), i, F.lit(n)))
+    held = keys.select("__karst_full", F.explode(F.array_distinct(F.concat(*[grams(n) for n in GRAMS]))).alias("__karst_g"))
+    part = left.withColumn("__karst_g", F.substring(F.col("term"), F.lit(1), size)).join(held, "__karst_g").where(F.contains("__karst_full", F.col("term"))).drop("__karst_g")
     one = part.groupBy("term").agg(F.min("__karst_full").alias("__karst_lo"), F.max("__karst_full").alias("__karst_hi")).where("__karst_lo = __karst_hi")
     return exact.unionByName(one.select("term", F.col("__karst_lo").alias("__karst_full")).join(df, F.col("__karst_full") == df[key]).drop("__karst_full"))
 
@@ -65,12 +74,14 @@ def mentioned(names: DataFrame, key: str, texts: DataFrame, text_key: str, text_
     """(text_id, key) of the longest name all of whose significant tokens stand in a text; none if two tie.
 
     Names meet texts by their first significant token (an equi-join), then all
-    tokens are checked, so no pair is formed that shares no token.
+    tokens are checked, so no pair is formed that shares no token.  A text's words go
+    into that join one by one; all of them are brought back for the few that met.
     """
     n = names.select(F.col(key).alias("name")).where("name <> ''").distinct().withColumn("tokens", significant_tokens(F.col("name"))).where("size(tokens) > 0")
     n = n.withColumn("lead", F.get("tokens", F.lit(0))).withColumn("n", F.size("tokens"))
     t = texts.select(F.col(text_id).alias("id"), F.array_distinct(F.split(text_key, " ")).alias("words"))
-    hit = t.withColumn("lead", F.explode("words")).join(n, "lead").where(F.size(F.array_except("tokens", "words")) == 0)
+    met = t.select("id", F.explode("words").alias("lead")).join(small(n), "lead").drop("lead")
+    hit = met.join(t, "id").where(F.size(F.array_except("tokens", "words")) == 0)
     # Names of one token must be long enough to mean something.
     hit = hit.where((F.col("n") > 1) | (F.length("name") >= 5)).withColumn("size", F.length("name"))
     w = Window.partitionBy("id").orderBy(F.desc("n"), F.desc("size"))

@@ -60,6 +60,28 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return existing.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_any(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``upsert`` by the first of several keys that finds a row: a row goes if any of its keys, none of them blank, is a new row's.
+
+    Columns that only one side has are null on the other (a table grows by new columns).
+    """
+    left = existing
+    for k in keys:
+        mine = new.select(F.col(f"`{k}`").alias("__karst_k")).where(F.trim(F.col("__karst_k").cast("string")) != "").distinct()
+        left = left.join(mine, left[f"`{k}`"] == mine["__karst_k"], "left_anti") if k in existing.columns and k in new.columns else left
+    return left.unionByName(new, allowMissingColumns=True)
+
+
+def slots_together(columns: list[str], prefix: str) -> list[str]:
+    """Columns with those of ``prefix{n}`` side by side, slot by slot, where the first of them stands; all else keeps its order."""
+    of = {c: int(m[1]) for c in columns if (m := re.match(rf"{re.escape(prefix)}(\d+) ", c))}
+    if not of:
+        return list(columns)
+    own = sorted(of, key=lambda c: (of[c], columns.index(c)))
+    at = next(i for i, c in enumerate(columns) if c in of)
+    return [*columns[:at], *own, *[c for c in columns[at:] if c not in of]]
+
+
 def issues(checks: dict[str, Column]) -> Column:
     """Codes of the checks that fail, in order."""
     return F.filter(F.array(*[F.when(c, F.lit(code)) for code, c in checks.items()]), lambda x: x.isNotNull())

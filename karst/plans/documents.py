@@ -535,3 +535,17 @@ def layout_texts(spark, d):
     n = F.col("c_custkey").cast("string")
     parts = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit(" A B"), F.lit("C"), F.concat(F.lit(" D-"), n))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("GEORGETOW"), F.lit(""), F.concat(F.lit("N no-"), n))).otherwise(F.array(n))
     return c.select("c_custkey", C.layout_value(parts).alias("value"), C.layout_address(F.array(F.lit("12JALAN 110000"), F.lit("PULAU INANG ALAYSIA , Page 2 of 9"))).alias("address"))
+
+
+@query("""
+WITH o AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'R' || c_custkey END AS reg, 'F' || c_custkey AS folder, 'old' AS v, NULL::VARCHAR AS more FROM customer),
+n AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'R' || (s_suppkey * 2) END AS reg, 'F' || (s_suppkey * 3) AS folder, 'new' AS v, s_name AS more FROM supplier)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE reg NOT IN (SELECT reg FROM n WHERE reg <> '') AND folder NOT IN (SELECT folder FROM n)""")
+def upsert_by_either_key(spark, d):
+    from karst.operators.reshape import upsert_any
+
+    c, s = table(spark, d, "customer", "c_custkey"), table(spark, d, "supplier", "s_suppkey", "s_name")
+    at = lambda head, x: F.concat(F.lit(head), x)
+    old = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise(at("R", F.col("c_custkey"))).alias("reg"), at("F", F.col("c_custkey")).alias("folder"), F.lit("old").alias("v"))
+    new = s.select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(at("R", F.col("s_suppkey") * 2)).alias("reg"), at("F", F.col("s_suppkey") * 3).alias("folder"), F.lit("new").alias("v"), F.col("s_name").alias("more"))
+    return upsert_any(old, new, ["reg", "folder"])

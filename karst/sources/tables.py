@@ -26,7 +26,7 @@ def read_table(spark: SparkSession, path: str, required: list[str] | None = None
     reader = spark.read.schema(schema) if schema else spark.read
     df = reader.parquet(path)
     df = require(df, required or [], strict)
-    return df.withColumn(ordinal, F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())) if ordinal else df
+    return df.withColumn(ordinal, F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index"))) if ordinal else df
 
 
 def read_records(spark: SparkSession, path: str, schema, form: str = "json") -> DataFrame:
@@ -68,8 +68,14 @@ def union_evolving(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether both hold the same rows, repeated ones counted: one aggregate a side, no rows moved."""
+def same_rows(a: DataFrame, b: DataFrame, fully: bool = False) -> bool:
+    """Whether both hold the same rows, repeated ones counted: one aggregate a side, no rows moved.
+
+    ``fully`` compares value by value and not by hashes: each side is sorted out against the other by a shuffle.
+    """
+    if fully:
+        return a.columns == b.columns and [f.dataType for f in a.schema] == [f.dataType for f in b.schema] and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
     def mark(df: DataFrame):
         h = F.xxhash64(*[F.to_json(F.col(c)) if df.schema[c].dataType.typeName() == "map" else F.col(c) for c in df.columns])
         return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(h)).alias("x")).first()
@@ -100,14 +106,19 @@ def write_verified(df: DataFrame, path: str, partition_by: list[str] | None = No
         fs.delete(fs_path(stage), True)
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str) -> None:
-    """Rows of ``new`` into the table at ``path`` by key; one key twice in ``new`` is an error."""
-    from karst.operators.reshape import upsert
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, *keys: str) -> None:
+    """Rows of ``new`` into the table at ``path`` by its keys (a number or a folder, say); one key twice in ``new`` is an error.
+
+    New columns are added to the table.  The outcome is compared before it takes the
+    table's place, and each new row must be in it.
+    """
+    from karst.operators.reshape import upsert_any
 
-    twice = new.groupBy(key).count().where("count > 1").limit(1).count()
-    if twice:
-        raise ValueError(f"{key} is not unique")
-    write_verified(upsert(spark.read.parquet(path), new, key), path)
+    for key in keys:
+        filled = F.trim(F.col(f"`{key}`").cast("string")) != ""
+        if not new.where(filled).groupBy(F.col(f"`{key}`")).count().where("count > 1").isEmpty():
+            raise ValueError(f"{key} is not unique")
+    write_verified(upsert_any(spark.read.parquet(path), new, list(keys)), path)
 
 
 def as_json(df: DataFrame, out: str = "json") -> DataFrame:

@@ -96,24 +96,28 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 def as_table(rows: DataFrame, sheet: str, expected: list[str] | None = None) -> DataFrame:
     """A sheet whose first row is the header, all text, blank as null, with ``_row``.  Blank or repeated headings, or others than expected, are errors."""
     mine = rows.where(F.col("sheet") == sheet)
-    head = mine.orderBy("row").limit(1).collect()
+    # One heading a workbook; two that differ are enough to know.
+    heads = mine.groupBy("path").agg(F.min("row").alias("first"), F.min_by("cells", "row").alias("head"))
+    head = heads.select("head").distinct().limit(2).collect()
     if not head:
         raise ValueError(f"no sheet {sheet}")
-    names = [(c or "").strip() for c in head[0]["cells"]]
+    if len(head) > 1:
+        raise ValueError(f"workbooks with different headings: {head}")
+    names = [(c or "").strip() for c in head[0]["head"]]
     if "" in names or len(set(names)) < len(names):
         raise ValueError(f"blank or repeated headings: {names}")
     if expected is not None and names != expected:
         raise ValueError(f"headings must be {expected}, not {names}")
     cell = lambda i, n: F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit("")).alias(n)
-    out = mine.where(F.col("row") > head[0]["row"]).select(F.col("row").alias("_row"), *[cell(i, n) for i, n in enumerate(names)])
+    out = mine.join(heads.select("path", "first"), "path").where("row > first").select(F.col("row").alias("_row"), *[cell(i, n) for i, n in enumerate(names)])
     return out.where(F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull())
 
 
 def as_records(rows: DataFrame, labels: list[str], first_row: int = 1) -> DataFrame:
-    """A row a sheet out of sheets of (label, value, more): values by label, ``more`` added after a bar."""
+    """A row a sheet of each workbook out of sheets of (label, value, more): values by label, ``more`` added after a bar."""
     cell = lambda i: F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit(""))
-    pairs = rows.where(F.col("row") >= first_row).select("sheet", cell(0).alias("label"), F.concat_ws(" | ", cell(1), cell(2)).alias("value"))
-    return pairs.groupBy("sheet").pivot("label", labels).agg(F.first(F.nullif("value", F.lit(""))))
+    pairs = rows.where(F.col("row") >= first_row).select("path", "sheet", cell(0).alias("label"), F.concat_ws(" | ", cell(1), cell(2)).alias("value"))
+    return pairs.groupBy("path", "sheet").pivot("label", labels).agg(F.first(F.nullif("value", F.lit(""))))
 
 
 def _name(i: int) -> str:

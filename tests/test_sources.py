@@ -2,7 +2,7 @@ import sqlite3
 
 import pytest
 
-from karst.sources import sqlite, workbook
+from karst.sources import sqlite, tables, workbook
 
 
 def test_sqlite_source(spark, tmp_path):
@@ -54,3 +54,43 @@ def test_vertical_sheets(spark):
 def test_dates_in_cells():
     assert workbook._when(45352.0) == "2024-03-01" and workbook._when(45352.5) == "2024-03-01 12:00:00"
     assert [workbook._column(workbook._name(i) + "7") for i in (0, 25, 26, 701, 702)] == [0, 25, 26, 701, 702]
+
+
+def test_workbooks_of_one_sheet_name_stay_apart(spark, tmp_path):
+    for i in (1, 2):
+        workbook.write(spark.createDataFrame([(f"a{i}", i)], "k string, n long"), f"{tmp_path}/{i}.xlsx", "S")
+    rows = workbook.read_rows(spark, str(tmp_path))
+    assert sorted(map(tuple, workbook.as_table(rows, "S").select("k", "n").collect())) == [("a1", "1"), ("a2", "2")]
+    assert workbook.as_records(rows, ["a1", "a2"], 2).count() == 2
+    workbook.write(spark.createDataFrame([("x",)], "other string"), f"{tmp_path}/3.xlsx", "S")
+    with pytest.raises(ValueError, match="different headings"):
+        workbook.as_table(workbook.read_rows(spark, str(tmp_path)), "S")
+
+
+def test_upsert_by_number_or_folder(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.createDataFrame([("R1", "F1", 1), ("R2", "F2", 2), ("", "F3", 3), ("R4", "", 4)], "reg string, folder string, n int").write.parquet(path)
+    new = spark.createDataFrame([("R1", "F9", 10, "x"), ("", "F3", 30, "y"), ("R5", "", 50, "z")], "reg string, folder string, n int, more string")
+    tables.upsert_table(spark, path, new, "reg", "folder")
+    got = sorted(map(tuple, spark.read.parquet(path).select("reg", "folder", "n", "more").collect()))
+    assert got == [("", "F3", 30, "y"), ("R1", "F9", 10, "x"), ("R2", "F2", 2, None), ("R4", "", 4, None), ("R5", "", 50, "z")]
+    with pytest.raises(ValueError, match="not unique"):
+        tables.upsert_table(spark, path, new.union(new), "reg", "folder")
+
+
+def test_ordinal_is_the_place_in_the_file(spark, tmp_path):
+    spark.range(0, 1000, 1, 1).write.parquet(f"{tmp_path}/t")
+    rows = tables.read_table(spark, f"{tmp_path}/t", ordinal="o").repartition(7).selectExpr("id", "o.row_index as at").collect()
+    assert all(r.id == r.at for r in rows) and len(rows) == 1000
+
+
+def test_same_rows_value_by_value(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
+    assert tables.same_rows(a, a.repartition(3), fully=True) and not tables.same_rows(a, a.distinct(), fully=True)
+
+
+def test_slots_stand_together():
+    from karst.operators.reshape import slots_together
+
+    assert slots_together(["a", "D2 x", "b", "D1 x", "D10 x", "D1 y"], "D") == ["a", "D1 x", "D1 y", "D2 x", "D10 x", "b"]
+    assert slots_together(["a"], "D") == ["a"]
