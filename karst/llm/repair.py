@@ -7,7 +7,8 @@ reaches over a document's end.  All pairs of the shard are counted, and none by
 
 A shard is one binary value:
 
-    "KRP1", 5 x uint32 (documents, rules, symbols, bytes a symbol, first rule's symbol),
+    "KRP2", 6 x uint32 (documents, rules, symbols, bytes a symbol, first rule's symbol,
+    documents without doc_id, which come first),
     doc_id int64[documents], first symbol uint32[documents + 1], first id uint32[documents + 1],
     left and right side of each rule, expansion length uint32[rules], the symbols
 
@@ -34,15 +35,18 @@ from pyspark.sql import functions as F
 
 from karst.llm.common import U64, Scratch, small_batches, text_buffer, texts_only
 
-MAGIC = b"KRP1"
+MAGIC = b"KRP2"
 #: Ids of a shard (a longer document stays whole), pairs of a round at most, least count of a pair.
 SHARD, PER_ROUND, LEAST = 2_000_000, 4000, 24
 _BINS = 18
-NO_DOC = -(2**63)
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[9, 10, 13]] = 32
 _LOWER = _BLANK.copy()
 _LOWER[65:91] += 32
+#: 1 for letters and digits, 2 for punctuation but the apostrophe, 0 for other bytes.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[[i for i in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)] if i != 39]] = 2
 
 
 # --- encoding ----------------------------------------------------------------
@@ -53,8 +57,9 @@ class WordEncoder:
 
     The tokenizer must treat ASCII blanks as separators only (``word_bpe``: its
     pre-tokens hold no white space), so a text's ids are those of its words, one
-    after another.  A-Z may be lowered beforehand where no combining character
-    could join with them and no special token could come into being.
+    after another, and a word's those of its pre-tokens.  A-Z may be lowered beforehand
+    where no combining character could join with them and no special token could come
+    into being.
     """
 
     MOST = 800_000
@@ -82,16 +87,31 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _plain(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """The texts' bytes, all white space that separates as blanks, and A-Z lowered in each text that allows it."""
+    def _plain(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' bytes, all white space that separates as blanks, and A-Z lowered in each text that allows it; and where units end.
+
+        A unit is a word with the blank behind it, or a part of a word: pre-tokens end
+        between letters or digits and punctuation, wherever that is seen in ASCII and
+        Latin-1.  An apostrophe may begin a contraction, so no unit ends beside one.
+        """
         rows = lambda at: np.unique(np.searchsorted(off, at, "right") - 1)
-        keep = [rows(np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124)))] if len(raw) else []
+        special = rows(np.flatnonzero((raw[:-1] == 60) & (raw[1:] == 124))) if len(raw) else np.zeros(0, np.int64)
         # Combining characters begin at U+0300, and so with a byte of 0xCC or more.
-        keep.append(np.array([i for i in rows(np.flatnonzero(raw >= 0xCC)) if self.unsafe.search(raw[off[i] : off[i + 1]].tobytes().decode())], np.int64))
+        unsafe = [i for i in rows(np.flatnonzero(raw >= 0xCC)) if self.unsafe.search(raw[off[i] : off[i + 1]].tobytes().decode())]
         out = _LOWER[raw]
-        for i in np.concatenate(keep).tolist():
+        for i in [*special.tolist(), *unsafe]:
             out[off[i] : off[i + 1]] = _BLANK[raw[off[i] : off[i + 1]]]
-        return out
+        ends = np.ones(len(raw) + 1, bool)
+        if len(raw):
+            first, last = _KIND[out], _KIND[out]
+            letter = np.flatnonzero((out[:-1] == 0xC3) & (out[1:] != 0x97) & (out[1:] != 0xB7))
+            first[letter], last[letter + 1] = 1, 1
+            ends[1:-1] = (last[:-1] ^ first[1:]) == 3  # 1 before 2, or 2 before 1
+            for i in special.tolist():
+                ends[off[i] : off[i + 1]] = False
+            ends[1:] |= out == 32
+            ends[off] = True
+        return out, np.flatnonzero(ends)
 
     def _learn(self, words: list[str]) -> None:
         """Words of letters are encoded many to a text and told apart by the tokens that end a pre-token.
@@ -99,10 +119,11 @@ class WordEncoder:
         A word of letters with one final comma or stop has the ids of both parts; all other words are encoded one by one.
         """
         plain, marked, hard = set(), [], []
+        # Lowered, as a letter may become several characters of which one is none.
         for w in words:
-            if w.isalpha():
+            if w.lower().isalpha():
                 plain.add(w)
-            elif w[-1:] in (",", ".") and w[:-1].isalpha():
+            elif w[-1:] in (",", ".") and w[:-1].lower().isalpha():
                 marked.append(w)
                 if w[:-1] not in self.known:
                     plain.add(w[:-1])
@@ -140,12 +161,8 @@ class WordEncoder:
         if len(self.known) > self.MOST:
             self.clear()
         raw, off = text_buffer(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
-        raw = self._plain(raw, off)
-        # Words with the blank behind them, one after another, so that Arrow tells them apart where they stand.
-        cut = np.ones(len(raw) + 1, bool)
-        np.equal(raw, 32, out=cut[1:])
-        cut[off] = True
-        cuts = np.flatnonzero(cut)
+        raw, cuts = self._plain(raw, off)
+        # Units lie one after another, so Arrow tells them apart where they stand.
         coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
         words = [w.rstrip(" ") for w in coded.dictionary.to_pylist()]
         known = self.known
@@ -278,13 +295,13 @@ def expansions(base: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarr
     return size, start, flat
 
 
-def pack(docs: np.ndarray, ids: np.ndarray, cuts: np.ndarray) -> bytes:
+def pack(docs: np.ndarray, ids: np.ndarray, cuts: np.ndarray, nulls: int = 0) -> bytes:
     seq, at, left, right = compress(ids, cuts)
     base = int(ids.max()) + 1 if len(ids) else 0
     wide = base + len(left) > 65535
     kind = np.uint32 if wide else np.uint16
     size, _, _ = expansions(base, left, right)
-    head = np.array([len(docs), len(left), len(seq), 4 if wide else 2, base], np.uint32)
+    head = np.array([len(docs), len(left), len(seq), 4 if wide else 2, base, nulls], np.uint32)
     return b"".join([MAGIC, head.tobytes(), docs.astype(np.int64).tobytes(), at.astype(np.uint32).tobytes(), cuts.astype(np.uint32).tobytes(), left.astype(kind).tobytes(), right.astype(kind).tobytes(), size.astype(np.uint32).tobytes(), seq.astype(kind).tobytes()])
 
 
@@ -294,8 +311,8 @@ class Shard:
     def __init__(self, blob: bytes):
         if blob[:4] != MAGIC:
             raise ValueError("not a shard")
-        d, r, s, width, self.base = (int(x) for x in np.frombuffer(blob, np.uint32, 5, 4))
-        kind, at = np.uint32 if width == 4 else np.uint16, 24
+        d, r, s, width, self.base, self.nulls = (int(x) for x in np.frombuffer(blob, np.uint32, 6, 4))
+        kind, at = np.uint32 if width == 4 else np.uint16, 28
         take = []
         for k, n in ((np.int64, d), (np.uint32, d + 1), (np.uint32, d + 1), (kind, r), (kind, r), (np.uint32, r), (kind, s)):
             take.append(np.frombuffer(blob, k, n, at))
@@ -344,14 +361,14 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scra
 
         def out() -> pa.RecordBatch:
             ids, cuts = np.concatenate([i for _, i, _ in held]), np.concatenate([[0], *[c[1:] + s for (_, _, c), s in zip(held, np.cumsum([0, *[len(i) for _, i, _ in held]]))]])
-            own = np.concatenate([d for d, _, _ in held])
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(own)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "shard": pa.array([pack(own, ids, cuts)], pa.binary())})
+            own = pa.chunked_array([d for d, _, _ in held])
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(own)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "shard": pa.array([pack(own.fill_null(0).to_numpy(), ids, cuts, own.null_count)], pa.binary())})
 
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 x = b.slice(i, 2048)
                 ids, cuts = encoder_of(tokenizer).encode(x["text"], end)
-                held.append((x["doc_id"].fill_null(NO_DOC).to_numpy(zero_copy_only=False), ids, cuts))
+                held.append((x["doc_id"], ids, cuts))
                 n += len(ids)
                 if n >= SHARD:
                     yield out()
@@ -390,6 +407,6 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     raise ValueError("a shard's ids don't match its lengths")
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.docs, mask=s.docs == NO_DOC), "start": pa.array(cuts[:-1] + base), "n_tokens": pa.array(np.diff(cuts)), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.docs, mask=np.arange(len(s.docs)) < s.nulls), "start": pa.array(cuts[:-1] + base), "n_tokens": pa.array(np.diff(cuts)), "ids_crc32": pa.array(crc, pa.int64())})
 
     return shards.select("part", "seq", "shard").join(places, ["part", "seq"]).select("base", "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

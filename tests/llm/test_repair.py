@@ -1,3 +1,4 @@
+import collections
 import random
 import zlib
 
@@ -19,6 +20,60 @@ def test_ids_are_the_library_s():
         assert ids[a:b].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
 
 
+def test_ids_of_odd_words_are_the_library_s():
+    """Words are cut where letters and punctuation meet; contractions, marks that join, special tokens and letters that grow when lowered must not suffer."""
+    e, r = repair.WordEncoder(PATH), random.Random(5)
+    parts = [*"abzABZ019 .,'-_<|>=\n\té×÷ßÑñ…“”\u0338\u0301漢😀İſK\u00a0\u200b", "'s", "'ll", "<|endoftext|>", "it's", "a=", "ó,", "%%%", "***"]
+    for _ in range(1500):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(4)]
+        ids, cuts = e.encode(texts, None)
+        for t, a, b in zip(texts, cuts, cuts[1:]):
+            assert ids[a:b].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def slow_grammar(docs, base):
+    """Every pair counted afresh in each round, nothing carried over."""
+    rules = []
+    while True:
+        count = collections.Counter(p for d in docs for p in zip(d, d[1:]))
+        top = sorted((p for p, c in count.items() if c >= repair.LEAST), key=lambda p: (-count[p], p))[: repair.PER_ROUND]
+        if not top:
+            return docs, rules
+        new = {p: base + len(rules) + i for i, p in enumerate(top)}
+        rules += top
+        out = []
+        for d in docs:
+            made, i = [], 0
+            while i < len(d):
+                if i + 1 < len(d) and (d[i], d[i + 1]) in new:
+                    made.append(new[d[i], d[i + 1]])
+                    i += 2
+                else:
+                    made.append(d[i])
+                    i += 1
+            out.append(made)
+        docs = out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_grammar_as_by_brute_force(seed):
+    r = random.Random(seed)
+    letters = [range(3), range(40), [7, 7, 7, 8], range(400), [60000, 1, 2], range(12)][seed]
+    phrase = [r.choice(letters) for _ in range(30)]
+    docs = [[x for _ in range(r.randint(0, 12)) for x in r.choice([phrase, phrase[3:9], [r.choice(letters)], [r.choice(letters) for _ in range(5)]])] for _ in range(60)]
+    ids, cuts = np.array([x for d in docs for x in d], np.uint32), np.cumsum([0, *map(len, docs)])
+    seq, at, left, right = repair.compress(ids, cuts)
+    want, rules = slow_grammar(docs, int(ids.max()) + 1)
+    assert rules and list(zip(left.tolist(), right.tolist())) == rules
+    assert [x.tolist() for x in np.split(seq, at[1:-1])] == want
+
+
+def test_the_least_doc_id_is_no_null(spark):
+    docs = spark.createDataFrame([(None, "a"), (-(2**63), "b"), (None, None)], "doc_id long, text string")
+    got = repair.read_shards(repair.write_shards(docs, PATH, 2, Scratch(spark, "t"))).collect()
+    assert sorted((r.doc_id is None, r.start) for r in got) == [(False, 3), (True, 0), (True, 1)] and {r.doc_id for r in got} == {None, -(2**63)}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_grammar_round_trip(seed):
     r = random.Random(seed)
