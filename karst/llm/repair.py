@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, small_batches, text_buffer, texts_only
+from karst.llm.common import U64, Scratch, chunks, small_batches, text_buffer, texts_only
 
 MAGIC = b"KRP2"
 #: Ids of a shard (a longer document stays whole), pairs of a round at most, least count of a pair.
@@ -62,7 +62,7 @@ class WordEncoder:
     into being.
     """
 
-    MOST = 800_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -166,16 +166,17 @@ class WordEncoder:
         coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(raw)).dictionary_encode()
         words = [w.rstrip(" ") for w in coded.dictionary.to_pylist()]
         known = self.known
-        at = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        at = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
         new = np.flatnonzero(at < 0)
         if len(new):
             mine = [words[i] for i in new.tolist()]
             self._learn(list(dict.fromkeys(mine)))
-            at[new] = np.fromiter(map(known.__getitem__, mine), np.int64, len(mine))
+            at[new] = np.fromiter(map(known.__getitem__, mine), np.int32, len(mine))
         at = at[coded.indices.to_numpy()]
         size = self.size[at]
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(self.start[at] - upto[:-1], size) + np.arange(upto[-1])]
+        kind = np.int32 if upto[-1] < 2**31 else np.int64
+        ids = self.ids[np.repeat((self.start[at] - upto[:-1]).astype(kind), size) + np.arange(upto[-1], dtype=kind)]
         cuts = upto[np.searchsorted(cuts, off)]
         if end is None:
             return ids, cuts
@@ -365,8 +366,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scra
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(own)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "shard": pa.array([pack(own.fill_null(0).to_numpy(), ids, cuts, own.null_count)], pa.binary())})
 
         for b in batches:
-            for i in range(0, b.num_rows, 2048):
-                x = b.slice(i, 2048)
+            for i, j, _, _ in chunks(*text_buffer(b["text"]), 2 << 20):
+                x = b.slice(i, j - i)
                 ids, cuts = encoder_of(tokenizer).encode(x["text"], end)
                 held.append((x["doc_id"], ids, cuts))
                 n += len(ids)
