@@ -26,6 +26,15 @@ def iso_date(c: Column) -> Column:
     return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit(""))
 
 
+def days_after(c: Column, days: int) -> Column:
+    """The date so many days later (earlier, if negative)."""
+    return F.date_add(c, days)
+
+
+def days_between(start: Column, end: Column) -> Column:
+    return F.datediff(end, start)
+
+
 def long_date(c: Column) -> Column:
     return F.date_format(c, "d MMMM yyyy")
 

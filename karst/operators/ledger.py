@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,6 +82,20 @@ def allocate(df: DataFrame, key: str, order: list[Column], weight: str, total: C
     return rows.withColumn(out, F.when(F.col("__karst_n") == F.col("__karst_m"), F.col("__karst_t") - share).otherwise(F.col("__karst_c"))).drop("__karst_c", "__karst_t", "__karst_n", "__karst_m")
 
 
+def rollup(n: Column, good: Column, bad: Column, missing: Column) -> Column:
+    """The status of a group from its counts: not_found if all are missing, success if none is bad, error if none is good, else partial."""
+    return F.when(missing == n, "not_found").when(bad == 0, "success").when(good == 0, "error").otherwise("partial")
+
+
+def event_log(parts: dict[str, DataFrame], key: str, date: str) -> DataFrame:
+    """Rows of all tables as events: event, key, date and payload, all other columns as JSON with nulls written out."""
+    def one(name: str, df: DataFrame) -> DataFrame:
+        payload = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in (key, date)]), {"ignoreNullFields": "false"})
+        return df.select(F.lit(name).alias("event"), F.col(key), F.to_date(date).alias(date), payload.alias("payload"))
+
+    return reduce(DataFrame.unionByName, [one(n, df) for n, df in parts.items()])
+
+
 def histogram(issues: DataFrame, code: str) -> DataFrame:
     return issues.groupBy(code).agg(F.count("*").alias("n"))
 

@@ -28,6 +28,11 @@ def roster_conflicts(people: DataFrame, group: str, identity: str, name: str) ->
     return ids.unionByName(names)
 
 
+def associations(rows: DataFrame, keys: list[str], place: str, role: str, out: str = "roles") -> DataFrame:
+    """One row a person and company (``keys``): the distinct roles in the order of ``place``."""
+    return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(F.struct(place, role))), lambda r: r[role]).alias(out))
+
+
 def holdings(people: DataFrame, keys: list[str], amount: str, label: str) -> DataFrame:
     """One row a person: amounts of distinct rows summed, distinct labels joined by a bar in order."""
     one = people.dropDuplicates([*keys, amount, label])

@@ -247,10 +247,10 @@ def share_sum_with_remainder(spark, d):
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, floor(l_quantity)::BIGINT AS w FROM (SELECT *, sum(floor(l_quantity)) OVER (PARTITION BY l_orderkey) AS t FROM lineitem) WHERE floor(l_quantity) * 100 >= 20 * t""")
 def ratio_threshold(spark, d):
-    from pyspark.sql import Window
+    from karst.records.contexts import owners_of
 
     x = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").withColumn("w", F.floor("l_quantity"))
-    return x.withColumn("t", F.sum("w").over(Window.partitionBy("l_orderkey"))).where("w * 100 >= 20 * t").drop("t", "l_quantity")
+    return owners_of(x, "l_orderkey", "w").drop("l_quantity")
 
 
 @query("""
@@ -361,7 +361,7 @@ SELECT source, count(*) AS n, count(*) FILTER (lang = 'en') AS english, CASE WHE
 FROM documents GROUP BY source""")
 def status_rollup(spark, d):
     t = table(spark, d, "documents", "source", "lang", "n_chars").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("lang") != "en").alias("other"), F.count_if(F.col("n_chars") == 0).alias("empty"))
-    status = F.when(F.col("empty") == F.col("n"), "not_found").when(F.col("other") == 0, "success").when(F.col("english") == 0, "error").otherwise("partial")
+    status = ledger.rollup(F.col("n"), F.col("english"), F.col("other"), F.col("empty"))
     return t.select("source", "n", "english", status.alias("status"))
 
 
@@ -436,7 +436,7 @@ SELECT o_orderkey, o_orderdate::DATE + 18 AS lapses, o_orderdate::DATE - 1 AS de
     strftime(o_orderdate, '%-d %B %Y') AS written FROM orders""")
 def date_arithmetic(spark, d):
     day = F.to_date("o_orderdate")
-    return table(spark, d, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", F.date_add(day, 18).alias("lapses"), F.date_sub(day, 1).alias("declared"), F.datediff(day, F.lit("1992-01-01").cast("date")).alias("span"), V.long_date(day).alias("written"))
+    return table(spark, d, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", V.days_after(day, 18).alias("lapses"), V.days_after(day, -1).alias("declared"), V.days_between(F.lit("1992-01-01").cast("date"), day).alias("span"), V.long_date(day).alias("written"))
 
 
 @query("""
@@ -453,7 +453,7 @@ SELECT person, company, list(role ORDER BY n) AS roles FROM r GROUP BY 1, 2""")
 def person_associations(spark, d):
     x = table(spark, d, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber").toDF("person", "company", "n")
     role = F.when(F.col("n") == 1, "Director").when(F.col("n") == 2, "Shareholder").otherwise(F.concat(F.lit("Role "), "n"))
-    return x.groupBy("person", "company").agg(F.transform(F.array_sort(F.collect_set(F.struct("n", role.alias("role")))), lambda r: r["role"]).alias("roles"))
+    return people.associations(x.withColumn("role", role), ["person", "company"], "n", "role")
 
 
 @query("""
@@ -543,9 +543,9 @@ SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest, max(
 FROM orders GROUP BY o_custkey""")
 def latest_explicit_total(spark, d):
     o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    at = F.struct("o_orderdate", "o_orderkey")
-    given = F.when(F.col("o_totalprice") > 100000, at)
-    return o.groupBy("o_custkey").agg(F.max_by("o_orderkey", at).alias("latest"), F.to_date(F.max("o_orderdate")).alias("day"), F.max_by(F.when(given.isNotNull(), F.col("o_totalprice")), given).alias("explicit_total"))
+    order = [F.col("o_orderdate"), F.col("o_orderkey")]
+    told = o.select("o_custkey", "o_orderdate", "o_orderkey", F.col("o_orderkey").alias("latest"), F.to_date("o_orderdate").alias("day"), F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("explicit_total"))
+    return last_filled(told, "o_custkey", ["latest", "day", "explicit_total"], order)
 
 
 @query("""
@@ -554,10 +554,8 @@ UNION ALL SELECT 'SHIP', l_orderkey, l_shipdate::DATE, '{"line":' || l_linenumbe
 def ledger_union(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_orderdate", "o_orderstatus")
     x = table(spark, d, "lineitem", "l_orderkey", "l_shipdate", "l_linenumber")
-    json = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"}).alias("payload")
-    a = o.select(F.lit("ORDER").alias("event"), F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("day"), json(F.col("o_orderstatus").alias("status"), F.lit(None).cast("double").alias("price")))
-    b = x.select(F.lit("SHIP").alias("event"), F.col("l_orderkey").alias("k"), F.to_date("l_shipdate").alias("day"), json(F.col("l_linenumber").alias("line")))
-    return a.unionByName(b)
+    a = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").alias("day"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("double").alias("price"))
+    return ledger.event_log({"ORDER": a, "SHIP": x.select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").alias("day"), F.col("l_linenumber").alias("line"))}, "k", "day")
 
 
 @query("""

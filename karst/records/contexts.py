@@ -73,6 +73,16 @@ def owner_test(shares: Column, total: Column, criteria_c: Column) -> Column:
     return (shares * 100 >= total * 20) | ~c.isin("", "N/A", "NONE", "-", "0")
 
 
+def owners_of(holders: DataFrame, key: str, shares: str, criteria_c: str | None = None) -> DataFrame:
+    """Holders who count as owners (``owner_test``) of what all holders of their key have together.
+
+    The total is an aggregate that is joined back, so a key with very many holders is summed before it is shuffled.
+    """
+    total = holders.groupBy(F.col(key).alias("__k")).agg(F.sum(shares).alias("__t"))
+    own = F.col(criteria_c) if criteria_c else F.lit(None).cast("string")
+    return holders.join(total, F.col(key) == F.col("__k")).where(owner_test(F.col(shares), F.col("__t"), own)).drop("__k", "__t")
+
+
 def enriched(current: DataFrame, other: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """``current`` with blanks filled from the one row of ``other`` with its key."""
     one = other.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__c"), *[F.first(q(c)).alias(f"__{i}") for i, c in enumerate(columns)]).where("__c = 1")
