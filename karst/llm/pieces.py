@@ -23,9 +23,7 @@ stands in the text itself, as its piece means a blank; every text comes back who
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable
 from itertools import repeat
 
@@ -34,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, arrow_map, mix
+from karst.llm.common import U64, arrow_map, mix, text_buffer
 
 BLANK = "▁"
 DROPOUT, SEED = 0.1, 17
@@ -85,7 +83,6 @@ class Pieces:
         self.held = np.zeros(1 << 20, np.int32)
         self.held[self._bin(self.keys)] = np.arange(len(self.keys))
         self.crowded = np.bincount(self._bin(self.keys).astype(np.int64), minlength=1 << 20) > 1
-        self.cut = re.compile(r"\n| *[^ \n]+| +")
         self.clear()
 
     def clear(self) -> None:
@@ -333,25 +330,47 @@ class Pieces:
         self.parent = np.concatenate([self.parent, node])
         self.child.update(zip(keys.tolist(), range(number, number + len(keys))))
 
-    def encode(self, texts: list[str | None], docs: list[int], seed: int = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
+    def _segments(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Of all texts, each with a blank before it, one after another: which distinct segment stands where, those, and how many each text has.
+
+        A segment is a line end, or a word with the blanks before it, or blanks that no word follows.
+        """
+        raw, off = text_buffer(texts)
+        full = np.diff(off) > 0
+        begin = off[:-1] + np.cumsum(full) - full
+        out = np.full(len(raw) + int(full.sum()), 32, np.uint8)
+        there = np.ones(len(out), bool)
+        there[begin[full]] = False
+        out[there] = raw
+        line, blank = out == 10, out == 32
+        cut = np.ones(len(out) + 1, bool)
+        cut[1:-1] = line[:-1] | line[1:] | (~blank[:-1] & blank[1:])
+        cut[begin] = True
+        cuts = np.flatnonzero(cut)
+        coded = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(out)).dictionary_encode()
+        ends = np.searchsorted(cuts, np.append(begin, len(out)))
+        return coded.indices.to_numpy(), coded.dictionary.to_pylist(), np.diff(ends)
+
+    def encode(self, texts: pa.Array | list[str | None], docs: list[int], seed: int = SEED, dropout: float = DROPOUT) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each begins (one more at the end); null and empty have none.
 
         ``docs`` are the doc_ids that the draws go by.
         """
         if len(self.size) + len(self.once) > self.MOST:
             self.clear()
-        split = [self.cut.findall(" " + t) if t else [] for t in texts]
-        words = [w for x in split for w in x]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
+        unit, words, counts = self._segments(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         known = self.known
+        found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
         # Words too long for a node have none.
-        new = self._again(Counter(w for w in words if w not in known and len(w) <= LONG).items(), known)
+        often = np.bincount(unit, minlength=len(words))
+        new = self._again([(words[i], n) for i, n in zip(np.flatnonzero(found < 0).tolist(), often[found < 0].tolist()) if len(words[i]) <= LONG], known)
         if new:
             z, none = np.zeros(0, U64), np.zeros(len(new), np.int64)
             number = self._nodes(new, z, none, z, none)
             self.parent = np.concatenate([self.parent, none - 1])
             known.update(zip(new, range(number, number + len(new))))
-        node = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+            found = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        node = found[unit]
         own = self._own(np.repeat(np.array(docs, np.int64), counts), _within(counts), seed)
         hard = [np.flatnonzero(node < 0)]
         todo = np.flatnonzero(node >= 0)
@@ -373,7 +392,7 @@ class Pieces:
         start, size, ids = self.start, self.size, self.ids
         odd = np.concatenate(hard)
         if len(odd):
-            sym, seg = self._direct([words[i] for i in odd.tolist()], own[odd], dropout)
+            sym, seg = self._direct([words[i] for i in unit[odd].tolist()], own[odd], dropout)
             n = np.bincount(seg, minlength=len(odd))
             node[odd] = len(size) + np.arange(len(odd))
             start, size, ids = np.concatenate([start, len(ids) + np.cumsum(n) - n]), np.concatenate([size, n]), np.concatenate([ids, sym.astype(np.int32)])
@@ -403,9 +422,9 @@ def _within(sizes: np.ndarray) -> np.ndarray:
 def _encoded(batch: pa.RecordBatch, model: str, seed: int, dropout: float):
     doc = batch["doc_id"].fill_null(-1).to_pylist()
     p = pieces(model)
-    for i in range(0, batch.num_rows, 512):
-        texts = batch["text"].slice(i, 512).to_pylist()
-        ids, cuts = p.encode(texts, doc[i : i + 512], seed, dropout)
+    for i in range(0, batch.num_rows, 1024):
+        texts = batch["text"].slice(i, 1024)
+        ids, cuts = p.encode(texts, doc[i : i + 1024], seed, dropout)
         yield i, texts, ids, cuts
 
 
@@ -447,7 +466,7 @@ def digests(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROP
         p = pieces(model)
         for _, texts, ids, cuts in _encoded(b, model, seed, dropout):
             ids = ids.astype("<u4")
-            for t, x, y in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist()):
+            for t, x, y in zip(texts.to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
                 back = p.decode(ids[x:y].tolist())
                 n.append(y - x)
                 crc.append(zlib.crc32(memoryview(ids[x:y]).cast("B")) if y > x else 0)
