@@ -549,3 +549,46 @@ def upsert_by_either_key(spark, d):
     old = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise(at("R", F.col("c_custkey"))).alias("reg"), at("F", F.col("c_custkey")).alias("folder"), F.lit("old").alias("v"))
     new = s.select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise(at("R", F.col("s_suppkey") * 2)).alias("reg"), at("F", F.col("s_suppkey") * 3).alias("folder"), F.lit("new").alias("v"), F.col("s_name").alias("more"))
     return upsert_any(old, new, ["reg", "folder"])
+
+
+@query(f"""
+SELECT 'p' || c_custkey AS path, {_NUMBER.format('c_custkey', '80')} AS ic, 'ALICE' AS name, d::DATE AS event_date, CASE d WHEN '2024-03-05' THEN c_name END AS residential, CASE d WHEN '2024-03-05' THEN 'a@b.cc' END AS email, CASE d WHEN '2024-04-06' THEN 'FEMALE' END AS gender
+FROM customer, (VALUES ('2024-03-05'), ('2024-04-06')) v(d)""")
+def changed_particulars(spark, d):
+    from karst.records import updates
+
+    c = table(spark, d, "customer", "c_custkey", "c_name")
+    text = _lines("SECTION D : CHANGE IN PARTICULARS OF DIRECTOR", _of("Identification Number ", F.regexp_replace(_number("c_custkey"), r"^(\d{6})", "$1-")), "Name ALICE", F.concat(F.lit("Residential Address: "), F.col("c_name"), F.lit(" 05/03/2024")), "Email Address: a@b.cc 05/03/2024", "Gender: FEMALE 06/04/2024", "Odd thing: x 06/04/2024", "PARTICULARS OF LODGER")
+    return updates.changes(c.select(F.concat(F.lit("p"), "c_custkey").alias("path"), text.alias("text")))[0].select("path", "ic", "name", "event_date", "residential", "email", "gender")
+
+
+@query("""
+SELECT o_custkey AS k, count(*)::BIGINT AS n, 12 AS most FROM orders GROUP BY 1 HAVING count(*) > 12""")
+def rosters_over_capacity(spark, d):
+    from karst.records import drafts
+
+    o = table(spark, d, "orders", "o_custkey").select(F.col("o_custkey").alias("k"), F.lit("director").alias("role"))
+    return drafts.over_capacity(o, "k", {"director": 12, "member": 6}).select("k", "n", "most")
+
+
+@query("""
+SELECT c_custkey, s.section, s.place, s.field, CASE s.field WHEN 'c_name' THEN c_name WHEN 'c_mktsegment' THEN c_mktsegment ELSE c_nationkey::VARCHAR END AS value, CASE s.field WHEN 'c_nationkey' THEN 'number' ELSE 'text' END AS kind
+FROM customer, (VALUES ('Company', 0, 'c_name'), ('Company', 1, 'c_nationkey'), ('Market', 0, 'c_mktsegment')) s(section, place, field)""")
+def company_sections(spark, d):
+    from karst.records import drafts
+
+    c = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return drafts.section_payload(c, "c_custkey", {"Company": ["c_name", "c_nationkey"], "Market": ["c_mktsegment", "no such"]})
+
+
+@query("""
+WITH e AS (SELECT o_custkey AS k, o_orderstatus AS v, max(o_orderkey) AS o FROM orders GROUP BY 1, 2), l AS (SELECT k, list(v ORDER BY o DESC) AS c FROM e GROUP BY 1)
+SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'own' END AS value, CASE WHEN c_custkey % 2 = 0 THEN 'filled' WHEN c IS NOT NULL THEN 'suggested' ELSE 'missing' END AS status, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE coalesce(len(c), 0) END::INT AS n, CASE WHEN c_custkey % 2 = 1 THEN c[1] END AS first
+FROM customer LEFT JOIN l ON k = c_custkey""")
+def person_drafts(spark, d):
+    from karst.records import drafts
+
+    c, o = table(spark, d, "customer", "c_custkey"), table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    people = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, "own").otherwise(" ").alias("race"))
+    rows = drafts.person_drafts(people, o.select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("Race"), "o_orderkey"), "k", [F.col("o_orderkey")])
+    return rows.select("k", F.col("race.value").alias("value"), F.col("race.status").alias("status"), F.size("race.candidates").alias("n"), F.get("race.candidates", F.lit(0)).alias("first"))
