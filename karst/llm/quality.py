@@ -16,12 +16,14 @@ once and shuffles nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import _BYTE, _IS_SPACE, U64, arrow_map, chunks, mix, span_hashes, text_buffer, word_spans
+from karst.llm.common import _BYTE, _IS_SPACE, PIECE, U64, arrow_map, chunks, mix, span_hashes, text_buffer, word_spans
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -29,36 +31,40 @@ SIZES = (3, 4, 5)
 TWICE = U64(0x5851F42D4C957F2D)
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every feature, and the row it belongs to."""
+def _blocks(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bucket of every feature and the row it belongs to: words, pairs, and n-grams a piece at a time, so that a very long text takes little memory."""
+    mask = U64(BUCKETS - 1)
     start, end, first = word_spans(raw, offsets)
     h = span_hashes(raw, start, end, lower=False)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    mask = U64(BUCKETS - 1)
-    ids, rows = [h & mask], [row]
+    yield (h & mask).astype(np.int64), row
     if len(h) > 1:
         same = row[1:] == row[:-1]
         pair = np.where(h[:-1] == h[1:], TWICE, mix(h[:-1] * U64(0x9E3779B97F4A7C15) + h[1:]))
-        ids.append(pair[same] & mask)
-        rows.append(row[1:][same])
-    n = len(raw)
-    if n:
-        byte = _BYTE[raw]
-        spaces = np.concatenate([[0], np.cumsum(_IS_SPACE[raw])])
-        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        yield (pair[same] & mask).astype(np.int64), row[1:][same]
+    for a in range(0, len(raw), PIECE):
+        part = raw[a : a + PIECE + max(SIZES) - 1]
+        byte, n = _BYTE[part], len(part)
+        spaces = np.concatenate([[0], np.cumsum(_IS_SPACE[part])])
+        # The row of each byte: how many rows begin up to it.
+        begins = np.bincount(offsets[(offsets > a) & (offsets < a + n)] - a, minlength=n)
+        owner = int(np.searchsorted(offsets, a, "right")) - 1 + np.cumsum(begins)
         for size in SIZES:
-            m = n - size + 1
+            m = min(PIECE, n - size + 1)
             if m <= 0:
                 continue
             g = byte[:m].copy()
             for k in range(1, size):
                 g *= U64(0x100000001B3)
                 g += byte[k : m + k]
-            ok = (owner[:m] == owner[size - 1 :]) & (spaces[size - 1 : m + size - 1] == spaces[1 : m + 1])
-            g = g[ok]
-            ids.append((mix(g + U64(size)) & mask))
-            rows.append(owner[:m][ok])
-    return np.concatenate(ids).astype(np.int64), np.concatenate(rows)
+            ok = (owner[:m] == owner[size - 1 : m + size - 1]) & (spaces[size - 1 : m + size - 1] == spaces[1 : m + 1])
+            yield (mix(g[ok] + U64(size)) & mask).astype(np.int64), owner[:m][ok]
+
+
+def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every feature, and the row it belongs to."""
+    ids, rows = zip(*_blocks(raw, offsets))
+    return np.concatenate(ids), np.concatenate(rows)
 
 
 def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, rate: float = 2.0, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -99,9 +105,11 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
 def _scores(table: np.ndarray, bias: float, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.empty(len(offsets) - 1)
     for i, j, r, o in chunks(raw, offsets, 1 << 19):
-        ids, row = features(r, o)
-        n = np.bincount(row, minlength=j - i)
-        z = np.bincount(row, weights=table[ids], minlength=j - i) / np.maximum(n, 1) + bias
+        n, z = np.zeros(j - i, np.int64), np.zeros(j - i)
+        for ids, row in _blocks(r, o):
+            n += np.bincount(row, minlength=j - i)
+            z += np.bincount(row, weights=table[ids], minlength=j - i)
+        z = z / np.maximum(n, 1) + bias
         out[i:j] = 1 / (1 + np.exp(-z))
     return out
 
