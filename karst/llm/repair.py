@@ -62,7 +62,7 @@ class WordEncoder:
     into being.
     """
 
-    MOST = 400_000
+    MOST = 700_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -270,8 +270,8 @@ def _places(key: np.ndarray, some: np.ndarray) -> np.ndarray:
     return out
 
 
-def expansions(base: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Length of every rule's expansion, where it begins in the list of all, and that list."""
+def lengths(base: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Length of every rule's expansion, and the rules in an order in which each names earlier ones only."""
     n = len(left)
     size = np.zeros(n, np.int64)
     one = lambda s: np.where(s < base, 1, size[np.maximum(s - base, 0)])
@@ -283,6 +283,13 @@ def expansions(base: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarr
         size[todo[ok]] = (a + b)[ok]
         level.append(todo[ok])
         todo = todo[~ok]
+    return size, level
+
+
+def expansions(base: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length of every rule's expansion, where it begins in the list of all, and that list."""
+    size, level = lengths(base, left, right)
+    one = lambda s: np.where(s < base, 1, size[np.maximum(s - base, 0)])
     start = np.cumsum(size) - size
     flat = np.zeros(int(size.sum()), np.uint32)
     for rules in level:
@@ -301,7 +308,7 @@ def pack(docs: np.ndarray, ids: np.ndarray, cuts: np.ndarray, nulls: int = 0) ->
     base = int(ids.max()) + 1 if len(ids) else 0
     wide = base + len(left) > 65535
     kind = np.uint32 if wide else np.uint16
-    size, _, _ = expansions(base, left, right)
+    size, _ = lengths(base, left, right)
     head = np.array([len(docs), len(left), len(seq), 4 if wide else 2, base, nulls], np.uint32)
     return b"".join([MAGIC, head.tobytes(), docs.astype(np.int64).tobytes(), at.astype(np.uint32).tobytes(), cuts.astype(np.uint32).tobytes(), left.astype(kind).tobytes(), right.astype(kind).tobytes(), size.astype(np.uint32).tobytes(), seq.astype(kind).tobytes()])
 
@@ -366,7 +373,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scra
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(own)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "shard": pa.array([pack(own.fill_null(0).to_numpy(), ids, cuts, own.null_count)], pa.binary())})
 
         for b in batches:
-            for i, j, _, _ in chunks(*text_buffer(b["text"]), 2 << 20):
+            for i, j, _, _ in chunks(*text_buffer(b["text"]), 3 << 20):
                 x = b.slice(i, j - i)
                 ids, cuts = encoder_of(tokenizer).encode(x["text"], end)
                 held.append((x["doc_id"], ids, cuts))
