@@ -60,10 +60,21 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """The same rows, read from a table: lineage ends there."""
-        path = self.path(name)
-        df.write.option("compression", codec).parquet(path)
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd", wide: bool = False) -> DataFrame:
+        """The same rows, read from a table: lineage ends there.
+
+        While it is written, partitions of shuffles are put together up to the advised size,
+        so that a small table is a few files and not one for each core.  ``wide`` leaves that
+        to the session, for work that is more than its bytes tell.
+        """
+        path, first = self.path(name), "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+        before = self.spark.conf.get(first)
+        try:
+            if not wide:
+                self.spark.conf.set(first, "false")
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            self.spark.conf.set(first, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._karst_path = path
         return out

@@ -245,7 +245,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                     if found:
                         yield pa.RecordBatch.from_arrays([doc.take(pa.array([x[0] for x in found])), pa.array([shared.value.ids[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found])], ["doc_id", "item_id", "score"])
 
-    pairs = Scratch(docs.sparkSession, "leaks").keep(texts.mapInArrow(run, "doc_id long, item_id long, score double"), "pairs")
+    pairs = Scratch(docs.sparkSession, "leaks").keep(texts.mapInArrow(run, "doc_id long, item_id long, score double"), "pairs", wide=True)
     return pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 

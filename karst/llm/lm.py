@@ -316,7 +316,7 @@ def fit(texts: DataFrame, scratch: Scratch) -> Model:
         return pa.concat_tables([out, pa.table({"range": pa.array([-1], pa.int32()), "kind": pa.array([2], pa.int32()), "packet": pa.array([np.array([len(keys), *_counts_of_counts(counts)], np.int64).tobytes()], pa.binary())})])
 
     counted = _counted(texts, p_shards, _pairs_of(index, vocabulary), lambda k: _shard(mix(k), p_shards))
-    merged = scratch.keep(counted.groupBy("shard").applyInArrow(merge_pairs, "range int, kind int, packet binary"), "merged", "uncompressed")
+    merged = scratch.keep(counted.groupBy("shard").applyInArrow(merge_pairs, "range int, kind int, packet binary"), "merged", "uncompressed", wide=True)
     facts = [np.frombuffer(r.packet, np.int64) for r in merged.where("kind = 2").collect()]
     pairs, *ns = np.sum(facts, 0).tolist() if facts else [0] * 5
     ends = [*starts[1:], vocabulary + 1]

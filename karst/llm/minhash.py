@@ -267,7 +267,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     small_batches(spark)
     sc = scratch or Scratch(spark, "minhash")
     texts = texts_only(docs, "text")
-    s = sc.keep(arrow_map(texts, _signatures(bands, rows, width), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary"), "signatures", "snappy")
+    s = sc.keep(arrow_map(texts, _signatures(bands, rows, width), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, sig binary"), "signatures", "snappy", wide=True)
     # Written, so that the join back shuffles both sides itself and a class with very many members can be split.
     classes = sc.keep(s.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "class-ids")
     members = sc.keep(s.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("rep")).alias("rep")), "members")
@@ -284,8 +284,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     centre = sc.keep(shared.groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("m")), "centres")
     stars = shared.join(centre, "key").where("rep <> m").select(F.greatest("rep", "m").alias("u"), F.least("rep", "m").alias("v")).distinct()
     stars = sc.keep(stars, "stars")
-    sets = sc.keep(arrow_map(texts.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), _sets(width), "doc_id long, shingles array<long>"), "sets", "snappy")
-    links = sc.keep(_confirmed(stars, sets, percent), "links")
+    sets = sc.keep(arrow_map(texts.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), _sets(width), "doc_id long, shingles array<long>"), "sets", "snappy", wide=True)
+    links = sc.keep(_confirmed(stars, sets, percent), "links", wide=True)
     comps = sc.keep(connected_components(links, sc), "components")
     now = known.join(comps, known.rep == comps.node, "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"), F.inline("places"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
@@ -294,9 +294,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         rule = (bands * rows, bands, _floor(percent, bands * rows), percent)
         by_cell = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         cells = by_cell(_cells(open_, sc).join(mine.select("rep", "sig", "keys"), "rep"))
-        few = sc.keep(cells.mapInArrow(_by_cell(_suspects(*rule)), cells.schema), "suspects", "snappy")
+        few = sc.keep(cells.mapInArrow(_by_cell(_suspects(*rule)), cells.schema), "suspects", "snappy", wide=True)
         few = by_cell(few.join(sets, few["rep"] == sets["doc_id"]).drop("doc_id"))
-        more = sc.keep(few.mapInArrow(_by_cell(_links(*rule)), "u long, v long"), "more-links")
+        more = sc.keep(few.mapInArrow(_by_cell(_links(*rule)), "u long, v long"), "more-links", wide=True)
         if not more.isEmpty():
             comps = sc.keep(connected_components(links.union(more), sc), "components")
     kept = (

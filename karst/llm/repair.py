@@ -386,7 +386,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scra
 
     small_batches(docs.sparkSession)
     rows = texts_only(docs, "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.keep(rows.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, shard binary"), "shards", "uncompressed")
+    return scratch.keep(rows.mapInArrow(run, "part int, seq int, n_docs long, n_ids long, shard binary"), "shards", "uncompressed", wide=True)
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
