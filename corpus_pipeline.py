@@ -60,6 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        docs = scratch.keep(stage(spark, docs, sf_dir), name, wide=True)
     out = STAGES[-1][1](spark, docs, sf_dir)
     return out.select("doc_id", "n_ids", F.col("ids"))
