@@ -9,6 +9,7 @@ driver process.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import io
 import os
 import tempfile
@@ -102,6 +103,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system, as the worker lives on beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``f`` on batches of bounded size (``small_batches``), in Arrow."""
     small_batches(df.sparkSession)
@@ -110,6 +118,7 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, arrow_map, chunks, i64, mix, small_batches, text_buffer, texts_only, word_hashes
+from karst.llm.common import U64, Scratch, arrow_map, chunks, give_back, i64, mix, small_batches, text_buffer, texts_only, word_hashes
 from karst.llm.components import connected_components
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -145,6 +145,7 @@ def _by_cell(of_cell: Callable[[pa.Table], pa.Table | None]) -> Callable[[Iterat
             held = [t.slice(cuts[-1])]  # the last cell may go on
         for t in held:
             yield from of_rows(t, [0, t.num_rows])
+        give_back()
 
     return run
 

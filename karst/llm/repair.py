@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, chunks, small_batches, text_buffer, texts_only
+from karst.llm.common import U64, Scratch, chunks, give_back, small_batches, text_buffer, texts_only
 
 MAGIC = b"KRP2"
 #: Ids of a shard (a longer document stays whole), pairs of a round at most, least count of a pair.
@@ -383,6 +383,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int | None, scratch: Scra
                     seq, held, n = seq + 1, [], 0
         if held:
             yield out()
+        held = []
+        give_back()
 
     small_batches(docs.sparkSession)
     rows = texts_only(docs, "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
