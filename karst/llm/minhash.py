@@ -285,7 +285,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     centre = sc.keep(shared.groupBy("key").agg(F.max(F.struct("fame", (-F.col("rep")).alias("rep"))).alias("top")).select("key", (-F.col("top.rep")).alias("m")), "centres")
     stars = shared.join(centre, "key").where("rep <> m").select(F.greatest("rep", "m").alias("u"), F.least("rep", "m").alias("v")).distinct()
     stars = sc.keep(stars, "stars")
-    sets = sc.keep(arrow_map(texts.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), _sets(width), "doc_id long, shingles array<long>"), "sets", "snappy", wide=True)
+    # The classes grow with the data, so there is no bound to broadcast them by: shuffled at every size; only their ids are hashed.
+    ids = known.select(F.col("rep").alias("doc_id")).hint("shuffle_hash")
+    sets = sc.keep(arrow_map(texts.join(ids, "doc_id", "left_semi"), _sets(width), "doc_id long, shingles array<long>"), "sets", "snappy", wide=True)
     links = sc.keep(_confirmed(stars, sets, percent), "links", wide=True)
     comps = sc.keep(connected_components(links, sc), "components")
     now = known.join(comps, known.rep == comps.node, "left").select("rep", "n", F.coalesce("component", "rep").alias("comp"), F.inline("places"))
