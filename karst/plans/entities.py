@@ -1,7 +1,7 @@
 """Which company, auditor or person a question names, found among all names without guessing.
 
 Questions and names are tables, so many questions are answered by one join: names meet
-questions by their first token, then their tokens are compared.  An exact mention wins
+questions by their rarest token, then their tokens are compared.  An exact mention wins
 over an alias, an alias over a mention of all significant tokens; the longest wins, and
 of several that are equally good there is none.
 """
@@ -39,8 +39,15 @@ def people(columns: list[DataFrame]) -> DataFrame:
 
 
 def _met(questions: DataFrame, names: DataFrame, key: Column, tokens: Column) -> DataFrame:
-    """Pairs of a question (id, q, words) and a name whose tokens all stand in it."""
-    n = names.withColumn("k", key).withColumn("tokens", tokens).where((F.col("k") != "") & (F.size("tokens") > 0)).withColumn("lead", F.get("tokens", F.lit(0)))
+    """Pairs of a question (id, q, words) and a name whose tokens all stand in it.
+
+    They meet by the name's token that the fewest names have, so a word that all names share makes no pairs.
+    """
+    n = names.withColumn("k", key).withColumn("tokens", tokens).where((F.col("k") != "") & (F.size("tokens") > 0))
+    each = n.select("k", "name", F.explode("tokens").alias("t"))
+    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    lead = each.join(often, "t").groupBy("k", "name").agg(F.min_by("t", F.struct("c", "t")).alias("lead"))
+    n = n.join(lead, ["k", "name"])
     q = questions.withColumn("lead", F.explode("words"))
     # The leads of a question are its own few words; its text goes along once a name met.
     return q.join(n, "lead").where(F.size(F.array_except("tokens", "words")) == 0)
