@@ -73,12 +73,15 @@ def by_shared_registration(df: DataFrame, matches: DataFrame, registration: str)
 def mentioned(names: DataFrame, key: str, texts: DataFrame, text_key: str, text_id: str) -> DataFrame:
     """(text_id, key) of the longest name all of whose significant tokens stand in a text; none if two tie.
 
-    Names meet texts by their first significant token (an equi-join), then all
+    Names meet texts by the token that the fewest names have (an equi-join), then all
     tokens are checked, so no pair is formed that shares no token.  A text's words go
     into that join one by one; all of them are brought back for the few that met.
     """
     n = names.select(F.col(key).alias("name")).where("name <> ''").distinct().withColumn("tokens", significant_tokens(F.col("name"))).where("size(tokens) > 0")
-    n = n.withColumn("lead", F.get("tokens", F.lit(0))).withColumn("n", F.size("tokens"))
+    each = n.select("name", F.explode("tokens").alias("t"))
+    often = each.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    lead = each.join(often, "t").groupBy("name").agg(F.min_by("t", F.struct("c", "t")).alias("lead"))
+    n = n.join(lead, "name").withColumn("n", F.size("tokens"))
     t = texts.select(F.col(text_id).alias("id"), F.array_distinct(F.split(text_key, " ")).alias("words"))
     met = t.select("id", F.explode("words").alias("lead")).join(small(n), "lead").drop("lead")
     hit = met.join(t, "id").where(F.size(F.array_except("tokens", "words")) == 0)
