@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from karst.llm import urls
+from karst.llm.urls import Rule
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,6 +101,15 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+#: Verdicts by host and path that the contract of op12 fixes.
+URL_RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, URL_RULES, urls.reported(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_hamming_top_k": op2_hamming_top_k,
@@ -109,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_html_extraction": op10_html_extraction,
+    "op12_url_filters": op12_url_filters,
 }
 
 _WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -151,5 +164,25 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(length(er) + length(et) + 33)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
+""",
+    "op12_url_filters": f"""
+WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+        list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{urls.TRACKING}'))) AS q
+    FROM p),
+c AS (
+    SELECT page_id, host, path, regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') AS site, regexp_replace(path, '/+$', '') AS way,
+        CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS query
+    FROM h),
+u AS (SELECT page_id, host, path, CASE WHEN site <> '' THEN site || way || query END AS canonical FROM c),
+listed AS (SELECT DISTINCT canonical FROM u WHERE canonical IS NOT NULL AND regexp_matches(host, '{urls.REPORTED}')),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}) AS r(verdict, host, path)),
+fits AS (
+    SELECT u.host, u.path, max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host) + length(r.path)) AS best
+    FROM (SELECT DISTINCT host, path FROM u) AS u JOIN rules AS r
+    ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY 1, 2)
+SELECT u.page_id, u.host, u.path, best.rule AS rule, coalesce(best.verdict, CASE WHEN listed.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, u.canonical
+FROM u LEFT JOIN fits ON fits.host = u.host AND fits.path = u.path LEFT JOIN listed ON listed.canonical = u.canonical
 """,
 }
