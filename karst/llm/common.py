@@ -123,6 +123,52 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+#: Rows of partial sums that reach the driver.
+GATHERED = 8
+
+
+def gather_sums(df: DataFrame, f: Callable[[pa.RecordBatch], list[np.ndarray]]) -> list[np.ndarray] | None:
+    """Sums of the arrays that ``f`` gives for a batch, None without rows.
+
+    Each task sums its batches, then a few tasks sum those of many, so that the
+    driver gets ``GATHERED`` rows however many tasks there are.
+    """
+    small_batches(df.sparkSession)
+
+    def pack(total: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([[a.tobytes() for a in total]], pa.list_(pa.binary())), pa.array([[str(a.dtype) for a in total]], pa.list_(pa.string()))], ["sums", "kinds"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                got = f(b)
+                total = got if total is None else [x + y for x, y in zip(total, got, strict=True)]
+        return pack(total)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for sums, kinds in zip(b["sums"].to_pylist(), b["kinds"].to_pylist(), strict=True):
+                total = _added(total, _unpacked(sums, kinds))
+        return pack(total)
+
+    schema = "sums array<binary>, kinds array<string>"
+    total = None
+    for r in df.mapInArrow(first, schema).repartition(GATHERED).mapInArrow(again, schema).collect():
+        total = _added(total, _unpacked(r.sums, r.kinds))
+    return total
+
+
+def _unpacked(sums: list[bytes], kinds: list[str]) -> list[np.ndarray]:
+    return [np.frombuffer(s, k) for s, k in zip(sums, kinds, strict=True)]
+
+
+def _added(total: list[np.ndarray] | None, more: list[np.ndarray]) -> list[np.ndarray]:
+    return more if total is None else [x + y for x, y in zip(total, more, strict=True)]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and offsets of its rows; null is empty."""
     if column.null_count:

@@ -16,17 +16,13 @@ divided by n last.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import Scratch, arrow_map, small_batches
+from karst.llm.common import Scratch, arrow_map, gather_sums
 
-#: Rows of partial sums that reach the driver for one pass.
-GATHERED = 8
 #: Bound on the angle between a component and the eigenvector, as residual over gap.
 ANGLE = 1e-10
 #: Below this part of the largest eigenvalue a residual, or a gap, is noise of the arithmetic.
@@ -58,48 +54,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.int64, copy=False)
 
 
-def _gather(df: DataFrame, f: Callable[[pa.RecordBatch], list[np.ndarray]]) -> list[np.ndarray] | None:
-    """Sums of the arrays that ``f`` gives for a batch, None without rows.
-
-    Each task sums its batches, then a few tasks sum those of many, so that the
-    driver gets ``GATHERED`` rows however many tasks there are.
-    """
-    small_batches(df.sparkSession)
-
-    def pack(total: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([[a.tobytes() for a in total]], pa.list_(pa.binary())), pa.array([[str(a.dtype) for a in total]], pa.list_(pa.string()))], ["sums", "kinds"])
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            if b.num_rows:
-                got = f(b)
-                total = got if total is None else [x + y for x, y in zip(total, got, strict=True)]
-        return pack(total)
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for b in batches:
-            for sums, kinds in zip(b["sums"].to_pylist(), b["kinds"].to_pylist(), strict=True):
-                total = _added(total, _unpacked(sums, kinds))
-        return pack(total)
-
-    schema = "sums array<binary>, kinds array<string>"
-    total = None
-    for r in df.mapInArrow(first, schema).repartition(GATHERED).mapInArrow(again, schema).collect():
-        total = _added(total, _unpacked(r.sums, r.kinds))
-    return total
-
-
-def _unpacked(sums: list[bytes], kinds: list[str]) -> list[np.ndarray]:
-    return [np.frombuffer(s, k) for s, k in zip(sums, kinds, strict=True)]
-
-
-def _added(total: list[np.ndarray] | None, more: list[np.ndarray]) -> list[np.ndarray]:
-    return more if total is None else [x + y for x, y in zip(total, more, strict=True)]
-
-
 def moments(x: DataFrame) -> tuple[int, list[int]]:
     """n and the sum of each dimension, exact: low and high halves are summed apart."""
     low = (1 << 26) - 1
@@ -108,7 +62,7 @@ def moments(x: DataFrame) -> tuple[int, list[int]]:
         m = _matrix(b["x"])
         return [np.array([len(m)]), (m & low).sum(0), (m >> 26).sum(0)]
 
-    found = _gather(x.select("x"), part)
+    found = gather_sums(x.select("x"), part)
     if found is None:
         return 0, []
     return int(found[0][0]), [(int(h) << 26) + int(a) for a, h in zip(found[1], found[2], strict=True)]
@@ -144,7 +98,7 @@ def multiply(x: DataFrame, n: int, sums: list[int], q: np.ndarray) -> tuple[np.n
         y = _centre(_matrix(b["x"]), n, sums).astype(float) / n
         return [(y.T @ (y @ q)).ravel(), np.array([(y * y).sum()])]
 
-    got = _gather(x.select("x"), part)
+    got = gather_sums(x.select("x"), part)
     return got[0].reshape(q.shape) / n, float(got[1][0]) / n
 
 
@@ -205,7 +159,7 @@ def identity_error(x: DataFrame, n: int, sums: list[int], found: Components) ->
         z = whitened(_matrix(b["x"]), n, sums, found)[1][:, used]
         return [z.sum(0), (z.T @ z).ravel()]
 
-    mean, square = _gather(x.select("x"), part)
+    mean, square = gather_sums(x.select("x"), part)
     size = int(used.sum())
     cov = square.reshape(size, size) / n - np.outer(mean / n, mean / n)
     return float(np.abs(cov - np.eye(size)).max())
