@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,13 @@ def significant_tokens(key: Column, generic: tuple[str, ...] = GENERIC_WORDS) ->
     return F.array_distinct(F.filter(F.split(key, " "), lambda t: (F.length(t) > 1) & ~t.isin(*generic)))
 
 
+def by_rules(c: Column, rules: Iterable[tuple[str, str]]) -> Column:
+    """Each (pattern, replacement) in turn, and no blanks at the ends."""
+    for pattern, new in rules:
+        c = F.regexp_replace(c, pattern, new)
+    return F.trim(c)
+
+
 def clean(c: Column) -> Column:
     """No-break blanks and replacement characters to blanks, soft hyphens to hyphens, single blanks between."""
     return F.trim(F.regexp_replace(F.translate(c, " �­", "  -"), r"\s+", " "))

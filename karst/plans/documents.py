@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from karst.functions import text as T
 from karst.plans.queries import query, table
-from karst.records import filings, owners, parse, rosters, state
+from karst.records import filings, layout, owners, parse, rosters, state
 
 
 def _lines(*parts) -> Column:
@@ -592,3 +592,66 @@ def person_drafts(spark, d):
     people = c.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, "own").otherwise(" ").alias("race"))
     rows = drafts.person_drafts(people, o.select(F.col("o_custkey").alias("k"), F.col("o_orderstatus").alias("Race"), "o_orderkey"), "k", [F.col("o_orderkey")])
     return rows.select("k", F.col("race.value").alias("value"), F.col("race.status").alias("status"), F.size("race.candidates").alias("n"), F.get("race.candidates", F.lit(0)).alias("first"))
+
+
+def _laid(cells: list, starts: list[int], ratio: Column) -> Column:
+    """One line with a cell at each of the starts, all of them times ``ratio``; the last cell ends the line."""
+    texts = [F.lit(c) if isinstance(c, str) else c for c in cells]
+    wide = [F.rpad(c, (ratio * (b - a)).cast("int"), F.lit(" ")) for c, a, b in zip(texts, starts, starts[1:])]
+    return F.concat(*wide, texts[len(starts) - 1])
+
+
+def _sheets(spark, d, head: list[list[str]], row, starts: list[int], begins: str, ends: str):
+    """Files of returns, one for each nation and remainder of the key, four rows a page, pages of three widths; the last row of a page goes on overleaf."""
+    c = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    path = F.concat(F.lit("n"), "c_nationkey", F.lit("/"), F.col("c_custkey") % 2)
+    c = c.withColumn("path", path).withColumn("i", F.row_number().over(Window.partitionBy("path").orderBy("c_custkey")) - 1)
+    page = F.floor(F.col("i") / 4)
+    width = lambda page: F.when(page % 3 == 0, 1.0).when(page % 3 == 1, 1.25).otherwise(1.5)
+    first, second = row(F.lpad((F.col("i") + 1).cast("string"), 4, "0"))
+    last = F.col("i") % 4 == 3
+    over = _lines("Page 1 of 9", "\f" + "Company No: 1", _laid(second, starts, width(page + 1)))
+    text = _lines(_laid(first, starts, width(page)), F.when(last, over).otherwise(_laid(second, starts, width(page))))
+    one = F.lit(1.0)
+    top = _lines("a return", begins, *[_laid(h, starts, one) for h in head])
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("t")))), lambda x: x["t"]), "\n")
+    return c.groupBy("path").agg(F.concat_ws("\n", top, rows, F.lit(ends)).alias("text"))
+
+
+_COUNTRY = {"nationality": "CASE c_nationkey % 3 WHEN 0 THEN 'MALAYSIA' WHEN 1 THEN 'CHINA' ELSE 'INDIA' END", "gender": "CASE c_custkey % 2 WHEN 0 THEN 'MALE' ELSE 'FEMALE' END"}
+
+
+@query(f"""
+SELECT 'n' || c_nationkey || '/' || (c_custkey % 2) AS path, 'ALICE ' || c_custkey || 'X' AS "Name", {_NUMBER.format('c_custkey', '80')} AS "IC", 'MYKAD' AS "ID Type", {_COUNTRY['nationality']} AS "Nationality", 'R' || c_nationkey AS "Race", {_COUNTRY['gender']} AS "Gender", '1980-01-02' AS "DOB",
+    'DIRECTOR OF ' || c_mktsegment AS "Designation", 'TRADER' AS "Business Occupation", c_name || ' JALAN 1' AS "Residential", 'SUITE ' || c_nationkey || ', TOWN' AS "Service Address", 'a' || c_custkey || '@example.com' AS "Email" FROM customer""")
+def layout_directors(spark, d):
+    starts = [0, 8, 32, 60, 84, 100, 124, 136, 152, 200, 240]
+    head = [["", "", "", "Type", "Passport", "Nationality/", "Gender", "Date of birth", "Residential", "Service", "Business"], ["No", "Title/Name", "Designation", "number", "expiry date", "Race", "", "", "address", "address", "occupation"]]
+    k, g = F.col("c_custkey"), F.col("c_nationkey")
+
+    def row(number):
+        country = F.when(g % 3 == 0, "MALAYSIA").when(g % 3 == 1, "CHINA").otherwise("INDIA")
+        first = [number, "ALICE", "DIRECTOR OF", "MYKAD", "", country, F.when(k % 2 == 0, "MALE").otherwise("FEMALE"), "1980-01-02", F.col("c_name"), F.concat(F.lit("SUITE "), g, F.lit(",")), "TRADER"]
+        second = ["", F.concat(k, F.lit("X")), F.col("c_mktsegment"), _number("c_custkey"), "", F.concat(F.lit("R"), g), "", "", "JALAN 1", F.concat(F.lit("TOWN a"), k, F.lit("@example.com")), ""]
+        return first, second
+
+    files = _sheets(spark, d, head, row, starts, "Particulars of Directors", "Particulars of Managers")
+    return layout.directors(files).drop("pos", "Passport Expiry")
+
+
+@query(f"""
+SELECT 'n' || c_nationkey || '/' || (c_custkey % 2) AS path, 'INDIVIDUAL' AS "Type", 'BOB ' || c_custkey || 'X' AS "Name", 'MYKAD' AS "ID Type", {_NUMBER.format('c_custkey', '70')} AS "ID No", {_COUNTRY['nationality']} AS "Nationality", 'R' || c_nationkey AS "Race", {_COUNTRY['gender']} AS "Gender", '02/01/1980' AS "DOB",
+    c_name || ' JALAN 1' AS "Address", (c_custkey * 10)::VARCHAR AS "Shares", CASE c_custkey % 5 WHEN 0 THEN 'PREFERENCE SHARES' ELSE 'ORDINARY SHARES' END AS "Share Type", 'CITIZENS WHO ARE M' AS "Analysis" FROM customer""")
+def layout_members(spark, d):
+    starts = [0, 12, 28, 52, 76, 100, 116, 140, 152, 176, 220, 248]
+    head = [["", "", "Type of", "", "Type/", "Passport", "Nationality/", "", "", "", "Number of", "Analysis of"], ["No", "Reference", "member", "Title/Name", "number", "expiry date", "Race", "Gender", "Date of birth", "Address", "shares", "holdings"]]
+    k, g = F.col("c_custkey"), F.col("c_nationkey")
+
+    def row(number):
+        country = F.when(g % 3 == 0, "MALAYSIA").when(g % 3 == 1, "CHINA").otherwise("INDIA")
+        first = [number, "0001", "INDIVIDUAL", "BOB", "MYKAD", "", country, F.when(k % 2 == 0, "MALE").otherwise("FEMALE"), "02/01/1980", F.col("c_name"), (k * 10).cast("string"), "CITIZENS"]
+        second = ["", "", "", F.concat(k, F.lit("X")), _number("c_custkey", "70"), "", F.concat(F.lit("R"), g), "", "", "JALAN 1", F.when(k % 5 == 0, "PREFERENCE").otherwise("ORDINARY SHARES"), "WHO ARE M"]
+        return first, second
+
+    files = _sheets(spark, d, head, row, starts, "SECTION E: PARTICULARS OF MEMBERS", "TOTAL NUMBER OF SHARES 100")
+    return layout.registers(files)[1].drop("pos", "Passport Expiry")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.functions.text import clean, identity_key, name_key, registration_state
+from karst.functions.text import by_rules, clean, identity_key, name_key, registration_state
 from karst.functions.values import parse_date, parse_integer, similarity, source_date
 from karst.operators.extract import first_rule
 from karst.operators.latest import pick
@@ -115,25 +117,26 @@ def join_glyphs(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r"(?i)(?<=(?<!\S)[A-Z0-9])\s+(?=[A-Z0-9](?!\S))", "")
 
 
-def _mended(c: Column, table: dict[str, str]) -> Column:
-    for wrong, right in table.items():
-        c = F.regexp_replace(c, "(?i)" + wrong.replace(".", r"\."), right)
-    return c
+#: How the pieces of a cell become its text, and those of an address: (pattern, replacement), in this order.
+CELL_RULES = ((r"\s+", " "), *((f"(?i){re.escape(a)}", b) for a, b in BROKEN_WORDS.items()))
+ADDRESS_RULES = (
+    (r"(?is)\b(?:Company\s+No\s*:|Page\s+\d+\s+of\s+\d+|DIRECTOR\b).*$", ""),
+    (r"^[ ,]+|[ ,]+$", ""),
+    (r"(?<=\d)(?=[A-Z])|(?<=\b\d)(?=\d{5}\b)", " "),
+    *((f"(?i){re.escape(a)}", b) for a, b in BROKEN_PLACES.items()),
+    (r"(?i)\bALAYSIA\b", "MALAYSIA"),
+    (r"\s+(?=,|\s)", ""),
+)
 
 
 def layout_value(parts: Column) -> Column:
     """The pieces of a table's cell as one text."""
-    pieces = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
-    return _mended(F.trim(F.regexp_replace(join_glyphs(F.array_join(pieces, " ")), r"\s+", " ")), BROKEN_WORDS)
+    return by_rules(join_glyphs(F.array_join(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), " ")), CELL_RULES)
 
 
 def layout_address(parts: Column) -> Column:
     """The pieces of an address: cut at a page's foot, blanks put back between numbers and words."""
-    ends = r"(?i)\b(?:Company\s+No\s*:|Page\s+\d+\s+of\s+\d+|DIRECTOR)"
-    t = F.btrim(F.get(F.split(F.btrim(layout_value(parts), F.lit(" ,")), ends), F.lit(0)), F.lit(" ,"))
-    t = F.regexp_replace(F.regexp_replace(t, r"(?<=\d)(?=[A-Z])", " "), r"\b(\d)(\d{5})\b", "$1 $2")
-    t = F.regexp_replace(_mended(t, BROKEN_PLACES), r"(?i)\bALAYSIA\b", "MALAYSIA")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+,", ","), r"\s+", " "))
+    return by_rules(layout_value(parts), ADDRESS_RULES)
 
 
 def repaired_identities(members: DataFrame, key: str, ordinal: str) -> DataFrame:
