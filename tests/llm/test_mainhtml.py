@@ -2,7 +2,6 @@ import re
 from html.parser import HTMLParser
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,7 +58,10 @@ def test_two_surges():
 
 
 class Slow(HTMLParser):
-    """Lines of a page by the library's parser: text, code points outside links, chrome, and whether an article is around."""
+    """Lines of a page by the library's parser, with word lists of its own: text, code points outside short links, chrome, menu, and whether an article is around."""
+
+    LINES = {"html", "head", "body", "title", "nav", "ul", "li", "div", "article", "h1", "p", "br", "footer", "section", "aside", "header"}
+    EMPTY = {"br", "meta", "img", "link", "input", "hr"}
 
     def __init__(self, page):
         super().__init__(convert_charrefs=True)
@@ -73,21 +75,21 @@ class Slow(HTMLParser):
         for chrome in (False, True):
             mine = [p for p in self.parts if p[1] == chrome]
             if text(p[0] for p in mine):
-                self.lines.append((text(p[0] for p in mine), len(text(p[0] for p in mine if not p[2])), chrome, any(p[3] for p in mine)))
+                menu = any(p[4] for p in mine)
+                self.lines.append((text(p[0] for p in mine), 0 if menu else len(text(p[0] for p in mine if not p[2] or len(p[0]) >= 80)), chrome, menu, any(p[3] for p in mine)))
         self.parts = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in M.BLOCKS:
+        if tag in self.LINES:
             self.flush()
-        if tag in M.VOID:
+        if tag in self.EMPTY:
             return
-        if tag in M.BLOCKS and self.stack and self.stack[-1][0] == "p":
+        if tag in self.LINES and self.stack and self.stack[-1][0] == "p":
             self.stack.pop()
-        words = {w.lower() for k, v in attrs if k in ("class", "id") for w in re.findall("[A-Za-z]+", v or "")}
-        self.stack.append((tag, tag in M.CHROME or bool(words & M.WORDS)))
+        self.stack.append((tag, tag in ("footer", "aside", "header") or dict(attrs).get("class") == "ad"))
 
     def handle_endtag(self, tag):
-        if tag in M.BLOCKS:
+        if tag in self.LINES:
             self.flush()
         if tag in [t for t, _ in self.stack]:
             while self.stack.pop()[0] != tag:
@@ -96,28 +98,34 @@ class Slow(HTMLParser):
     def handle_data(self, data):
         tags = [t for t, _ in self.stack]
         if not {"script", "style", "title"} & set(tags):
-            self.parts.append((data, any(c for _, c in self.stack), "a" in tags, "article" in tags))
+            self.parts.append((data, any(c for _, c in self.stack), "a" in tags, "article" in tags, "nav" in tags))
 
 
-def slow_text(page):
+def slow_text(page, surge=86, width=3):
     """The same by brute force: every window summed for itself, every line looked at with all windows before and after."""
     lines = Slow(page).lines
-    marked = any(inside and not chrome for _, _, chrome, inside in lines)
-    w = [0 if chrome or marked and not inside else len(t) + M.SURGE if marked else plain for t, plain, chrome, inside in lines]
-    window = [sum(w[i : i + M.WINDOW]) for i in range(len(w))]
-    keep, best = [], []
+    marked = any(inside and not chrome for _, _, chrome, _, inside in lines)
+    w = [0 if chrome or marked and not inside else plain for _, plain, chrome, _, inside in lines]
+    window = []
+    for i in range(len(w)):
+        window.append(0)
+        for j in range(i, min(len(w), i + width)):
+            if lines[j][2]:
+                break
+            window[-1] += w[j]
+    found = []
     for i in range(len(w)):
-        a = i
-        while a > 0 and window[a - 1] > 0:
-            a -= 1
-        b = i
-        while b < len(w) and window[b] > 0:
-            b += 1
-        if w[i]:
-            (keep if max(window[a:b]) > M.SURGE else best).append((sum(w[a:b]), -a, i))
-    if not keep and best:
-        keep = [x for x in best if x[:2] == max(best)[:2]]
-    return "\n".join(lines[i][0] for _, _, i in keep)
+        if window[i] and (not i or not window[i - 1]):
+            b = i
+            while b < len(w) and window[b]:
+                b += 1
+            a = next(j for j in range(i, b) if w[j])
+            found.append((max(window[a:b]), sum(w[a:b]), -a, b))
+    high = [f for f in found if f[0] > (0 if marked else surge)] or [max(found, key=lambda f: f[1:3])] if found else []
+    keep = {i for _, _, a, b in high for i in range(-a, b)}
+    if marked and keep:  # one article a page in these tables
+        keep = {i for i, x in enumerate(lines) if x[4]}
+    return "\n".join(x[0] for i, x in enumerate(lines) if i in keep and not x[2] and not x[3] and (marked or w[i]))
 
 
 @pytest.fixture(scope="module")
@@ -136,18 +144,26 @@ def test_windows_find_the_article_without_its_mark(pages):
     assert decided == len(pages)
 
 
-def test_windows_decide_on_marked_pages_too(pages, monkeypatch):
-    """All pages go through the windows: with none that surges, nothing but the heaviest run is left."""
-    seen = []
-    monkeypatch.setattr(M, "spans", lambda w, real=M.spans: seen.append(len(w)) or real(w))
+def test_windows_drop_what_the_rules_keep(pages):
+    """The menu of every page is left out by its density: no rule of elements says that it isn't the article's."""
     for p in pages:
-        main_text(p)
-    assert len(seen) == len(pages)
-    page = f"<main><p>{LONG}</p></main>" + "<div>x</div>" * 3 + "<main><p>Two</p></main>"
-    assert M.main_text(page) == f"{LONG.strip()}\nTwo"
-    monkeypatch.setattr(M, "SURGE", 10**6)
-    monkeypatch.setattr(M, "spans", lambda w, real=M.spans: real(np.where(w > 0, w - 10**6, 0)))
-    assert M.main_text(page) == LONG.strip()
+        p = re.sub(r"(</?)(?:article|nav)\b", r"\1div", p)
+        clear = [x for x in M.lines(p) if not x.chrome]
+        kept = M.kept_lines(M.lines(p))
+        assert not any(x.chrome or x.menu for x in clear) and len(kept) < len(clear) and {x for x in clear if x not in kept} == {x for x in clear if not x.plain}
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<article><p>{LONG}</p><p class='notice-of-motion'>Motion</p><section id='related-work'><p>Work</p></section><h2 id='comment-on-results'>Results</h2></article>", [LONG.strip(), "Motion", "Work", "Results"]),
+    (f"<article><p>{LONG}</p><div class='ad-slot-2'>buy</div><div id='cookiebar'>c</div><div class='x social-share'>s</div><div class='relatedPosts'>r</div><section class='comments-area'>{LONG}</section></article>", [LONG.strip()]),
+    (f"<div><p>{LONG}</p><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><p>The end.</p></div><div><a>m</a></div><p>out</p>", [LONG.strip(), "The end."]),
+    (f"<p><a href=1>{LONG}</a></p><p>tiny</p>", [LONG.strip(), "tiny"]),
+    (f"<div><p>{LONG}</p></div><footer>f</footer><div><p>short</p></div>", [LONG.strip()]),
+    (f"<article><a>1</a></article><article><a>2</a></article><article><p>{LONG}</p><p><a>source</a></p><nav><a>up</a></nav></article><div>{LONG}</div>", [LONG.strip(), "source"]),
+    ("<div><a>a</a></div><div><a>b</a></div>", [""]),
+])
+def test_what_windows_and_marks_keep(page, want):
+    assert main_text(page) == "\n".join(want)
 
 
 def test_long_page():
