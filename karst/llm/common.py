@@ -31,14 +31,14 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share; on a local master it is set here where the session has none."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
         found = f"file://{tempfile.mkdtemp(prefix='karst-')}"
     else:
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_karst_scratch"
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
     spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -303,12 +303,14 @@ def save_array(folder: str, name: str, array: np.ndarray) -> None:
 
 #: Bytes of arrays that a worker holds which it can't map from a file system.
 HELD_BYTES = 256 << 20
+#: Arrays that a worker keeps mapped: a system allows a process only so many maps.
+HELD_MAPS = 4096
 _held: OrderedDict[str, np.ndarray] = OrderedDict()
 
 
 def load_array(folder: str, name: str) -> np.ndarray:
     """The array, mapped from its file.  Where the folder is in a store that has no file system, it is
-    read into memory, and those asked for longest ago leave when ``HELD_BYTES`` are held."""
+    read into memory.  Those asked for longest ago leave when ``HELD_MAPS``, or ``HELD_BYTES`` in memory, are held."""
     key = f"{folder}/{name}"
     if key in _held:
         _held.move_to_end(key)
@@ -325,6 +327,6 @@ def load_array(folder: str, name: str) -> np.ndarray:
     for old in [k for k in _held if not k.startswith(folder + "/")]:  # of an earlier run
         del _held[old]
     _held[key] = out
-    while not path and len(_held) > 1 and sum(a.nbytes for a in _held.values()) > HELD_BYTES:
+    while len(_held) > HELD_MAPS or not path and len(_held) > 1 and sum(a.nbytes for a in _held.values()) > HELD_BYTES:
         _held.popitem(last=False)
     return out

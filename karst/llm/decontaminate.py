@@ -16,10 +16,10 @@ in every document in two passes over whole texts:
 An item of fewer than ``SEED`` words has no gram; it is held by a document that has
 its words and no others, and nothing else.
 
-Items are taken in blocks of at most ``BLOCK_WORDS`` words: a block is what is
-broadcast, so its size is bounded.  Each block's grams are counted over all
-documents, then one pass looks for all blocks.  Nothing is shuffled but counts of
-grams and the found pairs.
+Items are taken in blocks of at most ``BLOCK_WORDS`` words, ``PASS_BLOCKS`` blocks at
+a time: that is what the driver holds and what is broadcast, whatever the number of
+items.  Each block's grams are counted over all documents, then one pass looks for
+the blocks at hand.  Nothing is shuffled but counts of grams and the found pairs.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ SEED, RARE, RARE_AT_LEAST, SEVERAL = 3, 1e-3, 5, 3
 MATCH, MISS, GAP = 1.0, -0.5, -0.5
 #: Least score, and least number of words that an alignment's sum must reach (all words of shorter items).
 THRESHOLD, LEAST_WORDS = 0.4, 6
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS, PASS_BLOCKS = 1_000_000, 2
 _CELLS = 1 << 20
 
 _NO_WORD = np.ones(256, bool)
@@ -219,10 +219,16 @@ def _weighed(docs: DataFrame, seeds: Seeds) -> Seeds:
     return seeds
 
 
-def _prepared(docs: DataFrame, items: DataFrame) -> list[Broadcast]:
-    """All blocks, weighed by the same documents, so that their order is of no account."""
+def _passes(docs: DataFrame, items: DataFrame) -> Iterator[list[Broadcast]]:
+    """The blocks, ``PASS_BLOCKS`` at a time, all weighed by the same documents, so that their order is of no account."""
     small_batches(docs.sparkSession)
-    return [docs.sparkSession.sparkContext.broadcast(_weighed(docs, seeds)) for seeds in _blocks(items)]
+    held: list[Broadcast] = []
+    for seeds in _blocks(items):
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+        held.append(docs.sparkSession.sparkContext.broadcast(_weighed(docs, seeds)))
+    yield held
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -233,9 +239,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     and no others.  Of repeated rows the best score counts.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = _prepared(texts, items)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = text_buffer(b["text"])
             for i, j, r, o in chunks(raw, off):
@@ -245,15 +250,18 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                     if found:
                         yield pa.RecordBatch.from_arrays([doc.take(pa.array([x[0] for x in found])), pa.array([shared.value.ids[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found])], ["doc_id", "item_id", "score"])
 
-    pairs = Scratch(docs.sparkSession, "leaks").keep(texts.mapInArrow(run, "doc_id long, item_id long, score double"), "pairs", wide=True)
+    scratch, pairs = Scratch(docs.sparkSession, "leaks"), None
+    for blocks in _passes(texts, items):
+        found = scratch.keep(texts.mapInArrow(lambda b, blocks=blocks: run(b, blocks), "doc_id long, item_id long, score double"), "pairs", wide=True)
+        pairs = found if pairs is None else pairs.union(found)
+        for shared in blocks:
+            shared.unpersist()
     return pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a copy of an item (as in ``contaminated``); all columns, no shuffle."""
-    blocks = _prepared(docs, items)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, off = text_buffer(b["text"])
             clean = np.ones(b.num_rows, bool)
@@ -263,4 +271,12 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
                         clean[i + row] = False
             yield b if clean.all() else b.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema) if blocks else docs
+    scratch, kept, last = Scratch(docs.sparkSession, "clean"), docs, None
+    for blocks in _passes(docs, items):
+        if last is not None:  # one more pass: the rows that the one before kept are written, and its blocks can go
+            kept = scratch.keep(kept, "kept", wide=True)
+            for shared in last:
+                shared.unpersist()
+        kept = kept.mapInArrow(lambda b, blocks=blocks: run(b, blocks), docs.schema)
+        last = blocks
+    return kept

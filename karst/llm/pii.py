@@ -76,7 +76,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", lambda c: F.length(F.regexp_replace(c, " ", "")).between(15, 34) & _mod97(c), 0.8, "iban|account|konto|bank", lambda c: c.rlike("[A-Z]{2}[0-9]{2}"), False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", lambda c: F.lit(True), 0.6, "ssn|social", lambda c: c.rlike("[0-9]-[0-9]{2}-[0-9]"), False),
     Kind("phone_local", r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])", lambda c: F.lit(True), 0.4, "phone|tel|call|fax|mobil", lambda c: c.rlike("[0-9]{3}[.-][0-9]{4}"), False),
-    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+", lambda c: c.rlike("[0-9]") & c.rlike("[A-Za-z]"), 0.4, "token|secret|key|passw|auth|bearer|credential", lambda c: c.rlike("[A-Za-z0-9+/_-]{32}"), False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+", lambda c: c.rlike("[0-9]") & c.rlike("[A-Za-z]"), 0.4, "token|secret|key|passw|auth|bearer|credential", lambda c: c.rlike("(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32}"), False),
 )
 
 

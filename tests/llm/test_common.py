@@ -46,6 +46,10 @@ def test_no_powers_are_kept_beyond_a_piece():
 def test_arrays_in_files(tmp_path, monkeypatch):
     common.save_array(f"file://{tmp_path}/m", "a", np.arange(5))
     assert common.load_array(f"file://{tmp_path}/m", "a").tolist() == [0, 1, 2, 3, 4]
+    monkeypatch.setattr(common, "HELD_MAPS", 2)
+    for name in "vwxyz":
+        common.save_array(f"file://{tmp_path}/m", name, np.arange(3))
+        assert common.load_array(f"file://{tmp_path}/m", name).tolist() == [0, 1, 2] and len(common._held) <= 2
     monkeypatch.setattr(common, "local_path", lambda uri: None)  # a store without a file system
     monkeypatch.setattr(common, "HELD_BYTES", 50)
     common._held.clear()
@@ -53,3 +57,11 @@ def test_arrays_in_files(tmp_path, monkeypatch):
         common.save_array(f"file://{tmp_path}/m", name, np.arange(5))
     assert [common.load_array(f"file://{tmp_path}/m", n).tolist() for n in "bcdb"] == [[0, 1, 2, 3, 4]] * 4 and len(common._held) == 1
     common._held.clear()
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace as Of
+
+    conf = Of(get=lambda *a: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Of(sparkContext=Of(getConf=lambda: conf, master="spark://a:1"), conf=conf))
