@@ -282,7 +282,7 @@ def member_issues(spark, d):
     return issues.where("code in ('INVALID_MEMBER_SNAPSHOT', 'SAME_DATE_MEMBER_SNAPSHOT_CONFLICT', 'UNPARSED_ALLOTMENT')").select("folder", "code", "source_path")
 
 
-@query("""
+_DIRECTORS = """
 WITH e AS (SELECT event_id, user_id % 25 AS folder, user_id AS who, ts::DATE AS dt, CASE event_type WHEN 'error' THEN 'CEASE' WHEN 'signup' THEN 'UPDATE' ELSE 'APPOINT' END AS kind FROM events),
 b AS (SELECT folder, max(dt) AS since FROM e WHERE event_id % 13 = 0 GROUP BY 1),
 sn AS (SELECT e.folder, max(event_id) FILTER (dt = since) AS path FROM e JOIN b USING (folder) WHERE event_id % 13 = 0 GROUP BY 1),
@@ -290,8 +290,10 @@ c AS (SELECT folder, who, dt FROM e WHERE event_id % 13 <> 0 GROUP BY ALL HAVING
 x AS (SELECT e.folder, who, 'SNAPSHOT' AS kind, dt, 0 AS turn, event_id FROM e JOIN sn ON e.event_id = sn.path
     UNION ALL SELECT e.folder, who, kind, dt, 1, event_id FROM e LEFT JOIN b USING (folder) WHERE event_id % 13 <> 0 AND (since IS NULL OR dt >= since) AND NOT EXISTS (SELECT 1 FROM c WHERE c.folder = e.folder AND c.who = e.who AND c.dt = e.dt)),
 r AS (SELECT *, row_number() OVER (PARTITION BY folder, who ORDER BY turn DESC, dt DESC, lpad(event_id::VARCHAR, 9, '0') DESC) AS n FROM x)
-SELECT folder::VARCHAR AS folder, 'ID:I' || who AS key, 'N' || who AS name, row_number() OVER (PARTITION BY folder ORDER BY 'N' || who)::INT AS slot FROM r WHERE n = 1 AND kind <> 'CEASE'""")
-def director_states(spark, d):
+SELECT folder::VARCHAR AS folder, 'ID:I' || who AS key, 'N' || who AS name, row_number() OVER (PARTITION BY folder ORDER BY 'N' || who)::INT AS slot FROM r WHERE n = 1 AND kind <> 'CEASE'"""
+
+
+def _director_input(spark, d):
     e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type")
     base = F.col("event_id") % 13 == 0
     rows = e.select(
@@ -300,10 +302,58 @@ def director_states(spark, d):
     )
     officers = rows.where("section = 'S68'").select("folder", "path", "ic", "name")
     events = rows.where("section = 'S58'").select("folder", "path", "kind", F.col("effective").alias("event_date"), "ic", "name")
-    now, _ = state.directors(rows, officers, events)
+    return rows, officers, events
+
+
+@query(_DIRECTORS)
+def director_states(spark, d):
+    now, _ = state.directors(*_director_input(spark, d))
     return now.select("folder", "key", "name", "slot")
 
 
+@query(_DIRECTORS)
+def streamed_director_states(spark, d):
+    """The same from a stream of shuffled micro-batches, one of which comes twice."""
+    from karst.sources.tables import scratch_folder
+    from karst.streaming import directors
+    from karst.streaming.incremental import Incremental
+
+    top = scratch_folder(spark, "directors")
+    facts = state.director_facts(*_director_input(spark, d))
+    dealt = facts.withColumn("b", F.pmod(F.xxhash64("path"), F.lit(3)))
+    dealt.unionByName(dealt.where("b = 1").withColumn("b", F.lit(3).cast("long"))).repartition(1, "b").sortWithinPartitions("b").write.partitionBy("b").parquet(f"{top}/in")
+    source = spark.readStream.schema(facts.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{top}/in")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    out = Incremental(spark, f"{top}/out", ["folder"], ["version"])
+    try:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", directors.STORE)
+        out.follow(directors.follow(source, "4000 days"), f"{top}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    now = out.read().select("folder", F.inline("directors"))
+    return now.select("folder", "key", "name", F.row_number().over(Window.partitionBy("folder").orderBy("name", "key")).alias("slot"))
+
+
+@query("""
+SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1""")
+def incremental_latest(spark, d):
+    """The last event of each user from micro-batches in any order, one of which comes twice."""
+    from karst.sources.tables import scratch_folder
+    from karst.streaming.incremental import Incremental
+
+    e = table(spark, d, "events", "event_id", "user_id", "ts", "event_type")
+    held = Incremental(spark, scratch_folder(spark, "latest"), ["user_id"], ["ts", "event_id"])
+    for batch, part in enumerate((2, 0, 1)):
+        rows = e.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part)
+        held.apply(rows, batch)
+        held.apply(rows, batch)
+        if batch == 1:
+            held.compact()
+    return held.read()
+
+
+
+
 @query("""
 SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Tan & Co' WHEN 1 THEN NULL ELSE 'ALICE' END AS name, o_orderkey % 4 >= 2 AS plausible FROM orders""")
 def statement_names(spark, d):

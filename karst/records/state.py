@@ -12,7 +12,7 @@ folded, with no more in memory than one folder's current directors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -121,6 +121,31 @@ def total_shares(filings: DataFrame, totals: DataFrame) -> DataFrame:
     return both.select("folder", F.when(later, F.col("member_total")).otherwise(F.coalesce("explicit", "member_total")).alias("total"))
 
 
+def apply(now: dict[str, dict[str, str]], row, say: Callable[[str, str, object], None]) -> None:
+    """One row (kind, key and fields) applied to a folder's directors by key; ``say`` gets (code, severity, row) of what is odd."""
+    person = {f: getattr(row, f) for f in OFFICER_FIELDS if getattr(row, f)}
+    key, alike = row.key, []
+    if row.kind != "SNAPSHOT" and key not in now and person.get("name"):
+        alike = [k for k, p in now.items() if p.get("name") == person["name"]]
+        if len(alike) == 1:
+            key = alike[0]
+            say("DIRECTOR_NAME_FALLBACK", "REVIEW", row)
+    if not key:
+        if row.kind != "SNAPSHOT":
+            say("DIRECTOR_IDENTITY_MISSING", "CRITICAL", row)
+    elif row.kind == "CEASE":
+        now.pop(key, None)
+    else:
+        merged = {**now.get(key, {}), **person}
+        if row.kind == "UPDATE" and row.key and row.key != key and person.get("ic"):
+            if row.key in now and now[row.key].get("name") != merged.get("name"):
+                say("DIRECTOR_IDENTITY_REKEY_CONFLICT", "CRITICAL", row)
+            else:
+                now.pop(key, None)
+                key = row.key
+        now[key] = merged
+
+
 def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Directors of each folder after all its rows, and an issue for each that could not be applied; rows come by folder and order."""
     folder, now, out = None, {}, []
@@ -138,27 +163,7 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if folder is not None:
                     flush()
                 folder, now = row.folder, {}
-            person = {f: getattr(row, f) for f in OFFICER_FIELDS if getattr(row, f)}
-            key, alike = row.key, []
-            if row.kind != "SNAPSHOT" and key not in now and person.get("name"):
-                alike = [k for k, p in now.items() if p.get("name") == person["name"]]
-                if len(alike) == 1:
-                    key = alike[0]
-                    say("DIRECTOR_NAME_FALLBACK", "REVIEW", row)
-            if not key:
-                if row.kind != "SNAPSHOT":
-                    say("DIRECTOR_IDENTITY_MISSING", "CRITICAL", row)
-            elif row.kind == "CEASE":
-                now.pop(key, None)
-            else:
-                merged = {**now.get(key, {}), **person}
-                if row.kind == "UPDATE" and row.key and row.key != key and person.get("ic"):
-                    if row.key in now and now[row.key].get("name") != merged.get("name"):
-                        say("DIRECTOR_IDENTITY_REKEY_CONFLICT", "CRITICAL", row)
-                    else:
-                        now.pop(key, None)
-                        key = row.key
-                now[key] = merged
+            apply(now, row, say)
             if len(out) >= 10_000:
                 yield pd.DataFrame(out, columns=_FOLDED)
                 out.clear()
@@ -170,6 +175,23 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _FOLDED = ["folder", "key", *OFFICER_FIELDS, "severity", "code", "source_path", "effective_date"]
 
 
+def _fields(df: DataFrame) -> list[Column]:
+    return [clean(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) if f in df.columns else F.lit("").alias(f) for f in OFFICER_FIELDS]
+
+
+def director_facts(filings: DataFrame, officers: DataFrame, events: DataFrame) -> DataFrame:
+    """What directors' states are made of, for a stream of it: a row a person of a profile filing (SNAPSHOT) and a row a dated event.
+
+    folder, path, kind, at (date), s, q and r (what orders filings of one day), key, and fields.
+    """
+    papers = filings.select("folder", "path", "section", "effective", section_rank(F.col("section")).alias("s"), F.coalesce("quality", F.lit(0)).alias("q"), F.coalesce("reference", F.lit("")).alias("r"))
+    profiles = papers.where(F.col("section").isin(*DIRECTOR_SNAPSHOTS) & F.col("effective").isNotNull())
+    told = officers.select("folder", "path", *_fields(officers)).join(profiles, ["folder", "path"]).select("folder", "path", F.lit("SNAPSHOT").alias("kind"), F.col("effective").alias("at"), "s", "q", "r", *OFFICER_FIELDS)
+    dated = events.where(F.col("kind").isin(*OFFICER_KINDS) & F.col("event_date").isNotNull()).select("folder", "path", "kind", F.col("event_date").alias("at"), *_fields(events))
+    noted = dated.join(papers.where("section = 'S58'").select("folder", "path", "s", "q", "r"), ["folder", "path"]).select(*told.columns)
+    return told.unionByName(noted).withColumn("key", person_key(F.col("ic"), F.col("name")))
+
+
 def directors(filings: DataFrame, officers: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(current directors, issues).
 
@@ -180,12 +202,11 @@ def directors(filings: DataFrame, officers: DataFrame, events: DataFrame) -> tup
     with slot, by date of appointment (none first), then name.
     """
     key = person_key(F.col("ic"), F.col("name"))
-    fields = lambda df: [clean(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) if f in df.columns else F.lit("").alias(f) for f in OFFICER_FIELDS]
     profiles = filings.where(F.col("section").isin(*DIRECTOR_SNAPSHOTS) & F.col("effective").isNotNull()).join(officers.select("folder", "path").distinct(), ["folder", "path"], "left_semi")
     base = profiles.groupBy("folder").agg(F.max(rank()).alias("top")).select("folder", F.col("top.path").alias("snapshot"), F.col("top.effective").alias("since"))
-    start = officers.join(base, (officers["folder"] == base["folder"]) & (officers["path"] == base["snapshot"])).select(officers["folder"], officers["path"], F.lit("SNAPSHOT").alias("kind"), F.col("since").alias("at"), F.lit(0).alias("q"), F.lit("").alias("r"), *fields(officers))
+    start = officers.join(base, (officers["folder"] == base["folder"]) & (officers["path"] == base["snapshot"])).select(officers["folder"], officers["path"], F.lit("SNAPSHOT").alias("kind"), F.col("since").alias("at"), F.lit(0).alias("q"), F.lit("").alias("r"), *_fields(officers))
     notes = filings.where("section = 'S58'").select("folder", "path", "effective", F.coalesce("quality", F.lit(0)).alias("q"), F.coalesce("reference", F.lit("")).alias("r"))
-    rows = events.where(F.col("kind").isin(*OFFICER_KINDS)).select("folder", "path", "kind", F.col("event_date").alias("at"), *fields(events)).join(notes, ["folder", "path"])
+    rows = events.where(F.col("kind").isin(*OFFICER_KINDS)).select("folder", "path", "kind", F.col("event_date").alias("at"), *_fields(events)).join(notes, ["folder", "path"])
     undated = rows.where("at is null").select("folder", "path", F.lit("S58").alias("section"), "effective")
     rows = rows.where("at is not null").drop("effective").withColumn("key", key).join(base.select("folder", "since"), "folder", "left").where("since is null or at >= since").drop("since")
     clash = rows.where("key <> ''").groupBy("folder", "at", "key").agg(F.count_distinct("kind").alias("n"), F.min("path").alias("path")).where("n > 1")

@@ -7,6 +7,7 @@ the target's place by rename.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from functools import reduce
 
@@ -14,6 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A new folder of this run that driver and executors reach: under ``spark.checkpoint.dir``, or on a local master a temporary one."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+        top = f"file://{tempfile.mkdtemp(prefix='karst-')}"
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
 def require(df: DataFrame, columns: list[str], strict: bool = False) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing or strict and df.columns != columns:
