@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import U64, Scratch, chunks, mix, small_batches, span_hashes, text_buffer, word_spans
+from karst.llm.common import U64, Scratch, chunks, give_back, mix, small_batches, span_hashes, text_buffer, word_spans
 
 SEED, RARE, RARE_AT_LEAST, SEVERAL = 3, 1e-3, 5, 3
 MATCH, MISS, GAP = 1.0, -0.5, -0.5
@@ -228,6 +228,7 @@ def _passes(docs: DataFrame, items: DataFrame) -> Iterator[list[Broadcast]]:
             yield held
             held = []
         held.append(docs.sparkSession.sparkContext.broadcast(_weighed(docs, seeds)))
+        give_back()
     yield held
 
 

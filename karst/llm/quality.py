@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karst.llm.common import _BYTE, _IS_SPACE, PIECE, U64, arrow_map, chunks, mix, span_hashes, text_buffer, word_spans
+from karst.llm.common import _BYTE, _IS_SPACE, PIECE, U64, arrow_map, chunks, give_back, mix, span_hashes, text_buffer, word_spans
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -83,13 +83,15 @@ def train(texts: list[str], labels: list[int], dim: int = 8, epochs: int = 6, ra
         b = np.frombuffer(t.encode(), np.uint8)
         ids, _ = features(b, np.array([0, len(b)]))
         u, c = np.unique(ids, return_counts=True)
-        docs.append((u.astype(np.int32), (c / max(1, len(ids))).astype(np.float32)))
+        # Counts in as few bytes as they need: these arrays are most of what the driver holds.
+        docs.append((u.astype(np.int32), c.astype(np.min_scalar_type(int(c.max(initial=0)))), max(1, len(ids))))
     steps, total = 0, epochs * len(docs)
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             lr = np.float32(rate * (1 - steps / total))
             steps += 1
-            u, c = docs[i]
+            u, c, n = docs[i]
+            c = (c / n).astype(np.float32)
             v = vectors[u]
             x = c @ v
             z = layer @ x + bias
@@ -130,7 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     # At most ``sample`` rows of 12 bytes: a proven bound for the broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(F.broadcast(lab), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
     rows = sorted((r.id, r.text or "", r.y) for r in rows)
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    model = train([r[1] for r in rows], [r[2] for r in rows])
+    del rows
+    give_back()  # the driver lives on
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], out: str = "score") -> DataFrame:
