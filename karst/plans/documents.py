@@ -705,3 +705,82 @@ def layout_members(spark, d):
 
     files = _sheets(spark, d, head, row, starts, "SECTION E: PARTICULARS OF MEMBERS", "TOTAL NUMBER OF SHARES 100")
     return layout.registers(files)[1].drop("pos", "Passport Expiry")
+
+
+_RUN = """
+o AS (SELECT o_orderkey AS k, o_custkey % 60 AS folder, o_custkey % 9 AS who, o_orderdate::DATE AS d, lpad(o_orderkey::VARCHAR, 9, '0') AS path, CASE o_orderkey % 5 WHEN 0 THEN 'S14' WHEN 1 THEN 'S78' WHEN 2 THEN 'S58' WHEN 3 THEN 'S78' ELSE '' END AS section FROM orders),
+f AS (SELECT * FROM o WHERE section <> ''),
+c AS (SELECT folder, d FROM f WHERE section = 'S14' GROUP BY 1, 2 HAVING count(DISTINCT k * 10 + who) > 1),
+ok AS (SELECT * FROM f WHERE section = 'S14' AND NOT EXISTS (SELECT 1 FROM c WHERE c.folder = f.folder AND c.d = f.d)),
+b AS (SELECT folder, max(d) AS since, arg_max(path, (d, 'R' || k)) AS snapshot, arg_max(who, (d, 'R' || k)) AS who, arg_max(k, (d, 'R' || k)) AS k FROM ok GROUP BY 1),
+l AS (SELECT f.* FROM f LEFT JOIN b USING (folder) WHERE section = 'S78' AND (since IS NULL OR f.d > since)),
+n AS (SELECT folder, who, k * 10 AS shares FROM b UNION ALL SELECT folder, who, k FROM l),
+m AS (SELECT folder, who, sum(shares)::BIGINT AS shares FROM n GROUP BY 1, 2),
+p AS (SELECT folder, max(d) AS since, arg_max(path, (d, 'R' || k)) AS snapshot, arg_max(who, (d, 'R' || k)) AS who, arg_max(k, (d, 'R' || k)) AS k FROM f WHERE section = 'S14' GROUP BY 1),
+x AS (SELECT folder, who, max(a) AS a FROM (SELECT folder, who, DATE '0001-01-01' AS a FROM p UNION ALL SELECT f.folder, f.who, f.d FROM f LEFT JOIN p USING (folder) WHERE section = 'S58' AND (p.since IS NULL OR f.d >= p.since)) GROUP BY 1, 2)"""
+
+
+_runs: dict = {}
+
+
+def _run(spark, d, part: str):
+    """An output of the full run, which is made once for all four."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _runs:
+        _runs[key] = _full_run(spark, d)
+    return getattr(_runs[key], part)
+
+
+def _full_run(spark, d):
+    """The full run over one paper an order: forms of section 14, allotments, notifications, and papers that nobody can read."""
+    from karst.records.run import full_run
+    from karst.sources.tables import scratch_folder
+
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "dd/MM/yyyy")
+    n, who = k.cast("string"), (F.col("o_custkey") % 9).cast("string")
+    number = F.concat(F.lit("80000000000"), who)
+    form = _lines(
+        "APPLICATION FOR REGISTRATION OF A COMPANY", _of("Proposed name: N", n), _of("Incorporation Date: ", day), _of("Total number of shares: ", (k * 10).cast("string")), "PARTICULARS OF DIRECTOR", _of("Director Name: ALICE ", who), _of("Identification No.: ", number), "Address: 1 STREET",
+        "PARTICULARS OF MEMBER", _of("Member Name: ALICE ", who), "ID Type: MYKAD", _of("Identification No.: ", number), _of("Number of share: ", (k * 10).cast("string")), "Class of share: ORDINARY", "DECLARATION",
+    )
+    allotted = _lines("SECTION 78 RETURN OF ALLOTMENT", _of("Date of Allotment: ", day), "PARTICULAR OF ALLOTTEES", F.concat(F.lit("1 ALICE "), who, F.lit(" "), number, F.lit(" 1 STREET CASH "), n), "DECLARATION")
+    noted = _lines("SECTION 58 NOTIFICATION OF CHANGE", "DIRECTORS", "ADD DIRECTOR", _of("Name ALICE ", who), _of("Identification No. ", number), _of("Date of Appointment ", day), "LODGER INFORMATION", "Name DAVE")
+    text = F.concat_ws("\n", F.when(k % 5 == 0, form).when(k % 5 == 1, allotted).when(k % 5 == 2, noted).when(k % 5 == 3, allotted), F.when(k % 5 != 4, _of("Lodging Reference Number: R", n)))
+    files = o.select((F.col("o_custkey") % 60).cast("string").alias("folder"), F.lpad(n, 9, "0").alias("path"), text.alias("text"), _of("h", n).alias("sha256"))
+    return full_run(files, scratch_folder(spark, "run"))
+
+
+@query(f"""WITH {_RUN},
+tot AS (SELECT folder, max(d) FILTER (section = 'S14') AS told, arg_max(k * 10, (d, 'R' || k)) FILTER (section = 'S14') AS explicit, max(d) FILTER (section = 'S78') AS a FROM f GROUP BY 1),
+held AS (SELECT folder, sum(shares)::BIGINT AS s FROM m GROUP BY 1)
+SELECT p.folder::VARCHAR AS folder, 'N' || p.k AS company_name, p.since AS incorporate_date, CASE WHEN tot.a > tot.told AND held.s IS NOT NULL THEN held.s ELSE coalesce(tot.explicit, held.s) END::BIGINT AS total_shares,
+    (SELECT string_agg('ID:80000000000' || who || '=' || shares, ',' ORDER BY shares DESC, who) FROM m WHERE m.folder = p.folder) AS members, (SELECT string_agg('ALICE ' || who, ',' ORDER BY a, who) FROM x WHERE x.folder = p.folder) AS directors
+FROM p JOIN tot USING (folder) LEFT JOIN held USING (folder)""")
+def run_companies(spark, d):
+    rows = _run(spark, d, "companies")
+    return rows.select("folder", "company_name", "incorporate_date", "total_shares", F.array_join(F.transform("members", lambda m: F.concat(m["key"], F.lit("="), m["shares"])), ",").alias("members"), F.array_join(F.transform("directors", lambda m: m["name"]), ",").alias("directors"))
+
+
+@query(f"""WITH {_RUN}
+SELECT folder::VARCHAR AS folder, path, section, CASE WHEN section = '' THEN 'UNREADABLE' ELSE 'VALID' END AS status, 'h' || k AS sha256, CASE WHEN section <> '' THEN 'R' || k ELSE '' END AS reference, CASE WHEN section <> '' THEN d END AS effective, CASE section WHEN 'S14' THEN k * 10 END::BIGINT AS total FROM o""".replace("path, section,", "path, CASE section WHEN '' THEN 'OTHER' ELSE section END AS section,"))
+def run_documents(spark, d):
+    rows = _run(spark, d, "documents")
+    return rows.select("folder", "path", "section", "status", "sha256", "reference", "effective", F.get_json_object("parsed", "$.total_shares").cast("long").alias("total"))
+
+
+@query(f"""WITH {_RUN},
+e AS (SELECT folder, path, 'S14' AS section, 'MEMBER_SNAPSHOT' AS event_type, d, who, k * 10 AS shares FROM f WHERE section = 'S14' UNION ALL SELECT folder, path, 'S14', 'DIRECTOR_SNAPSHOT', d, who, NULL FROM f WHERE section = 'S14'
+    UNION ALL SELECT folder, path, 'S78', 'ALLOTMENT', d, who, k FROM f WHERE section = 'S78' UNION ALL SELECT folder, path, 'S58', 'APPOINT', d, who, NULL FROM f WHERE section = 'S58')
+SELECT folder::VARCHAR AS folder, path AS source_path, section, event_type, d AS effective, 'ID:80000000000' || who AS subject_key, 'ALICE ' || who AS subject_name, shares::BIGINT AS shares FROM e""")
+def run_events(spark, d):
+    return _run(spark, d, "events").withColumn("shares", F.get_json_object("payload", "$.shares").cast("long")).drop("payload")
+
+
+@query(f"""WITH {_RUN},
+ft AS (SELECT folder, min(d) FILTER (section = 'S14') AS a FROM f GROUP BY 1)
+SELECT folder::VARCHAR AS folder, 'REVIEW' AS severity, 'UNREADABLE_FILING' AS code, path AS source_path FROM o WHERE section = ''
+UNION ALL SELECT f.folder::VARCHAR, 'CRITICAL', 'SAME_DATE_MEMBER_SNAPSHOT_CONFLICT', min(path) FROM f JOIN c USING (folder, d) WHERE section = 'S14' GROUP BY f.folder, f.d
+UNION ALL SELECT folder::VARCHAR, 'CRITICAL', 'NO_PROFILE_SNAPSHOT', '' FROM ft WHERE a IS NULL""")
+def run_issues(spark, d):
+    return _run(spark, d, "issues").select("folder", "severity", "code", "source_path")

@@ -95,7 +95,7 @@ def canonicalise(records: DataFrame) -> DataFrame:
     order = [F.desc_nulls_last("lodged"), section_rank(F.col("section")).desc(), F.desc("quality"), F.desc("reference"), F.desc("path")]
     live = lambda df: df.where("status = 'VALID'")
     rest = records.where("status <> 'VALID'")
-    rows = live(keep_best(live(records), ["folder", "sha256"], order)).unionByName(keep_best(live(records), ["folder", "sha256"], order).where("status <> 'VALID'"))
+    rows = keep_best(live(records), ["folder", "sha256"], order)
     once = keep_best(live(rows).withColumn("number", F.coalesce(F.get("registrations", F.lit(0)), F.lit(""))), ["folder", "section", "number", "reference"], order).drop("number")
     one = live(once).where(F.size("registrations") > 0).withColumn("number", F.array_join(F.array_sort("registrations"), "/"))
     w = Window.partitionBy("folder")
