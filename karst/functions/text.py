@@ -12,6 +12,8 @@ BLANKS = ("", "NAN", "NONE", "-")
 NIL_BLANKS = ("", "NIL", "N/A", "NONE", "-")
 # Words that tell no company from another.
 GENERIC_WORDS = ("SDN", "BHD", "BERHAD", "PRIVATE", "LIMITED", "LTD", "COMPANY", "CO", "MALAYSIA", "M")
+# Codes of papers by what they are called.
+PAPER_CODES = {"B": ("MYKAD", "NRIC", "BLUEIC", "B"), "P": ("PASSPORT", "P"), "R": ("REDIC", "R"), "Z": ("MILITARYID", "MILITARY", "Z"), "M": ("POLICEID", "POLICE", "M")}
 # Particles of personal names that stay upper case.
 PARTICLES = ("A/L", "A/P", "BIN", "BINTI")
 
@@ -132,3 +134,25 @@ def honorific(gender: Column) -> Column:
 
 def safe_filename(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r'[<>:"/\\|?*]', "-"))
+
+
+def nationality_adjective(c: Column) -> Column:
+    """MALAYSIAN for the country or its adjective, any other in capitals."""
+    up = F.upper(clean(c))
+    return F.when(up.isin("MALAYSIA", "MALAYSIAN"), "MALAYSIAN").otherwise(up)
+
+
+def member_analysis(told: Column, nationality: Column, race: Column) -> Column:
+    """What a return says of a member's citizenship, else what follows from nationality and race; an empty text if nothing does."""
+    n, r = F.upper(F.coalesce(nationality, F.lit(""))), F.upper(F.coalesce(race, F.lit("")))
+    home = n.isin("MALAYSIA", "MALAYSIAN")
+    return F.when(F.coalesce(told, F.lit("")) != "", told).when((n != "") & ~home, "NON-CITIZENS").when(r.isin("MALAY", "BUMIPUTERA", "NATIVE"), "CITIZENS WHO ARE MALAYS AND NATIVES").when(home & (r != ""), "CITIZENS WHO ARE NON - MALAYS AND NON- NATIVES").otherwise("")
+
+
+def paper_code(c: Column) -> Column:
+    """The code of an identity paper; an empty text for any other."""
+    key = identity_key(F.coalesce(c, F.lit("")))
+    out = F.lit("")
+    for code, names in PAPER_CODES.items():
+        out = F.when(key.isin(*names), code).otherwise(out)
+    return out

@@ -129,6 +129,34 @@ def nfkc(c: Column) -> Column:
     return normal(c)
 
 
+def nfkd(c: Column) -> Column:
+    """Unicode compatibility decomposition (an Arrow UDF: Spark has none)."""
+    @F.pandas_udf("string")
+    def apart(x: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return x.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+
+    return apart(c)
+
+
+def balanced_lines(c: Column, normal: int = 44, most: int = 60) -> Column:
+    """struct(first, second, compact): the cut between words that makes the longer of two lines shortest, then the lines most alike, then the first.
+
+    ``compact`` says that a line is longer than ``normal``.  Null for a blank text and for one that
+    can't be cut into two lines of ``most``; a single word stands on the first line.
+    """
+    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    cuts = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array(F.lit(1)))
+
+    def cut(i: Column) -> Column:
+        a, b = F.array_join(F.slice(words, F.lit(1), i), " "), F.array_join(F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0))), " ")
+        return F.struct(F.greatest(F.length(a), F.length(b)).alias("longest"), F.abs(F.length(a) - F.length(b)).alias("unlike"), i.alias("at"), a.alias("a"), b.alias("b"))
+
+    best = F.array_min(F.transform(cuts, cut))
+    return F.when((F.size(words) > 0) & (best["longest"] <= most), F.struct(best["a"].alias("first"), best["b"].alias("second"), (best["longest"] > normal).alias("compact")))
+
+
 def wrapped(c: Column, width: int = 38) -> Column:
     """Lines of at most ``width`` characters, cut between words (an Arrow UDF)."""
     @F.pandas_udf("array<string>")

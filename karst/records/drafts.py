@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.functions.text import clean, identity_key, is_marked, name_key
@@ -100,3 +100,14 @@ def duplicate_people(people: DataFrame, key: str) -> DataFrame:
     """key and identity of numbers that are twice on one roster."""
     rows = people.withColumn("identity", identity_key(F.coalesce("ic", F.lit("")))).where("identity <> ''")
     return rows.groupBy(key, "identity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
+def sheet_names(rows: DataFrame, sequence: str, folder: str, out: str = "sheet") -> DataFrame:
+    """``rows`` with names of sheets, at most 31 characters: the number in three digits or more, and the folder; a name that is there already (case apart) gets a counter."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(folder, F.lit("")), r"[\\/*?:\[\]]", " "), r"\s+", " "))
+    number = F.col(sequence).cast("string")
+    base = F.rtrim(F.substring(F.concat(F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number), F.lit(" "), plain), 1, 31))
+    nth = F.row_number().over(Window.partitionBy(F.lower("__base")).orderBy(sequence, folder))
+    suffix = F.concat(F.lit(" "), F.col("__nth").cast("string"))
+    named = rows.withColumn("__base", base).withColumn("__nth", nth)
+    return named.withColumn(out, F.when(F.col("__nth") == 1, F.col("__base")).otherwise(F.concat(F.rtrim(F.substring(F.col("__base"), F.lit(1), 31 - F.length(suffix))), suffix))).drop("__base", "__nth")

@@ -94,15 +94,15 @@ def same_rows(a: DataFrame, b: DataFrame, fully: bool = False) -> bool:
     return a.columns == b.columns and [f.dataType for f in a.schema] == [f.dataType for f in b.schema] and mark(a) == mark(b)
 
 
-def write_verified(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Staging write, comparison, swap; what was there comes back if the swap fails."""
+def write_verified(df: DataFrame, path: str, partition_by: list[str] | None = None, fully: bool = False) -> None:
+    """Staging write, comparison (by hash sums, or ``fully`` value by value), swap; what was there comes back if the swap fails."""
     spark = df.sparkSession
     stage, old = f"{path}.{uuid.uuid4().hex[:8]}.stage", f"{path}.{uuid.uuid4().hex[:8]}.old"
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     try:
         (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(stage)
-        if not same_rows(spark.read.parquet(stage).select(*df.columns), df):
+        if not same_rows(spark.read.parquet(stage).select(*df.columns), df, fully):
             raise ValueError("what was written is not what was to be written")
         had = fs.exists(fs_path(path))
         if had and not fs.rename(fs_path(path), fs_path(old)):
@@ -117,6 +117,104 @@ def write_verified(df: DataFrame, path: str, partition_by: list[str] | None = No
         fs.delete(fs_path(stage), True)
 
 
+class Publication:
+    """Several tables that change together, or not at all.
+
+    New tables are written beside the old ones (``stage``).  ``publish`` then writes a
+    journal of the renames and carries them out: the old table away, the new one in.
+    Whatever stops it, ``recover`` ends in one of two states: with a journal marked as
+    decided all renames are carried on to their end, without that mark all are undone.
+    Every step looks at what is there, so any of them may be done again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str = "publication"):
+        self.spark, self.root, self.name = spark, root.rstrip("/"), name
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.tables: list[str] = []
+
+    def _at(self, table: str, part: str = "") -> object:
+        return self._path(f"{self.root}/{table}" if not part else f"{self.root}/.{self.name}-{part}/{table}")
+
+    def _mark(self, part: str) -> object:
+        return self._path(f"{self.root}/.{self.name}-{part}")
+
+    def stage(self, table: str, df: DataFrame) -> None:
+        """Writes a table's new rows and compares them, value by value, with what was to be written."""
+        place = f"{self.root}/.{self.name}-new/{table}"
+        df.write.mode("overwrite").parquet(place)
+        if not same_rows(self.spark.read.parquet(place).select(*df.columns), df, fully=True):
+            raise ValueError(f"what was written of {table} is not what was to be written")
+        self.tables.append(table)
+
+    def steps(self):
+        """The renames, one at a time, each done when the next is asked for."""
+        self._move(self._write("journal.part", "\n".join(self.tables)), self._mark("journal"))
+        yield "journal"
+        for t in self.tables:
+            self._move(self._at(t), self._at(t, "old"))
+            yield f"{t} away"
+        self._move(self._write("decided.part", "yes"), self._mark("decided"))
+        yield "decided"
+        yield from self._finish()
+
+    def _finish(self):
+        for t in self.tables:
+            self._move(self._at(t, "new"), self._at(t))
+            yield f"{t} in"
+        # The mark goes last: without a journal it is of no account.
+        for part in ("old", "new", "journal", "decided"):
+            self.fs.delete(self._mark(part), True)
+            yield f"no {part}"
+
+    def publish(self) -> None:
+        try:
+            for _ in self.steps():
+                pass
+        except Exception:
+            self.recover()
+            raise
+
+    def recover(self) -> bool:
+        """Ends what was begun: True if that put new tables in place, False if it undid a beginning or there was nothing to do."""
+        journal = self._mark("journal")
+        if not self.fs.exists(journal):
+            done = self.fs.exists(self._mark("decided"))
+            for part in ("old", "new", "decided", "journal.part", "decided.part"):
+                self.fs.delete(self._mark(part), True)
+            return done
+        stream = self.fs.open(journal)
+        try:
+            self.tables = [t for t in bytes(stream.readAllBytes()).decode().split("\n") if t]
+        finally:
+            stream.close()
+        if self.fs.exists(self._mark("decided")):
+            for _ in self._finish():
+                pass
+            return True
+        for t in self.tables:
+            self._move(self._at(t, "old"), self._at(t))
+        for part in ("old", "new", "journal", "journal.part", "decided.part"):
+            self.fs.delete(self._mark(part), True)
+        return False
+
+    def _write(self, part: str, text: str) -> object:
+        out = self.fs.create(self._mark(part), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return self._mark(part)
+
+    def _move(self, source, target) -> None:
+        """A rename that may have been done: nothing if the source isn't there."""
+        if not self.fs.exists(source):
+            return
+        self.fs.mkdirs(target.getParent())
+        if not self.fs.rename(source, target):
+            raise OSError(f"{source.toString()} can't be renamed to {target.toString()}")
+
+
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, *keys: str) -> None:
     """Rows of ``new`` into the table at ``path`` by its keys (a number or a folder, say); one key twice in ``new`` is an error.
 
