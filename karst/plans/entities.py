@@ -96,3 +96,26 @@ def people_named(questions: DataFrame, known: DataFrame) -> DataFrame:
     """id and name: the person (key, name) all of whose name stands in the question, in any order; the longest."""
     met = _met(_asked(questions, name_key), known, F.col("key"), F.array_distinct(F.split("key", " ")))
     return _best(met, [F.desc(F.size("tokens")), F.desc(F.length("k"))])
+
+
+def auditor_aliases(clients: DataFrame, auditors: DataFrame, aliases: DataFrame) -> DataFrame:
+    """alias and name: what the auditors' register calls the company that an alias (alias, entity) means among the clients.
+
+    Clients and register are (name, number): by number if the register has it, else by name.
+    A number or name that the register has for several companies tells none.
+    """
+    key = lambda c: F.coalesce(name_key(F.col(c)), F.lit(""))
+
+    def once(by: str, out: str) -> DataFrame:
+        rows = auditors.select(key(by).alias(f"__{out}"), F.trim("name").alias(out)).where(F.col(f"__{out}") != "")
+        return rows.groupBy(f"__{out}").agg(F.min(out).alias(out), F.count_distinct(out).alias("c")).where("c = 1").drop("c")
+
+    client = clients.select(key("name").alias("k"), key("number").alias("n")).where("k <> ''").groupBy("k").agg(F.min(F.nullif("n", F.lit(""))).alias("n"))
+    rows = aliases.select("alias", key("entity").alias("k")).join(client, "k")
+    rows = rows.join(once("number", "by_number"), F.col("n") == F.col("__by_number"), "left").join(once("name", "by_name"), F.col("k") == F.col("__by_name"), "left")
+    return rows.select("alias", F.coalesce("by_number", "by_name").alias("name")).where("name is not null")
+
+
+def auditor_companies_named(questions: DataFrame, clients: DataFrame, auditors: DataFrame, aliases: DataFrame) -> DataFrame:
+    """id and name: the company of the auditors' register (name, number, ordinal) that each question names, by its own name or an alias of the client."""
+    return companies_named(questions, lookup(auditors, "name", "ordinal"), auditor_aliases(clients, auditors, aliases))

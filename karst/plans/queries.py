@@ -594,4 +594,4 @@ def nfkc_and_wrap(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", V.nfkc(F.col("text")).alias("text"), F.size(V.wrapped(F.col("text"))).alias("n_lines"))
 
 
-from karst.plans import documents, generation  # noqa: E402, F401  (they register their queries here)
+from karst.plans import documents, folders, generation  # noqa: E402, F401  (they register their queries here)

@@ -77,5 +77,9 @@ class Auditors(Register):
         ok = (F.col("auditor_key") == key) | ((F.col("__n") == 0) & (F.col("__d") == 1))
         return near.join(F.broadcast(facts), ok).drop("__n", "__d").orderBy(q("Company Name"))  # one row
 
+    def display_name(self, auditor: str) -> DataFrame:
+        """The name by which the auditor goes that ``auditor`` means (as in ``by_auditor``): one row, or none."""
+        return self.by_auditor(auditor).select("auditor").distinct()
+
     def by_year_end(self, year_end: str) -> DataFrame:
         return self.companies().where(ends_or_equals(name_key(q("Financial Year End")), year_end.upper().strip())).orderBy(q("Company Name"))
