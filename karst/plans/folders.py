@@ -113,3 +113,87 @@ def auditors_and_people_in_questions(spark, d):
     people = entities.people([s.select(F.concat(F.lit("PERSON "), n))])
     who = s.select((-F.col("s_suppkey")).alias("id"), F.when(k != 2, F.concat(n, F.lit(" is which person"))).otherwise("nobody").alias("text"))
     return entities.auditors_named(asked, firms).unionByName(entities.people_named(who, people))
+
+
+@query("""
+SELECT o_orderkey AS k, 'C' || o_custkey AS folder, year(o_orderdate)::INT AS year, CASE WHEN o_custkey % 4 = 0 OR o_custkey % 4 = 1 AND o_custkey % 3 > 0 THEN 'C' || o_custkey || '/AGM/' || CASE o_custkey % 4 WHEN 0 THEN year(o_orderdate) || '/Rotation ' || o_custkey ELSE 'retiring' END || '.xlsx' END AS path,
+    CASE WHEN o_custkey % 4 = 3 OR o_custkey % 4 = 1 AND o_custkey % 3 = 0 THEN 'rotation_workbook_missing' WHEN o_custkey % 4 = 2 THEN 'rotation_workbook_ambiguous' END AS issue FROM orders""")
+def rotation_workbooks(spark, d):
+    from karst.sources import discovery
+
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    asked = o.select(F.col("o_orderkey").alias("k"), F.concat(F.lit("C"), "o_custkey").alias("folder"), F.year("o_orderdate").alias("year"))
+    k, at = F.col("o_custkey"), F.concat(F.lit("/clients/C"), F.col("o_custkey"), F.lit("/AGM/"))
+    year = F.year("o_orderdate")
+    names = F.when(k % 4 == 0, F.array(F.concat(at, year, F.lit("/Rotation "), k, F.lit(".xlsx")), F.concat(at, F.lit("retiring.xlsx")))).when((k % 4 == 1) & (k % 3 > 0), F.array(F.concat(at, F.lit("retiring.xlsx")), F.concat(at, F.lit("deep/er/rotation.xlsx"))))
+    names = names.when(k % 4 == 2, F.array(F.concat(at, year, F.lit("/a rotation.xlsm")), F.concat(at, year, F.lit("/RETIREMENT.xlsx")), F.concat(at, F.lit("rotation.xlsx")))).otherwise(F.array(F.concat(at, year, F.lit("/rotation.pdf")), F.concat(at, F.lit("accounts.xlsx"))))
+    files = o.select(F.explode(names).alias("path")).distinct()
+    rows = discovery.rotation_workbooks(asked, files, "folder", "year", "/clients")
+    return rows.withColumn("path", F.regexp_replace("path", "^/clients/", ""))
+
+
+@query("""
+SELECT 'C' || c_custkey AS folder, CASE c_custkey % 3 WHEN 0 THEN 'FS' ELSE 'Fs' END AS place FROM customer WHERE c_custkey % 3 < 2""")
+def statement_folders(spark, d):
+    from karst.sources import discovery
+
+    c = table(spark, d, "customer", "c_custkey")
+    k = F.col("c_custkey") % 3
+    names = F.when(k == 0, F.array(F.lit("FS/a.pdf"), F.lit("fs/2024/b.pdf"))).when(k == 1, F.array(F.lit("Fs/x/y.pdf"), F.lit("AGM/fs/z.pdf"))).otherwise(F.array(F.lit("fs"), F.lit("FSX/a.pdf")))
+    files = c.select("c_custkey", F.explode(names).alias("n"))
+    return discovery.statement_folders(files.select(F.concat(F.lit("C"), "c_custkey", F.lit("/"), "n").alias("path")))
+
+
+@query("""SELECT c_custkey::VARCHAR AS "Sequence", 'S' || c_custkey AS "Worksheet", c_name AS "Folder", c_name AS "Company Name", '' AS "Reg No" FROM customer""")
+def whole_index(spark, d):
+    from karst.sources import discovery
+
+    c = table(spark, d, "customer", "c_custkey", "c_name")
+    rows = c.select(F.col("c_custkey").cast("string").alias("Sequence"), F.concat(F.lit(" S"), "c_custkey").alias("Worksheet"), F.col("c_name").alias("Folder"), F.col("c_name").alias("Company Name"), F.lit(None).cast("string").alias("Reg No"))
+    blank = c.select(*[F.lit(" ").alias(x) for x in rows.columns])
+    return discovery.whole_list(rows.unionByName(blank), discovery.INDEX, "Worksheet", c.count())
+
+
+@query("""
+WITH e AS (SELECT 'F' || (event_id % 20) AS folder, event_id AS k, CASE event_id % 4 WHEN 3 THEN 0 ELSE event_id % 4 END AS expected, CASE event_id % 4 WHEN 1 THEN 1 WHEN 2 THEN event_id % 3 ELSE 0 END AS found FROM events)
+SELECT folder, lpad(k::VARCHAR, 9, '0') AS source_path, CASE WHEN found = 0 THEN 'UNPARSED_DIRECTOR_FILING' ELSE 'PARTIAL_DIRECTOR_EVENT_PARSE' END AS code FROM e WHERE expected > 0 AND found < expected""")
+def unread_notifications(spark, d):
+    from karst.records import state
+
+    e = table(spark, d, "events", "event_id", "ts")
+    k = F.col("event_id")
+    rows = e.select(F.concat(F.lit("F"), k % 20).alias("folder"), F.lpad(k.cast("string"), 9, "0").alias("path"), F.lit("S58").alias("section"), F.to_date("ts").alias("effective"), F.when(k % 4 == 3, 0).otherwise(k % 4).alias("expected"), F.when(k % 4 == 1, 1).when(k % 4 == 2, k % 3).otherwise(0).alias("found"))
+    read = rows.where("found > 0").select("folder", "path", F.explode(F.array_repeat(F.lit("APPOINT"), F.col("found").cast("int"))).alias("kind"))
+    return state.unread_events(rows, read).select("folder", "source_path", "code")
+
+
+@query("""
+WITH m AS (SELECT s_suppkey AS p, c_custkey AS k, row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) AS r FROM supplier JOIN customer ON c_nationkey = s_nationkey)
+SELECT 'w' || p AS path, 'Person No ' || k AS name, CASE WHEN k % 5 <> 0 THEN 'PERSON NO ' || k END AS director, CASE WHEN k % 5 = 0 THEN 'DIRECTOR_NOT_FOUND' END AS issue FROM m WHERE p % 4 > 1 AND k % 3 = 0
+UNION ALL SELECT DISTINCT 'w' || p, NULL, NULL, CASE p % 4 WHEN 0 THEN 'YEAR_NOT_FOUND' ELSE 'YEAR_AMBIGUOUS' END FROM m WHERE p % 4 < 2""")
+def retiring_directors(spark, d):
+    from karst.records import drafts
+
+    s, c = table(spark, d, "supplier", "s_suppkey", "s_nationkey"), table(spark, d, "customer", "c_custkey", "c_nationkey")
+    both = s.join(c, F.col("s_nationkey") == F.col("c_nationkey"))
+    path = F.concat(F.lit("w"), "s_suppkey")
+    body = both.select(path.alias("path"), (F.col("c_custkey") + 10).alias("row"), F.array(F.col("c_custkey").cast("string"), F.concat(F.lit(" Person No "), "c_custkey"), F.when(F.col("c_custkey") % 3 == 0, "x").otherwise("-"), F.lit("Yes")).alias("cells"))
+    k = F.col("s_suppkey") % 4
+    head = both.select("s_suppkey").distinct().select(path.alias("path"), F.lit(2).cast("long").alias("row"), F.array(F.lit("No"), F.lit("Name"), F.when(k == 0, "AGM 2023").otherwise("AGM 2024"), F.when(k == 1, "2024").otherwise("2025")).alias("cells"))
+    title = both.select("s_suppkey").distinct().select(path.alias("path"), F.lit(1).cast("long").alias("row"), F.array(F.lit("Rotation of 12024 Sdn"), F.lit(None).cast("string")).alias("cells"))
+    known = c.where("c_custkey % 5 <> 0").select(F.concat(F.lit("PERSON NO "), "c_custkey").alias("Name"))
+    return drafts.retiring(title.unionByName(head).unionByName(body), 2024, known)
+
+
+@query("""
+SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN DATE '2024-03-06' WHEN 1 THEN DATE '2024-03-07' WHEN 2 THEN DATE '2024-03-08' END AS day, CASE WHEN c_custkey % 3 = 0 THEN 'F ' || c_custkey WHEN c_custkey % 3 = 1 THEN 'f-' || c_custkey END AS folder FROM customer""")
+def form_dates_and_folders(spark, d):
+    from karst.records import candidates, drafts
+
+    c = table(spark, d, "customer", "c_custkey")
+    k, n = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    text = F.when(k % 4 == 0, "Date & Time Received 06/03/2024 10:15:00\nDATE OF APPLICATION 07/03/2024").when(k % 4 == 1, "Date of Application 07/03/2024").otherwise("no date")
+    path = F.when(k % 4 == 3, "20240399/form.pdf").otherwise("x/EBOS 20240308.pdf")
+    rows = c.select(k.alias("k"), F.concat(F.lit("F "), n).alias("name"), candidates.owner_form_date(text, path).alias("day"))
+    there = c.where("c_custkey % 3 < 2").select(F.when(k % 3 == 0, F.concat(F.lit("F "), n)).otherwise(F.concat(F.lit("f-"), n)).alias("folder"))
+    return drafts.folders_of(rows, there, "k", "name", "folder").select("k", "day", "folder")
