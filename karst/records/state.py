@@ -15,11 +15,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from karst.functions.text import clean, person_key
 from karst.records.filings import section_rank
+from karst.sources.tables import scratch_folder
 
 # The sections that tell all members, all directors, and a company's profile.
 MEMBER_SNAPSHOTS, DIRECTOR_SNAPSHOTS, PROFILES = ("S14", "S68", "S51"), ("S14", "S68", "FORM49"), ("S14", "S68")
@@ -38,6 +39,17 @@ def _issue(df: DataFrame, code: str, severity: str = "CRITICAL") -> DataFrame:
     return df.select("folder", F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col("path").alias("source_path"), "section", F.col("effective").alias("effective_date"))
 
 
+def _kept(spark: SparkSession, what: str) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes tables below one scratch folder and reads them back."""
+    place = scratch_folder(spark, what)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{place}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{place}/{name}")
+
+    return keep
+
+
 def _people(filings: DataFrame, holdings: DataFrame) -> DataFrame:
     """One row a person of a filing, its shares summed."""
     key = person_key(F.col("id_no"), F.col("name"))
@@ -46,14 +58,14 @@ def _people(filings: DataFrame, holdings: DataFrame) -> DataFrame:
     return rows.join(filings, ["folder", "path"])
 
 
-def snapshots(filings: DataFrame, holdings: DataFrame) -> DataFrame:
+def snapshots(filings: DataFrame, holdings: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """Member snapshots with ``fault``: null, or why it doesn't count.
 
     A snapshot must not be negative, must have members if it has shares, and its members'
     shares must be its total where it tells one.  Of one day and section all that differ
     (by total or by any holding) are in conflict.
     """
-    people = _people(filings.where(F.col("section").isin(*MEMBER_SNAPSHOTS) & F.col("effective").isNotNull()), holdings)
+    people = (_people(filings, holdings) if people is None else people).where(F.col("section").isin(*MEMBER_SNAPSHOTS) & F.col("effective").isNotNull())
     live = F.col("shares") > 0
     one = people.groupBy("folder", "path", "section", "effective", "total_shares", "quality", "reference").agg(
         F.count_if(live).alias("active"), F.sum(F.when(live, F.col("shares"))).alias("held"), F.min("shares").alias("least"),
@@ -76,11 +88,14 @@ def members(filings: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFra
     holder.  Totals: folder, snapshot (path), member_total: the snapshot's total with later
     allotments, of which the last one that tells a total decides.
     """
-    seen = snapshots(filings, holdings)
+    # People of filings and what became of snapshots are written once: six things are told from them.
+    keep = _kept(filings.sparkSession, "members")
+    people = keep(_people(filings, holdings), "people")
+    seen = keep(snapshots(filings, holdings, people), "snapshots")
     base = seen.where("fault is null").groupBy("folder").agg(F.max(rank()).alias("top")).select("folder", F.col("top.path").alias("snapshot"), F.col("top.effective").alias("since"))
-    held = _people(filings, holdings).join(base, "folder").where("path = snapshot and shares > 0 and key <> ''").select("folder", "key", "name", "shares")
+    held = people.join(base, "folder").where("path = snapshot and shares > 0 and key <> ''").select("folder", "key", "name", "shares")
     later = filings.where("section = 'S78' and effective is not null").join(base, "folder", "left").where("since is null or effective > since").drop("snapshot", "since")
-    rows = _people(later, holdings)
+    rows = people.where("section = 'S78' and effective is not null").join(base, "folder", "left").where("since is null or effective > since").drop("snapshot", "since")
     order = rank(False)
     # Names: of one holder the holder, of none the first allottee of the name.
     known = held.where("name <> ''").groupBy("folder", "name").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("holder"))
@@ -105,7 +120,7 @@ def members(filings: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFra
     once = Window.partitionBy("folder", "effective", "section").orderBy("path")
     clash = seen.where("fault = 'SAME_DATE_MEMBER_SNAPSHOT_CONFLICT'").withColumn("r", F.row_number().over(once)).where("r = 1")
     issues = _issue(seen.where("fault = 'INVALID_MEMBER_SNAPSHOT'"), "INVALID_MEMBER_SNAPSHOT").unionByName(_issue(clash, "SAME_DATE_MEMBER_SNAPSHOT_CONFLICT"))
-    issues = issues.unionByName(_issue(later.join(holdings.select("folder", "path").distinct(), ["folder", "path"], "left_anti"), "UNPARSED_ALLOTMENT"))
+    issues = issues.unionByName(_issue(later.join(people.select("folder", "path").distinct(), ["folder", "path"], "left_anti"), "UNPARSED_ALLOTMENT"))
     issues = issues.unionByName(_issue(rows.where("key = ''"), "ALLOTTEE_IDENTITY_MISSING")).unionByName(_issue(rows.where("key <> '' and own <> key"), "MEMBER_NAME_FALLBACK", "REVIEW"))
     return now, totals, issues.unionByName(_issue(off, "SHARE_RECONCILIATION"))
 
@@ -175,6 +190,14 @@ def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _FOLDED = ["folder", "key", *OFFICER_FIELDS, "severity", "code", "source_path", "effective_date"]
 
 
+def _last_words(rows: DataFrame, order: Column) -> DataFrame:
+    """folder, key and fields of directors whose rows don't end with a cessation: of each field the last value after the last one."""
+    one = Window.partitionBy("folder", "key")
+    rows = rows.withColumn("o", order).withColumn("ceased", F.max(F.when(F.col("kind") == "CEASE", F.col("o"))).over(one))
+    live = rows.where((F.col("kind") != "CEASE") & (F.col("ceased").isNull() | (F.col("o") > F.col("ceased"))))
+    return live.groupBy("folder", "key").agg(*[F.coalesce(F.max_by(f, F.when(F.col(f) != "", F.col("o"))), F.lit("")).alias(f) for f in OFFICER_FIELDS])
+
+
 def _fields(df: DataFrame) -> list[Column]:
     return [clean(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) if f in df.columns else F.lit("").alias(f) for f in OFFICER_FIELDS]
 
@@ -212,9 +235,14 @@ def directors(filings: DataFrame, officers: DataFrame, events: DataFrame) -> tup
     clash = rows.where("key <> ''").groupBy("folder", "at", "key").agg(F.count_distinct("kind").alias("n"), F.min("path").alias("path")).where("n > 1")
     rows = rows.join(clash.select("folder", "at", "key"), ["folder", "at", "key"], "left_anti")
     stream = start.withColumn("key", key).withColumn("turn", F.lit(0)).unionByName(rows.withColumn("turn", F.lit(1)))
-    stream = stream.repartition("folder").sortWithinPartitions("folder", "turn", "at", "q", "r", "path", "kind", "key")
+    stream = _kept(filings.sparkSession, "directors")(stream.select("folder", "path", "kind", "at", "q", "r", "key", "turn", *OFFICER_FIELDS), "rows")
+    # Where each name has one number and each row a number, the last word on each number decides; only the other folders are folded row by row.
+    odd = stream.groupBy("folder", "name").agg(F.count_distinct("key").alias("n"), F.max(F.col("key") == "").alias("b")).where("n > 1 and name <> '' or b").select("folder").distinct()
+    order = ("turn", "at", "q", "r", "path", "kind", "key")
+    hard = stream.join(odd, "folder", "left_semi").repartition("folder").sortWithinPartitions("folder", *order)
     text = ", ".join(f"{f} string" for f in ("key", *OFFICER_FIELDS, "severity", "code", "source_path"))
-    done = stream.select("folder", "path", "kind", "at", "key", *OFFICER_FIELDS).mapInPandas(_fold, f"folder string, {text}, effective_date date")
+    done = hard.select("folder", "path", "kind", "at", "key", *OFFICER_FIELDS).mapInPandas(_fold, f"folder string, {text}, effective_date date")
+    done = done.unionByName(_last_words(stream.join(odd, "folder", "left_anti"), F.struct(*order)), allowMissingColumns=True)
     from karst.functions.values import LONG_DATES, parse_date
 
     appointed = F.coalesce(parse_date(F.col("appointment_date"), LONG_DATES), F.lit("0001-01-01").cast("date"))

@@ -93,3 +93,19 @@ def test_a_batch_that_breaks_off_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         table.apply(bad, 0)
     assert table.read() is None and table.batches() == [] and table.apply(spark.range(5).withColumnRenamed("id", "k"), 0)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_last_words_are_what_a_fold_ends_in(spark, seed):
+    """Folders whose names have one number each go without a fold; both ways end alike."""
+    from types import SimpleNamespace
+
+    f, o, e = facts(spark, seed)
+    o, e = (df.withColumn("ic", F.concat(F.lit("I"), F.substring("name", 2, 9))).dropDuplicates() for df in (o, e))
+    o, e = o.withColumn("race", F.substring("path", 3, 2)), e.withColumn("race", F.when(F.substring("path", 4, 1) > "4", F.substring("path", 3, 2)))
+    by = {}
+    for r in state.director_facts(f, o, e).collect():
+        by.setdefault(r.folder, []).append(SimpleNamespace(**r.asDict() | {"at": str(r.at)}))
+    want = sorted((k, key, p["name"], p.get("race", "")) for k, rs in by.items() for key, p in directors.outcome(directors._NOTHING, rs)["now"].items())
+    now, _ = state.directors(f, o, e)
+    assert sorted((r.folder, r.key, r.name, r.race) for r in now.collect()) == want and want
