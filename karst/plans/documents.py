@@ -355,13 +355,13 @@ def incremental_latest(spark, d):
 
 
 @query("""
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Tan & Co' WHEN 1 THEN NULL ELSE 'ALICE' END AS name, o_orderkey % 4 >= 2 AS plausible FROM orders""")
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Tan & Co' WHEN 1 THEN NULL ELSE 'ALICE' END AS name, o_orderkey % 4 <> 1 AS plausible FROM orders""")
 def statement_names(spark, d):
     o = table(spark, d, "orders", "o_orderkey")
     k = F.col("o_orderkey") % 4
     raw = F.when(k == 0, " Tan  & Co Company No: 12 and more").when(k == 1, "n/a").when(k == 2, "ALICE Page 2 of 9 x").otherwise("ALICE,")
     rows = o.select("o_orderkey", parse.person(raw).alias("name"))
-    return rows.select("o_orderkey", "name", (parse.plausible(F.col("name")) & ~F.contains(F.coalesce("name", F.lit("")), F.lit("&"))).alias("plausible"))
+    return rows.select("o_orderkey", "name", parse.plausible(F.col("name")).alias("plausible"))
 
 
 @query("""
@@ -374,8 +374,7 @@ def filing_fields(spark, d):
         k == 1, F.concat(F.lit("on and from the 8h day of March 2021, incorporated Total Accumulated Issued (RM): 5 Total Accumulated Issued "), F.format_number(n * 10, 0))
     ).otherwise(F.concat(F.lit("New Name: TEST "), n.cast("string"), F.lit("\nDate of Application "), F.date_format("o_orderdate", "dd/MM/yyyy")))
     t = F.col("t")
-    shares = parse.total_shares_s78(t)
-    return o.select("o_orderkey", text.alias("t")).select("o_orderkey", parse.incorporation_date(t).alias("incorporated"), parse.new_name_date(t).alias("renamed"), parse.value(t, "new_name").alias("new_name"), F.when(shares >= 5, F.when(n * 10 >= 5, shares)).alias("allotted"), parse.business_address(t).alias("business"))
+    return o.select("o_orderkey", text.alias("t")).select("o_orderkey", parse.incorporation_date(t).alias("incorporated"), parse.new_name_date(t).alias("renamed"), parse.value(t, "new_name").alias("new_name"), parse.total_shares_s78(t).alias("allotted"), parse.business_address(t).alias("business"))
 
 
 def _owner_events(spark, d):
