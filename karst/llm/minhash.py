@@ -17,8 +17,9 @@
    bring their full sets, and are compared in the first band that a pair shares.  Only
    links that join components come out of it.
 
-So a link is lost only if all bands miss it: with 32 bands of 5 rows, at similarity
-0.85 that has probability 7e-9.  Aggregates by bucket are written before they are
+So a link is lost only if all bands miss it (with 32 bands of 5 rows, at similarity
+0.85 that has probability 7e-9) or if its signatures differ by more than five standard
+deviations, which rules a pair out.  Aggregates by bucket are written before they are
 joined back, so that adaptive execution can split a bucket with very many members.
 """
 
