@@ -197,3 +197,80 @@ def form_dates_and_folders(spark, d):
     rows = c.select(k.alias("k"), F.concat(F.lit("F "), n).alias("name"), candidates.owner_form_date(text, path).alias("day"))
     there = c.where("c_custkey % 3 < 2").select(F.when(k % 3 == 0, F.concat(F.lit("F "), n)).otherwise(F.concat(F.lit("f-"), n)).alias("folder"))
     return drafts.folders_of(rows, there, "k", "name", "folder").select("k", "day", "folder")
+
+
+@query("""
+SELECT c_nationkey AS company, arg_min(c_name, c_custkey) AS called, max(c_name) FILTER (r = 1) AS first, max(c_name) FILTER (r = 2) AS second, max(c_mktsegment) FILTER (r = 2) AS second_kind
+FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer) GROUP BY 1""")
+def widened_owners(spark, d):
+    from pyspark.sql import Window
+
+    from karst.records import owners
+
+    c = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    slot = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    rows = c.select(F.col("c_nationkey").alias("company"), slot.alias("slot"), F.col("c_name").alias("Company Name"), F.lit("").alias("Company No"), F.lit("").alias("Company Status"), F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("Type"))
+    wide = owners.widen(rows, ["Name", "Type"], 2)
+    return wide.select("company", F.col("Company Name").alias("called"), F.col("`BO1 Name`").alias("first"), F.col("`BO2 Name`").alias("second"), F.col("`BO2 Type`").alias("second_kind"))
+
+
+@query("""
+WITH a AS (SELECT c_custkey AS k, CASE WHEN c_nationkey % 5 = 0 THEN CASE c_custkey % 3 WHEN 0 THEN 'A.B. Tan & Co' ELSE 'A B TAN AND CO' END ELSE 'Firm ' || c_nationkey END AS name FROM customer),
+n AS (SELECT name, count(*) AS c, min(k) AS f FROM a WHERE name NOT LIKE 'Firm%' GROUP BY 1)
+SELECT arg_min(name, (-c, f)) AS auditor FROM n HAVING count(*) > 0""")
+def auditor_display_name(spark, d):
+    from karst.records.registers import AUDITOR, Auditors
+
+    c = table(spark, d, "customer", "c_custkey", "c_nationkey")
+    k, g = F.col("c_custkey"), F.col("c_nationkey")
+    name = F.when(g % 5 == 0, F.when(k % 3 == 0, "A.B. Tan & Co").otherwise("A B TAN AND CO")).otherwise(F.concat(F.lit("Firm "), g))
+    has = {"Company Name": F.concat(F.lit("C"), k), "Reg No": F.concat(F.lit("R"), k), "Auditor Name": name}
+    rows = c.select(*[has.get(n, F.lit("")).alias(n) for n in AUDITOR], k.alias("o"))
+    return Auditors(rows, "o").display_name("ab tan & co")
+
+
+@query("""
+WITH o AS (SELECT c_custkey AS k, 'R' || c_custkey AS reg, c_name AS name, NULL::VARCHAR AS more FROM customer), n AS (SELECT s_suppkey AS k, 'R' || (s_suppkey * 2) AS reg, s_name AS name, 'new' AS more FROM supplier)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE reg NOT IN (SELECT reg FROM n)""")
+def upserted_table(spark, d):
+    """A table on disk after an upsert that is compared value by value before it takes the table's place."""
+    from karst.sources.tables import scratch_folder, upsert_table
+
+    c, s = table(spark, d, "customer", "c_custkey", "c_name"), table(spark, d, "supplier", "s_suppkey", "s_name")
+    path = f"{scratch_folder(spark, 'upsert')}/companies"
+    c.select(F.col("c_custkey").alias("k"), F.concat(F.lit("R"), "c_custkey").alias("reg"), F.col("c_name").alias("name")).write.parquet(path)
+    upsert_table(spark, path, s.select(F.col("s_suppkey").alias("k"), F.concat(F.lit("R"), F.col("s_suppkey") * 2).alias("reg"), F.col("s_name").alias("name"), F.lit("new").alias("more")), "reg")
+    return spark.read.parquet(path)
+
+
+@query("""
+SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE (c_custkey % 10) * 3 END::BIGINT AS total, CASE WHEN c_custkey % 10 = 0 THEN 'ValueError: no ' || c_custkey END AS error FROM customer""")
+def isolated_companies(spark, d):
+    """Each tenth company's work fails, and the others' goes on."""
+    import pandas as pd
+
+    from karst.operators.batches import isolated
+
+    c = table(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 10).alias("v"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i"))
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["v"].iloc[0] == 0:
+            raise ValueError(f"no {frame['k'].iloc[0]}")
+        return pd.DataFrame({"total": [int(frame["v"].sum())]})
+
+    return isolated(c, "k", work, "total long")
+
+
+@query("""
+SELECT o_orderstatus AS status, count(*)::BIGINT AS rows, count(*) FILTER (o_totalprice > 100000)::BIGINT AS large FROM orders GROUP BY 1""")
+def counted_steps(spark, d):
+    """Counts that come with the job that writes the rows, against the same from a query."""
+    from karst.operators.batches import watched
+    from karst.sources.tables import scratch_folder
+
+    o = table(spark, d, "orders", "o_orderstatus", "o_totalprice")
+    said, place = [], scratch_folder(spark, "counted")
+    statuses = [r[0] for r in o.select("o_orderstatus").distinct().collect()]  # three
+    for s in statuses:
+        watched(o, lambda df, s=s: df.where(F.col("o_orderstatus") == s), lambda a, b, s=s: said.append((s, b["rows"], b["large"])), {"large": F.col("o_totalprice") > 100000})(lambda out, s=s: out.write.parquet(f"{place}/{s}"))
+    return spark.createDataFrame(said, "status string, rows long, large long")

@@ -84,18 +84,24 @@ def same_rows(a: DataFrame, b: DataFrame, fully: bool = False) -> bool:
 
     ``fully`` compares value by value and not by hashes: each side is sorted out against the other by a shuffle.
     """
+    def values(df: DataFrame) -> list:  # maps can't be compared
+        return [F.to_json(F.col(f"`{c}`")).alias(c) if df.schema[c].dataType.typeName() == "map" else F.col(f"`{c}`") for c in df.columns]
+
     if fully:
-        return a.columns == b.columns and [f.dataType for f in a.schema] == [f.dataType for f in b.schema] and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+        if a.columns != b.columns or [f.dataType for f in a.schema] != [f.dataType for f in b.schema]:
+            return False
+        a, b = a.select(*values(a)), b.select(*values(b))
+        return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
     def mark(df: DataFrame):
-        h = F.xxhash64(*[F.to_json(F.col(c)) if df.schema[c].dataType.typeName() == "map" else F.col(c) for c in df.columns])
+        h = F.xxhash64(*values(df))
         return df.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(h)).alias("x")).first()
 
     return a.columns == b.columns and [f.dataType for f in a.schema] == [f.dataType for f in b.schema] and mark(a) == mark(b)
 
 
-def write_verified(df: DataFrame, path: str, partition_by: list[str] | None = None, fully: bool = False) -> None:
-    """Staging write, comparison (by hash sums, or ``fully`` value by value), swap; what was there comes back if the swap fails."""
+def write_verified(df: DataFrame, path: str, partition_by: list[str] | None = None, fully: bool = True) -> None:
+    """Staging write, comparison value by value (by hash sums if not ``fully``), swap; what was there comes back if the swap fails."""
     spark = df.sparkSession
     stage, old = f"{path}.{uuid.uuid4().hex[:8]}.stage", f"{path}.{uuid.uuid4().hex[:8]}.old"
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
