@@ -47,8 +47,10 @@ def guarded_lookup_many(df: DataFrame, key: str, terms: DataFrame, term: str) ->
     size = F.when(F.length("term") >= GRAM, GRAM)
     for n in GRAMS[1:]:
         size = size.when(F.length("term") >= n, n)
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("__karst_full") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("__karst_full"), i, F.lit(n)))
-    held = keys.select("__karst_full", F.explode(F.array_distinct(F.concat(*[grams(n) for n in GRAMS]))).alias("__karst_g"))
+    # Keys are taken apart into pieces of those lengths alone that a term asks for: one row says which.
+    asked_for = left.agg(F.collect_set(size).alias("__karst_n"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("__karst_full") - (n - 1), F.lit(1))), lambda i: F.substring(F.col("__karst_full"), i, n))
+    held = keys.crossJoin(F.broadcast(asked_for)).select("__karst_full", F.explode(F.array_distinct(F.flatten(F.transform("__karst_n", grams)))).alias("__karst_g"))
     part = left.withColumn("__karst_g", F.substring(F.col("term"), F.lit(1), size)).join(held, "__karst_g").where(F.contains("__karst_full", F.col("term"))).drop("__karst_g")
     one = part.groupBy("term").agg(F.min("__karst_full").alias("__karst_lo"), F.max("__karst_full").alias("__karst_hi")).where("__karst_lo = __karst_hi")
     return exact.unionByName(one.select("term", F.col("__karst_lo").alias("__karst_full")).join(df, F.col("__karst_full") == df[key]).drop("__karst_full"))
