@@ -36,3 +36,10 @@ def test_firm_and_fee(spark, text, firm, fee):
     df = spark.createDataFrame([(text,)], "t string")
     r = df.select(parse.audit_firm(F.col("t")).alias("firm"), parse.director_fee(F.col("t")).cast("double").alias("fee")).first()
     assert (r.firm, r.fee) == (firm, fee)
+
+
+def test_a_firm_is_no_plausible_person(spark, tmp_path):
+    from karst.plans.queries import QUERIES
+
+    spark.range(4).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {(r.name, r.plausible) for r in QUERIES["statement_names"](spark, str(tmp_path)).collect()} == {("Tan & Co", False), (None, False), ("ALICE", True)}
