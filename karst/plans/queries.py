@@ -580,7 +580,7 @@ SELECT c_custkey, 'Y H Tan ' || c_custkey AS raw, 'YH TAN ' || c_custkey AS audi
 def display_values(spark, d):
     c = table(spark, d, "customer", "c_custkey", "c_acctbal")
     raw, number = F.concat(F.lit("Y H Tan "), "c_custkey"), (F.lit(800101010000) + F.col("c_custkey")).cast("string")
-    return c.select("c_custkey", raw.alias("raw"), T.auditor_key(raw).alias("auditor"), T.honorific(F.lit("male")).alias("title"), T.format_identity_number(number).alias("nric"), V.currency(F.round("c_acctbal", 2)).alias("money"), T.person_key(number, raw).alias("person"))
+    return c.select("c_custkey", raw.alias("raw"), T.auditor_key(raw).alias("auditor"), T.honorific(F.lit("male")).alias("title"), T.format_identity_number(number).alias("nric"), V.currency(V.cents(F.col("c_acctbal"))).alias("money"), T.person_key(number, raw).alias("person"))
 
 
 @query()

@@ -60,3 +60,8 @@ def test_percentage_rounds_halves_to_even(spark):
 def test_registration_state(spark):
     rows = spark.createDataFrame([("202001000001", "123456-A / 202001000001"), ("", "123456-A"), ("654321-B", "123456-A")], "d string, m string")
     assert [r[0] for r in rows.select(T.registration_state(F.col("d"), F.col("m"))).collect()] == [2, 1, 0]
+
+
+def test_cents_go_by_the_double_and_keep_the_sign_of_zero(spark):
+    df = spark.createDataFrame([(x,) for x in (-0.0, -0.001, 0.285, 1.005, -1234.5, None)], "x double")
+    assert [r[0] for r in df.select(V.currency(V.cents(F.col("x")))).collect()] == ["RM-0.00", "RM-0.00", "RM0.28", "RM1.00", "RM-1,234.50", None]
