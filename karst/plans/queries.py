@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return require(spark.read.parquet(f"{sf_dir}/{name}.parquet"), list(columns)).select(*columns)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a small file, of each of which a long text is made and read, dealt to all cores: the file alone has fewer parts."""
+    return df.repartition(4 * max(df.sparkSession.sparkContext.defaultParallelism, 8), key)
+
+
 def _priority():
     out = F.lit(2)
     for kind, n in PRIORITY.items():

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from karst.functions.once import once, worked_out
 from karst.functions.text import clean
 from karst.functions.values import parse_integer
 from karst.operators.extract import section
@@ -61,16 +62,19 @@ def _parted(words: Column) -> Column:
 
     A firm's form ends a name (4); a street (3), a postcode (2) or, at the end, a country (1) begins an address behind a name of four characters.
     """
-    last = F.size(words) - 1
+    def parted(words: Column) -> Column:
+        last = F.size(words) - 1
 
-    def sign(w: Column, i: Column) -> Column:
-        room = F.length(_text_of(words, F.lit(0), i)) >= 4
-        strength = F.when((i > 0) & _plain(F.get(words, i - 1)).isin(*FIRM_ENDS), 4).when(room & _plain(w).isin(*STREETS) & (i < last), 3).when(room & w.rlike(r"\b\d{5}\b"), 2).when(room & (i == last) & _plain(w).isin(*COUNTRIES), 1).otherwise(0)
-        return F.struct(strength.alias("strength"), (-i).alias("early"))
+        def sign(w: Column, i: Column) -> Column:
+            room = F.length(_text_of(words, F.lit(0), i)) >= 4
+            strength = F.when((i > 0) & _plain(F.get(words, i - 1)).isin(*FIRM_ENDS), 4).when(room & _plain(w).isin(*STREETS) & (i < last), 3).when(room & w.rlike(r"\b\d{5}\b"), 2).when(room & (i == last) & _plain(w).isin(*COUNTRIES), 1).otherwise(0)
+            return F.struct(strength.alias("strength"), (-i).alias("early"))
 
-    best = F.array_max(F.transform(words, sign))
-    cut = F.when(best["strength"] > 0, -best["early"]).otherwise(F.size(words))
-    return F.struct(clean(_text_of(words, F.lit(0), cut)).alias("name"), clean(_text_of(words, cut)).alias("address"))
+        cut = lambda best: F.when(best["strength"] > 0, -best["early"]).otherwise(F.size(words))
+        at = once(F.array_max(F.transform(words, sign)), cut)
+        return once(at, lambda i: F.struct(clean(_text_of(words, F.lit(0), i)).alias("name"), clean(_text_of(words, i)).alias("address")))
+
+    return once(words, parted)
 
 
 def members_s51(files: DataFrame) -> DataFrame:
@@ -83,14 +87,17 @@ def members_s51(files: DataFrame) -> DataFrame:
     block = F.regexp_replace(section(_text(files), r"PARTICULAR\s+OF\s+SHAREHOLDERS", (r"ANALYSIS\s+OF\s+SHAREHOLDINGS", "DECLARATION")), "­[ \t]*\n", "­")
 
     def line(words: Column) -> Column:
+        return once(words, _line)
+
+    def _line(words: Column) -> Column:
         n = F.size(words) - F.when(F.coalesce(F.element_at(F.when(F.size(words) > 0, words), -1).rlike(DAY), F.lit(False)), 1).otherwise(0)
         tail = F.when(n >= 4, F.slice(words, F.greatest(n - 3, F.lit(1)), F.lit(4)))
         ends = F.coalesce(F.forall(tail, lambda w: w.rlike(AMOUNT)), F.lit(False))
         kept = F.when(ends, F.when(n > 4, F.slice(words, F.lit(1), F.greatest(n - 4, F.lit(1)))).otherwise(F.array().cast("array<string>"))).otherwise(words)
         return F.struct(kept.alias("words"), F.when(ends, tail).alias("numbers"), F.when(ends & (n < F.size(words)), F.element_at(words, -1)).otherwise("").alias("day"))
 
-    rows = files.select("path", F.transform(F.split(block, "\n"), lambda x: line(_words(x))).alias("lines"))
-    rows = rows.withColumn("ends", F.filter(F.transform("lines", lambda x, i: F.when(x["numbers"].isNotNull(), i + 1)), lambda i: i.isNotNull()))
+    rows = worked_out(files.select("path", block.alias("b")), lines=F.transform(F.split("b", "\n"), lambda x: line(_words(x))))
+    rows = worked_out(rows, ends=F.filter(F.transform("lines", lambda x, i: F.when(x["numbers"].isNotNull(), i + 1)), lambda i: i.isNotNull()))
     first = lambda j: F.when(j > 0, F.get("ends", j - 1)).otherwise(0)
     parts = F.transform("ends", lambda e, j: F.struct(F.filter(F.transform(F.slice("lines", first(j) + 1, e - first(j)), lambda x: x["words"]), lambda w: F.size(w) > 0).alias("lines"), F.get("lines", e - 1).alias("last")))
     rows = rows.select("path", F.posexplode(parts).alias("pos", "e")).where(F.length(F.array_join(F.flatten("e.lines"), " ")) >= 20)
@@ -101,9 +108,10 @@ def members_s51(files: DataFrame) -> DataFrame:
         shape = F.when(F.size(words) == 1, one.rlike(r"^(?=.*\d)[0-9A-Z-]{4,30}$")).otherwise(one.rlike(r"^(?=.*\d)[0-9A-Za-z-]{4,20}$"))
         return shape & ~head & ~((F.length(text) < 8) & text.rlike(r"^[\d\s.,#/()-]+$"))
 
-    at = _where(F.col("e.lines"), is_identity)
-    rows = rows.withColumn("at", at).where("at is not null").withColumn("own", F.get("e.lines", F.col("at"))).withColumn("words", F.concat(F.slice("own", F.lit(2), F.size("own")), F.flatten(F.slice("e.lines", F.col("at") + 2, F.size("e.lines")))))
-    rows = rows.where("size(words) > 0").withColumn("p", _parted(F.col("words")))
+    rows = worked_out(rows, at=_where(F.col("e.lines"), is_identity)).where("at is not null")
+    rows = worked_out(rows, own=F.get("e.lines", F.col("at")))
+    rows = worked_out(rows, words=F.concat(F.slice("own", F.lit(2), F.size("own")), F.flatten(F.slice("e.lines", F.col("at") + 2, F.size("e.lines"))))).where("size(words) > 0")
+    rows = worked_out(rows, p=_parted(F.col("words")))
     number = lambda i: parse_integer(F.get("e.last.numbers", F.lit(i)))
     firm = F.exists(F.array(*[F.lit(w) for w in FIRM_WORDS]), lambda w: F.contains(F.upper("p.name"), w))
     return rows.select(
@@ -126,13 +134,14 @@ def _through(words: Column, start: Column, land: str) -> Column:
 def _director(rows: DataFrame, number: str) -> DataFrame:
     """Directors of row texts ``r``, as words: a name, DIRECTOR, a number, then MALAYSIA, race, sex and the anchor, a date of birth, and two addresses."""
     w = F.col("w")
-    rows = rows.withColumn("w", _words(F.col("r"))).withColumn("born", _where(w, lambda x: x.rlike(ISO_DAY))).where("born >= 3")
-    rows = rows.withColumn("post", _where(w, lambda x: _plain(x) == "DIRECTOR")).withColumn("no", _where(w, lambda x: x.rlike(number), F.col("post")))
-    rows = rows.where((F.col("post") > 0) & (F.col("no") < F.col("born")) & F.upper(F.get("w", F.col("born") - 1)).isin(*SEXES) & (F.upper(F.get("w", F.col("born") - 3)) == "MALAYSIA"))
-    rows = rows.withColumn("home", F.coalesce(_through(w, F.col("born") + 1, "MALAYSIA"), _through(w, F.col("born") + 1, "INDIA")))
+    rows = worked_out(rows, w=_words(F.col("r")))
+    rows = worked_out(rows, born=_where(w, lambda x: x.rlike(ISO_DAY)), post=_where(w, lambda x: _plain(x) == "DIRECTOR")).where("born >= 3 and post > 0")
+    rows = worked_out(rows, no=_where(w, lambda x: x.rlike(number), F.col("post")))
+    rows = rows.where((F.col("no") < F.col("born")) & F.upper(F.get("w", F.col("born") - 1)).isin(*SEXES) & (F.upper(F.get("w", F.col("born") - 3)) == "MALAYSIA"))
+    rows = worked_out(rows, home=F.coalesce(_through(w, F.col("born") + 1, "MALAYSIA"), _through(w, F.col("born") + 1, "INDIA")))
     # What a director does stands behind the second address.
-    rest = F.when(F.col("home").isNotNull(), _text_of(w, F.col("home") + 1)).otherwise("")
-    rows = rows.withColumn("rest", _words(rest)).withColumn("work", _through(F.col("rest"), F.lit(0), "MALAYSIA"))
+    rows = worked_out(rows, rest=_words(F.when(F.col("home").isNotNull(), _text_of(w, F.col("home") + 1)).otherwise("")))
+    rows = worked_out(rows, work=_through(F.col("rest"), F.lit(0), "MALAYSIA"))
     before = F.get(F.split(F.array_join("rest", " "), rf"(?i)\b(?:{'|'.join(OCCUPATIONS)})\b"), F.lit(0))
     mail = F.regexp_extract(F.regexp_replace(before, r"\s+", ""), r"(?i)([A-Z0-9_.+-]+@[A-Z0-9.-]+\.[A-Z]{2,})", 1)
     return rows.select(
@@ -167,20 +176,21 @@ def members_s68(files: DataFrame) -> DataFrame:
     """
     block = F.regexp_extract(_text(files), r"(?is)(SECTION\s?E\b.*?)(?=SECTION\s?F\b|\z)", 1)
     rows = files.select("path", F.posexplode(F.split(block, r"\n(?=\d{4}\s+\d{4}\s)")).alias("pos", "r")).where("pos > 0")
-    rows = rows.withColumn("w", _words(clean(F.get(F.split("r", r"(?i)TOTAL NUMBER OF SHARES"), F.lit(0))))).withColumn("w", F.slice("w", F.lit(3), F.size("w")))
+    rows = worked_out(rows, every=_words(clean(F.get(F.split("r", r"(?i)TOTAL NUMBER OF SHARES"), F.lit(0)))))
+    rows = worked_out(rows, w=F.slice("every", F.lit(3), F.size("every")))
     w = F.col("w")
-    rows = rows.withColumn("born", _where(w, lambda x: x.rlike(DAY))).where((F.col("born") >= 0) & (F.length(F.array_join("w", " ")) >= 30))
+    rows = worked_out(rows, born=_where(w, lambda x: x.rlike(DAY))).where((F.col("born") >= 0) & (F.length(F.array_join("w", " ")) >= 30))
     named = lambda names, i: reduce(lambda out, n: F.when(F.upper(_text_of(w, i, F.lit(len(n.split())))) == n, F.struct(F.lit(n).alias("name"), F.lit(len(n.split())).alias("words"))).otherwise(out), names, F.lit(None).cast("struct<name:string,words:int>"))
     starts = F.transform(w, lambda x, i: F.when((i < F.col("born")) & named(PAPERS, i).isNotNull(), i))
-    rows = rows.withColumn("kind", named(MEMBER_TYPES, F.lit(0))).withColumn("at", F.array_min(F.filter(starts, lambda i: i.isNotNull()))).withColumn("paper", F.when(F.col("at").isNotNull(), named(PAPERS, F.col("at"))))
-    rows = rows.withColumn("sex", _where(w, lambda x: F.upper(x).isin(*SEXES))).withColumn("sex", F.when(F.col("sex") < F.col("born"), F.col("sex")))
+    rows = worked_out(rows, kind=named(MEMBER_TYPES, F.lit(0)), at=F.array_min(F.filter(starts, lambda i: i.isNotNull())), sex=_where(w, lambda x: F.upper(x).isin(*SEXES)), lands=_through(w, F.col("born") + 1, "MALAYSIA"))
+    rows = worked_out(rows.withColumn("sex", F.when(F.col("sex") < F.col("born"), F.col("sex"))), paper=F.when(F.col("at").isNotNull(), named(PAPERS, F.col("at"))))
     # Nationality and race are the last two words between the number, or the row's start, and the sex.
     left = F.coalesce(F.col("at") + F.col("paper.words") + 1, F.lit(0))
     rows = rows.withColumn("n", F.coalesce("sex", "born") - left).withColumn("to", F.coalesce("sex", "born"))
-    lands = _through(w, F.col("born") + 1, "MALAYSIA")
-    rows = rows.withColumn("lands", lands).withColumn("tail", _words(F.regexp_replace(_text_of(w, F.coalesce(F.col("lands"), F.col("born")) + 1), r"(?<=\d)\s+(?=\d)", "")))
+    rows = worked_out(rows, tail=_words(F.regexp_replace(_text_of(w, F.coalesce(F.col("lands"), F.col("born")) + 1), r"(?<=\d)\s+(?=\d)", "")))
     tail = F.col("tail")
-    rows = rows.withColumn("held", _where(tail, lambda x: x.rlike(AMOUNT))).withColumn("kinds", _where(tail, lambda x: _plain(x).isin("SHARE", "SHARES"), F.col("held")))
+    rows = worked_out(rows, held=_where(tail, lambda x: x.rlike(AMOUNT)))
+    rows = worked_out(rows, kinds=_where(tail, lambda x: _plain(x).isin("SHARE", "SHARES"), F.col("held")))
     whole = F.col("kinds").isNotNull() & (F.col("kinds") + 1 < F.size("tail"))
     return rows.select(
         "path", "pos", F.coalesce("kind.name", F.lit("")).alias("Type"), F.when(F.col("kind").isNotNull() & F.col("paper").isNotNull(), clean(_text_of(w, F.col("kind.words"), F.col("at") - F.col("kind.words")))).otherwise("").alias("Name"),

@@ -46,3 +46,10 @@ def test_members_by_words(spark):
         ("BODY CORPORATE", "FIRM A", "PASSPORT", "E-12", "SINGAPORE", "OTHER", "MALE", "02/01/1980", "1 ROAD 50000 TOWN MALAYSIA", 1000, "ORDINARY SHARES", "NON-CITIZENS"),
         ("", "", "", "", "ALICE", "CHINESE", "FEMALE", "02/01/1980", "1 ROAD OF SOME LENGTH MALAYSIA", None, "", ""),
     ]
+
+
+def test_rows_are_read_once(spark):
+    """What a row's words tell is not worked out again by each filter and lambda that needs it."""
+    files = spark.createDataFrame([("p", "x")], "path string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(rosters.directors_s68(files)).count(rosters.ISO_DAY) <= 3  # the table's rows, those that the join leaves out, the others
