@@ -53,3 +53,4 @@ def test_rows_are_read_once(spark):
     files = spark.createDataFrame([("p", "x")], "path string, text string")
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert plan(rosters.directors_s68(files)).count(rosters.ISO_DAY) <= 3  # the table's rows, those that the join leaves out, the others
+    assert plan(rosters.members_s51(files)).count(r"PARTICULAR\s+OF\s+SHAREHOLDERS") == 1
