@@ -172,15 +172,32 @@ def repaired_directors(directors: DataFrame, members: DataFrame, key: str, busin
     return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in directors.columns])
 
 
+#: Pairs of a person and an event of one key up to which they meet in one task.
+PAIRS = 1_000_000
+
+
+def _together(p: DataFrame, e: DataFrame, pk: str, ek: str) -> DataFrame:
+    """``p`` and ``e`` where the keys are equal; people of a key with very many pairs are dealt over several groups, each with all events of the key."""
+    count = lambda df, k, n: df.groupBy(F.col(k).alias("__k")).agg(F.count(F.lit(1)).alias(n))
+    # More groups than people of a key would stay empty.
+    groups = F.least(F.ceil(F.col("__p") * F.col("__e") / PAIRS), F.col("__p")).cast("int")
+    heavy = count(p, pk, "__p").join(count(e, ek, "__e"), "__k").select("__k", groups.alias("__n")).where("__n > 1")
+    dealt = p.join(heavy, F.col(pk) == F.col("__k"), "left").withColumn("__g", F.pmod(F.xxhash64("person"), F.coalesce("__n", F.lit(1))).cast("int")).drop("__k", "__n")
+    every = e.join(heavy, F.col(ek) == F.col("__k"), "left").withColumn("__h", F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))).drop("__k", "__n")
+    return dealt.join(every, (F.col(pk) == F.col(ek)) & (F.col("__g") == F.col("__h"))).drop("__g", "__h")
+
+
 def person_events(people: DataFrame, events: DataFrame, key: str, identity: str, name: str) -> DataFrame:
     """Rows of ``events`` for each of ``people``: by number if both have one, by name if the event has none, or if the person has none and one number alone goes by the name."""
     p = people.select(F.col(key).alias("person"), identity_key(F.coalesce(identity, F.lit(""))).alias("pi"), name_key(F.coalesce(name, F.lit(""))).alias("pn"))
     e = events.withColumn("ei", identity_key(F.coalesce(identity, F.lit("")))).withColumn("en", name_key(F.coalesce(name, F.lit(""))))
-    by_number = p.where("pi <> ''").join(e.where("ei <> ''"), F.col("pi") == F.col("ei"))
-    lone = e.where("en <> ''").groupBy(F.col("en").alias("n")).agg(F.count_distinct(F.nullif("ei", F.lit(""))).alias("c"))
-    by_name = p.where("pn <> ''").join(e.where("en <> ''"), F.col("pn") == F.col("en")).join(lone, F.col("pn") == F.col("n"), "left")
-    by_name = by_name.where("(pi <> '' and ei = '') or (pi = '' and c <= 1)").drop("n", "c")
-    return by_number.unionByName(by_name).drop("pi", "pn", "ei", "en")
+    by_number = _together(p.where("pi <> ''"), e.where("ei <> ''"), "pi", "ei")
+    lone = e.where("en <> ''").groupBy(F.col("en").alias("n")).agg(F.count_distinct(F.nullif("ei", F.lit(""))).alias("c")).where("c <= 1").drop("c")
+    # People with a number and people without meet other events by name.
+    named = e.where("en <> ''")
+    numbered = _together(p.where("pn <> '' and pi <> ''"), named.where("ei = ''"), "pn", "en")
+    others = _together(p.where("pn <> '' and pi = ''"), named.join(lone, F.col("en") == F.col("n"), "left_semi"), "pn", "en")
+    return by_number.unionByName(numbered).unionByName(others).drop("pi", "pn", "ei", "en")
 
 
 def member(rows: DataFrame, section: str) -> DataFrame:

@@ -185,3 +185,24 @@ def test_fees_and_dates(spark):
     assert [r[0] for r in t.select(contexts.owner_test(F.col("s"), F.col("t"), F.col("c"))).collect()] == [True, False, True]
     a, b = spark.createDataFrame([("k", "", "x"), ("m", None, "y")], "k string, u string, v string"), spark.createDataFrame([("k", "filled", "no"), ("m", "1", "2"), ("m", "1", "2")], "k string, u string, v string")
     assert sorted(col(contexts.enriched(a, b, "k", ["u", "v"]), "k", "u", "v"), key=str) == [("k", "filled", "x"), ("m", None, "y")]
+
+
+def test_people_of_a_frequent_key_meet_events_in_several_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from karst.records import candidates as C
+
+    monkeypatch.setattr(C, "PAIRS", 10)
+    people = spark.createDataFrame([(k, "I1" if k % 2 else "", "N1") for k in range(40)] + [(40, "I2", "N2"), (40, "I2", "N2")], "k long, identity string, name string")
+    events = spark.createDataFrame([(e, "I1", "N1") for e in range(5)] + [(5, "", "N1"), (6, None, "N2"), (6, None, "N2"), (7, "I3", "N3")], "e long, identity string, name string")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c) for c in conf}
+    try:
+        for c, v in conf.items():
+            spark.conf.set(c, v)
+        rows = C.person_events(people, events, "k", "identity", "name").select("person", "e", F.spark_partition_id().alias("t")).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert sorted((r.person, r.e) for r in rows) == sorted([(k, e) for k in range(40) for e in range(6)] + [(40, 6)] * 4)
+    assert len({r.t for r in rows if r.e == 0 and r.person % 2}) > 1  # one key
