@@ -5,6 +5,8 @@ Rows of days after the last one applied are folded on; a row of that day or befo
 makes the folder's rows be folded again from the base, in their order.  When the watermark
 has passed a day nothing can come behind it: a timer settles the rows of such days in the
 base and forgets them, so that state grows with the lateness allowed and not with time.
+Days before the last profile have no say any more: their rows are dropped as they come, and
+forgotten when a later profile comes.
 A row that is delivered again is the same entry of the state.
 """
 
@@ -79,23 +81,34 @@ class Fold(StatefulProcessor):
         self.state = handle.getValueState("state", "state string, version long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
+        before, version = self.state.get() if self.state.exists() else (json.dumps(_NOTHING), 0)
+        state = json.loads(before)
+        since, met = state["since"], {}
         for frame in rows:
-            for r in frame[list(FACT)].astype(object).where(frame[list(FACT)].notna(), None).to_dict("records"):
+            frame = frame[list(FACT)]
+            profiles = frame.loc[frame["kind"] == "SNAPSHOT", "at"]
+            if len(profiles) and (since is None or profiles.max() > since):
+                since = profiles.max()
+                met = {t: at for t, at in met.items() if at >= since}
+            if since is not None:
+                frame = frame[frame["at"] >= since]
+            for r in frame.astype(object).where(frame.notna(), None).to_dict("records"):
                 text = json.dumps({k: str(v) if k == "at" else int(v) if k in ("s", "q") else v for k, v in r.items()}, sort_keys=True, ensure_ascii=False)
-                if not self.log.containsKey((text,)):
-                    new.append(_row(text))
-                    self.log.updateValue((text,), (new[-1].at,))
-        if not new:
+                met[text] = r["at"]
+        met = {t: at for t, at in met.items() if not self.log.containsKey((t,))}
+        if not met:
             return
-        before, version = self.state.get() if self.state.exists() else (json.dumps(_NOTHING), 0)
-        state = json.loads(before)
-        if state["day"] is None or min(r.at for r in new) > state["day"]:
-            state = outcome(state, new)
+        if state["since"] != since:
+            for t in [k[0] for k, v in self.log.iterator() if v[0] < since]:
+                self.log.removeKey((t,))
+        for t, at in met.items():
+            self.log.updateValue((t,), (at,))
+        if state["day"] is None or min(met.values()) > state["day"]:
+            state = outcome(state, [_row(t) for t in met])
         else:
             state = outcome(self._base(), [_row(k[0]) for k in self.log.keys()])
         self.state.update((json.dumps(state), version + 1))
-        last = date.fromisoformat(max(r.at for r in new)) + timedelta(days=1)
+        last = date.fromisoformat(max(met.values())) + timedelta(days=1)
         self.handle.registerTimer(int(datetime(last.year, last.month, last.day, tzinfo=UTC).timestamp() * 1000))
         yield self._told(key, state, version + 1)
 

@@ -109,3 +109,47 @@ def test_last_words_are_what_a_fold_ends_in(spark, seed):
     want = sorted((k, key, p["name"], p.get("race", "")) for k, rs in by.items() for key, p in directors.outcome(directors._NOTHING, rs)["now"].items())
     now, _ = state.directors(f, o, e)
     assert sorted((r.folder, r.key, r.name, r.race) for r in now.collect()) == want and want
+
+
+def test_days_before_the_last_profile_are_not_kept():
+    """A folder's log is what can still count: from the day of its last profile on, whatever order rows come in."""
+    import json
+
+    import pandas as pd
+
+    class Held:
+        def __init__(self):
+            self.d = {}
+
+        exists = lambda self: bool(self.d)
+        get = lambda self: self.d[()]
+        update = lambda self, v: self.d.update({(): v})
+        containsKey = lambda self, k: k in self.d
+        updateValue = lambda self, k, v: self.d.update({k: v})
+        removeKey = lambda self, k: self.d.pop(k)
+        keys = lambda self: iter(list(self.d))
+        iterator = lambda self: iter(list(self.d.items()))
+
+    class Handle:
+        def __init__(self):
+            self.states = {}
+
+        def getMapState(self, name, *_):
+            return self.states.setdefault(name, Held())
+
+        getValueState = getMapState
+        registerTimer = lambda self, at: None
+
+    row = lambda day, kind, who, n=0: {"path": f"p{day:02d}{n}", "kind": kind, "at": f"2024-01-{day:02d}", "s": 0, "q": 2, "r": "", "key": f"ID:I{who}", "name": f"N{who}", "ic": f"I{who}", **dict.fromkeys(state.OFFICER_FIELDS[2:], "")}
+    every = [row(d, "APPOINT", d) for d in range(1, 29)] + [row(9, "SNAPSHOT", 40), row(20, "SNAPSHOT", 41)] + [row(20, "CEASE", 41, 1)]
+    want = directors.outcome(directors._NOTHING, [directors._row(json.dumps(r)) for r in every])["now"]
+    for seed in range(4):
+        mixed = random.Random(seed).sample(every, len(every))
+        fold, handle, told = directors.Fold(), Handle(), None
+        fold.init(handle)
+        for part in (mixed[:11], mixed[11:25], mixed[:11], mixed[25:]):
+            frames = [pd.DataFrame(part[i : i + 4]) for i in range(0, len(part), 4)]
+            for out in fold.handleInputRows(("F",), iter(frames), None):
+                told = out
+        assert sorted(p["key"] for p in json.loads(told["directors"][0])) == sorted(want)
+        assert {v[0] for v in handle.states["log"].d.values()} == {f"2024-01-{d:02d}" for d in range(20, 29)}
