@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from karst.functions.once import once, worked_out
 from karst.functions.text import clean, registration_tokens
 from karst.functions.values import parse_date
 from karst.operators.extract import first_rule
@@ -40,11 +41,15 @@ OFFICER_FIELDS = {
 
 def section(text: Column) -> Column:
     """The first rule that fits; texts of section 14 are told with all blanks left out."""
-    upper, compact = F.upper(clean(text)), F.upper(F.regexp_replace(text, r"\s+", ""))
-    has = lambda x: F.contains(compact, F.lit(x))
-    s14 = has("APPLICATIONFORREGISTRATIONOFACOMPANY") | (has("SECTION14") & has("PARTICULARSOFCOMPANY"))
-    early = first_rule(upper, SECTIONS, "")
-    return F.when(early != "", early).when(s14, "S14").otherwise(first_rule(upper, LATER_SECTIONS, "OTHER"))
+    def s14(compact: Column) -> Column:
+        has = lambda x: F.contains(compact, F.lit(x))
+        return has("APPLICATIONFORREGISTRATIONOFACOMPANY") | (has("SECTION14") & has("PARTICULARSOFCOMPANY"))
+
+    def told(upper: Column) -> Column:
+        form = once(F.upper(F.regexp_replace(text, r"\s+", "")), s14)
+        return once(first_rule(upper, SECTIONS, ""), lambda early: F.when(early != "", early).when(form, "S14").otherwise(first_rule(upper, LATER_SECTIONS, "OTHER")))
+
+    return once(F.upper(clean(text)), told)
 
 
 def section_rank(c: Column) -> Column:
@@ -63,26 +68,27 @@ def quality(path: Column) -> Column:
 
 
 def _first(text: Column, patterns: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+    return F.coalesce(*[once(F.regexp_extract(text, p, 1), lambda x: F.when(x != "", x)) for p in patterns])
 
 
 def lodgement(text: Column, path: Column) -> Column:
     """struct(date, source): from the document, else a reference, else the file name."""
     from karst.functions.values import source_date
 
-    document, reference, name = parse_date(_first(text, SUBMITTED)), F.try_to_date(F.regexp_extract(text, ENCODED, 1), "ddMMyyyy"), source_date(path)
-    source = F.when(document.isNotNull(), "DOCUMENT").when(reference.isNotNull(), "REFERENCE").when(name.isNotNull(), "FILENAME").otherwise("")
-    return F.struct(F.coalesce(document, reference, name).alias("date"), source.alias("source"))
+    told = lambda date, source: F.struct(date.alias("date"), F.lit(source).alias("source"))
+    name = once(source_date(path), lambda d: F.when(d.isNotNull(), told(d, "FILENAME")).otherwise(told(d, "")))
+    reference = once(F.try_to_date(F.regexp_extract(text, ENCODED, 1), "ddMMyyyy"), lambda d: F.when(d.isNotNull(), told(d, "REFERENCE")).otherwise(name))
+    return once(once(_first(text, SUBMITTED), lambda x: parse_date(x)), lambda d: F.when(d.isNotNull(), told(d, "DOCUMENT")).otherwise(reference))
 
 
 def read(files: DataFrame) -> DataFrame:
     """Filing records of texts: ``files`` has folder, path, text and sha256."""
     t, p = F.coalesce("text", F.lit("")), F.col("path")
+    # Section and date are read in each text once, whatever asks for them later.
+    rows = worked_out(files.select("folder", "path", "sha256", "text"), section=section(t), __at=lodgement(t, p))
     blank = F.length(F.trim(t)) == 0
-    kind = section(t)
-    status = F.when(excluded(p), "EXCLUDED").when(blank, "UNREADABLE").when(kind == "OTHER", "OTHER").otherwise("VALID")
-    at = lodgement(t, p)
-    return files.select("folder", "path", "sha256", kind.alias("section"), status.alias("status"), quality(p).alias("quality"), registration_tokens(F.regexp_extract(t, REGISTRATION, 1)).alias("registrations"), F.upper(F.coalesce(_first(t, REFERENCES), F.lit(""))).alias("reference"), at["date"].alias("lodged"), at["source"].alias("lodged_from"), "text")
+    status = F.when(excluded(p), "EXCLUDED").when(blank, "UNREADABLE").when(F.col("section") == "OTHER", "OTHER").otherwise("VALID")
+    return rows.select("folder", "path", "sha256", "section", status.alias("status"), quality(p).alias("quality"), registration_tokens(F.regexp_extract(t, REGISTRATION, 1)).alias("registrations"), F.upper(F.coalesce(_first(t, REFERENCES), F.lit(""))).alias("reference"), F.col("__at.date").alias("lodged"), F.col("__at.source").alias("lodged_from"), "text")
 
 
 def canonicalise(records: DataFrame) -> DataFrame:

@@ -206,3 +206,11 @@ def test_people_of_a_frequent_key_meet_events_in_several_tasks(spark, monkeypatc
             spark.conf.set(c, v)
     assert sorted((r.person, r.e) for r in rows) == sorted([(k, e) for k in range(40) for e in range(6)] + [(40, 6)] * 4)
     assert len({r.t for r in rows if r.e == 0 and r.person % 2}) > 1  # one key
+
+
+def test_a_text_is_searched_once_for_each_pattern(spark):
+    """Section and date of a filing are asked for several times, and worked out once."""
+    files = spark.createDataFrame([("A", "p", "x", "h")], "folder string, path string, text string, sha256 string")
+    plan = filings.read(files)._jdf.queryExecution().optimizedPlan().toString()
+    told = [plan.count(x) for x in ("(?:Submission|Submitted)", "(?:ROM|CPO", "REGISTER\\s+OF\\s+MEMBERS", "ANNUAL RETURN", "PARTICULARSOFCOMPANY")]
+    assert told == [1] * 5, told
