@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from karst.functions.text import auditor_key, name_key, significant_tokens
 from karst.operators.latest import pick
 
+#: Questions of one word up to which they meet names in one task.
+OFTEN = 100_000
 #: Characters that a name of one significant token must have.
 LEAST_SINGLE = 5
 
@@ -42,15 +44,23 @@ def _met(questions: DataFrame, names: DataFrame, key: Column, tokens: Column) ->
     """Pairs of a question (id, q, words) and a name whose tokens all stand in it.
 
     They meet by the name's token that the fewest names have, so a word that all names share makes no pairs.
+    Nor do questions of one word meet in one task, however many they are.
     """
     n = names.withColumn("k", key).withColumn("tokens", tokens).where((F.col("k") != "") & (F.size("tokens") > 0))
     each = n.select("k", "name", F.explode("tokens").alias("t"))
     often = each.groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     lead = each.join(often, "t").groupBy("k", "name").agg(F.min_by("t", F.struct("c", "t")).alias("lead"))
     n = n.join(lead, ["k", "name"])
-    q = questions.withColumn("lead", F.explode("words"))
+    # Words that very many questions share are few; those that lead no name go, the others' questions are dealt over several groups.
+    asked = questions.select("id", F.explode("words").alias("lead"))
+    often = asked.groupBy("lead").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > OFTEN)
+    often = often.join(n.select("lead").distinct().withColumn("leads", F.lit(True)), "lead", "left").select("lead", F.coalesce("leads", F.lit(False)).alias("leads"), F.ceil(F.col("c") / OFTEN).cast("int").alias("groups"))
+    often = F.broadcast(often)  # one row at most for each OFTEN words of all questions
+    q = questions.withColumn("lead", F.explode("words")).join(often, "lead", "left").where("leads is null or leads")
+    q = q.withColumn("g", F.pmod(F.xxhash64("id"), F.coalesce("groups", F.lit(1))).cast("int")).drop("leads", "groups")
+    n = n.join(often, "lead", "left").withColumn("g", F.explode(F.sequence(F.lit(0), F.coalesce("groups", F.lit(1)) - 1))).drop("leads", "groups")
     # The leads of a question are its own few words; its text goes along once a name met.
-    return q.join(n, "lead").where(F.size(F.array_except("tokens", "words")) == 0)
+    return q.join(n, ["lead", "g"]).drop("g").where(F.size(F.array_except("tokens", "words")) == 0)
 
 
 def _best(met: DataFrame, order: list[Column], name: str = "name") -> DataFrame:

@@ -60,3 +60,14 @@ def test_intents(question, intent, entity, everything):
 def test_fields():
     assert fields("reg no and company name, then the Business Address") == ("Reg No", "Company Name", "Business Address")
     assert fields("issued shares; total issued shares") == ("Total Issued Shares",)
+
+
+def test_questions_of_a_frequent_word_are_dealt_over_groups(spark, monkeypatch):
+    """Words above OFTEN that lead no name go before they meet names; one that leads a name still finds it in every question."""
+    from karst.plans import entities
+
+    names = spark.createDataFrame([("ALPHA TRADING", "Alpha Trading"), ("BETA TRADING", "Beta Trading"), ("GAMMALONG", "Gammalong")], "key string, name string")
+    asked = spark.createDataFrame([(i, f"who owns {'alpha trading' if i % 3 else 'gammalong'} now") for i in range(40)], "id long, text string")
+    monkeypatch.setattr(entities, "OFTEN", 4)
+    got = {r.id: r.name for r in entities.companies_named(asked, names).collect()}
+    assert got == {i: "Alpha Trading" if i % 3 else "Gammalong" for i in range(40)}
