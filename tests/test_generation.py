@@ -77,6 +77,25 @@ def test_one_company_that_fails_leaves_the_others(spark):
     assert all(r.total == (1.0 if r.k is None else 3.0) for r in got if not r.error)
 
 
+def test_many_companies_to_a_batch_are_as_if_each_came_alone(spark):
+    rows = spark.createDataFrame([(k, None if (k, j) == (3, 1) else 2**60 + j) for k in (1, 2, 3, 4, None) for j in range(20 if k == 2 else 3)], "k int, v long")
+
+    def work(frame):
+        kind, frame["n"] = str(frame["v"].dtype), len(frame)
+        return pd.DataFrame({"kind": [kind], "n": [frame["n"][0]], "most": [None if kind == "float64" else frame["v"].max()]})
+
+    done = isolated(rows, "k", work, "kind string, n long, most long")
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan  # a batch for each key takes longer than its work
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # so the rows of a key stand in several
+    try:
+        got = {r.k: (r.kind, r.n, r.most, r.error) for r in done.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = ("int64", 3, 2**60 + 2, None)
+    assert got == {1: whole, 2: ("int64", 20, 2**60 + 19, None), 3: ("float64", 3, None, None), 4: whole, None: whole}
+
+
 def test_counts_reach_the_caller(spark, tmp_path):
     jobs, said = [], []
     watched(spark.range(1000), lambda df: df.where("id % 3 = 0"), lambda a, b: said.append((a, b)), {"even": F.col("id") % 2 == 0})(lambda out: jobs.append(out.write.parquet(f"{tmp_path}/o")))
