@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from karst.functions.text import clean, person_key
+from karst.operators.lookup import small
 from karst.records.filings import section_rank
 from karst.sources.tables import scratch_folder
 
@@ -51,11 +52,13 @@ def _kept(spark: SparkSession, what: str) -> Callable[[DataFrame, str], DataFram
 
 
 def _people(filings: DataFrame, holdings: DataFrame) -> DataFrame:
-    """One row a person of a filing, its shares summed."""
+    """One row a person of a dated filing that tells members, its shares summed."""
     key = person_key(F.col("id_no"), F.col("name"))
     rows = holdings.select("folder", "path", key.alias("key"), clean(F.coalesce("name", F.lit(""))).alias("name"), F.coalesce("shares", F.lit(0)).cast("long").alias("shares"))
-    rows = rows.groupBy("folder", "path", "key").agg(F.max("name").alias("name"), F.sum("shares").alias("shares"))
-    return rows.join(filings, ["folder", "path"])
+    # Dealt by filing, so that neither the sums nor the join shuffle again.
+    rows = rows.repartition("folder", "path").groupBy("folder", "path", "key").agg(F.max("name").alias("name"), F.sum("shares").alias("shares"))
+    filings = filings.where(F.col("section").isin(*MEMBER_SNAPSHOTS, "S78") & F.col("effective").isNotNull())
+    return rows.join(filings.select("folder", "path", "section", "effective", "total_shares", "quality", "reference"), ["folder", "path"])
 
 
 def snapshots(filings: DataFrame, holdings: DataFrame, people: DataFrame | None = None) -> DataFrame:
@@ -74,9 +77,12 @@ def snapshots(filings: DataFrame, holdings: DataFrame, people: DataFrame | None
     total = F.col("total_shares")
     wrong = (total < 0) | (F.col("least") < 0) | ((total > 0) & (F.col("active") == 0)) | ((F.col("active") > 0) & (total != F.col("held")))
     one = one.withColumn("fault", F.when(F.coalesce(wrong, F.lit(False)), "INVALID_MEMBER_SNAPSHOT"))
-    day = one.where("fault is null").groupBy("folder", "effective", "section").agg(F.count_distinct(F.struct(F.coalesce("total_shares", F.lit(-1)), F.coalesce("mark", F.lit(0)), "active")).alias("n")).where("n > 1")
-    out = one.join(day, ["folder", "effective", "section"], "left")
-    return out.withColumn("fault", F.coalesce("fault", F.when(F.col("n").isNotNull(), "SAME_DATE_MEMBER_SNAPSHOT_CONFLICT"))).drop("n", "mark")
+    day = Window.partitionBy("folder", "effective", "section")
+    sound = lambda c: F.when(F.col("fault").isNull(), c)
+    differ = lambda c: F.min(sound(c)).over(day) != F.max(sound(c)).over(day)
+    clash = differ(F.coalesce("total_shares", F.lit(-1))) | differ(F.coalesce("mark", F.lit(0))) | differ(F.col("active"))
+    one = one.withColumn("clash", clash)
+    return one.withColumn("fault", F.coalesce("fault", F.when(F.col("clash"), "SAME_DATE_MEMBER_SNAPSHOT_CONFLICT"))).drop("clash", "mark")
 
 
 def members(filings: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -93,19 +99,22 @@ def members(filings: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFra
     people = keep(_people(filings, holdings), "people")
     seen = keep(snapshots(filings, holdings, people), "snapshots")
     base = seen.where("fault is null").groupBy("folder").agg(F.max(rank()).alias("top")).select("folder", F.col("top.path").alias("snapshot"), F.col("top.effective").alias("since"))
-    held = people.join(base, "folder").where("path = snapshot and shares > 0 and key <> ''").select("folder", "key", "name", "shares")
+    base = small(keep(base, "base"))
+    held = people.where("shares > 0 and key <> ''").join(base.select("folder", F.col("snapshot").alias("path")), ["folder", "path"]).select("folder", "key", "name", "shares")
     later = filings.where("section = 'S78' and effective is not null").join(base, "folder", "left").where("since is null or effective > since").drop("snapshot", "since")
     rows = people.where("section = 'S78' and effective is not null").join(base, "folder", "left").where("since is null or effective > since").drop("snapshot", "since")
     order = rank(False)
+    rows = rows.withColumn("at", order)
+    # Whose shares they are depends on folder, number and name alone, so allotments are summed by these before they meet holders.
     # Names: of one holder the holder, of none the first allottee of the name.
     known = held.where("name <> ''").groupBy("folder", "name").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("holder"))
-    first = rows.where("key <> ''").groupBy("folder", "name").agg(F.min_by("key", order).alias("first"))
-    rows = rows.withColumn("at", order).join(held.select("folder", "key", F.lit(True).alias("there")), ["folder", "key"], "left")
-    rows = rows.join(known, ["folder", "name"], "left").join(first, ["folder", "name"], "left")
+    given = keep(rows.where("key <> ''").groupBy("folder", "key", "name").agg(F.min("at").alias("at"), F.sum("shares").alias("shares")), "given")
+    first = given.groupBy("folder", "name").agg(F.min_by("key", F.struct("at", "key")).alias("first"))
+    given = given.join(held.select("folder", "key", F.lit(True).alias("there")), ["folder", "key"], "left")
+    given = given.join(known, ["folder", "name"], "left").join(first, ["folder", "name"], "left")
     own = F.when(F.col("there") | (F.col("name") == ""), F.col("key")).when(F.col("n") == 1, F.col("holder")).when(F.col("n").isNull(), F.col("first")).otherwise(F.col("key"))
-    rows = rows.withColumn("own", own)
-    given = rows.where("key <> ''").select("folder", F.col("own").alias("key"), "name", "shares")
-    now = held.unionByName(given).groupBy("folder", "key").agg(F.max("name").alias("name"), F.sum("shares").alias("shares")).where("shares > 0")
+    given = given.withColumn("own", own)
+    now = held.unionByName(given.select("folder", F.col("own").alias("key"), "name", "shares")).groupBy("folder", "key").agg(F.max("name").alias("name"), F.sum("shares").alias("shares")).where("shares > 0")
     now = now.withColumn("slot", F.row_number().over(Window.partitionBy("folder").orderBy(F.desc("shares"), "name", "key")))
     # Totals: each allotment that was read adds its shares, unless a later one tells the sum.
     steps = rows.groupBy("folder", "path", "total_shares", "at").agg(F.sum("shares").alias("s"))
@@ -121,7 +130,7 @@ def members(filings: DataFrame, holdings: DataFrame) -> tuple[DataFrame, DataFra
     clash = seen.where("fault = 'SAME_DATE_MEMBER_SNAPSHOT_CONFLICT'").withColumn("r", F.row_number().over(once)).where("r = 1")
     issues = _issue(seen.where("fault = 'INVALID_MEMBER_SNAPSHOT'"), "INVALID_MEMBER_SNAPSHOT").unionByName(_issue(clash, "SAME_DATE_MEMBER_SNAPSHOT_CONFLICT"))
     issues = issues.unionByName(_issue(later.join(people.select("folder", "path").distinct(), ["folder", "path"], "left_anti"), "UNPARSED_ALLOTMENT"))
-    issues = issues.unionByName(_issue(rows.where("key = ''"), "ALLOTTEE_IDENTITY_MISSING")).unionByName(_issue(rows.where("key <> '' and own <> key"), "MEMBER_NAME_FALLBACK", "REVIEW"))
+    issues = issues.unionByName(_issue(rows.where("key = ''"), "ALLOTTEE_IDENTITY_MISSING")).unionByName(_issue(rows.join(given.where("own <> key").select("folder", "key", "name"), ["folder", "key", "name"], "left_semi"), "MEMBER_NAME_FALLBACK", "REVIEW"))
     return now, totals, issues.unionByName(_issue(off, "SHARE_RECONCILIATION"))
 
 

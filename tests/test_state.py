@@ -55,6 +55,20 @@ def test_allottees_by_name_and_without_identity(spark):
     assert got == ([("ID:1", 150), ("ID:7", 11)], [211], codes)
 
 
+def test_people_are_shuffled_by_filing_and_allotments_summed_before_they_meet_holders(spark):
+    f = filings(spark, ("a", "S68", day(1), 100), *[(f"b{i}", "S78", day(2 + i), None) for i in range(9)], ("c", "S58", day(2), None), ("d", "S78", None, None))
+    h = holdings(spark, ("a", "1", "ALICE", 100), *[(f"b{i}", "9" if i % 2 else "1", "ALICE", 1) for i in range(9)], ("c", "1", "ALICE", 5), ("d", "1", "ALICE", 5))
+    people = state._people(f, h)
+    assert people.columns == ["folder", "path", "key", "name", "shares", "section", "effective", "total_shares", "quality", "reference"] and people.count() == 10
+    exchanges = [x for x in people._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("key#" in x.split("hashpartitioning(")[1].split(")")[0] for x in exchanges)
+    now, totals, issues = state.members(f, h)
+    given = [x for x in now.inputFiles() if "/given/" in x]
+    assert given and spark.read.parquet(*given).count() == 2  # of nine allotments
+    assert [(r.key, r.shares) for r in now.collect()] == [("ID:1", 109)] and [r.member_total for r in totals.collect()] == [109]
+    assert sorted((r.code, r.source_path) for r in issues.collect()) == [("MEMBER_NAME_FALLBACK", f"b{i}") for i in (1, 3, 5, 7)]
+
+
 def test_unparsed_allotment_and_totals(spark):
     f = filings(spark, ("a", "S68", day(1), 100), ("b", "S78", day(2), 130))
     now, totals, issues = state.members(f, holdings(spark, ("a", "1", "ALICE", 100)))
